@@ -45,17 +45,19 @@ def skeleton(text: Column) -> Column:
     return F.regexp_replace(text, LOWER_RUN, RUN)
 
 
-def class_counts(n: Column, bones: Column) -> dict[str, Column]:
-    """Code points of each class, from a text's length and its skeleton (a RUN that stood in the text counts as a letter)."""
-    no_runs = F.translate(bones, RUN, "")
-    rest = F.translate(no_runs, BLANKS, "")
-    m = F.length(rest)
-    runs = F.length(bones) - F.length(no_runs)
-    space = F.length(no_runs) - m
-    upper = m - F.length(F.regexp_replace(rest, r"\p{Lu}+", ""))
-    digit, stop, symbol = (m - without(rest, chars) for chars in ("0123456789", STOPS, SYMBOLS))
-    letter = n - F.length(bones) + runs
-    return {"upper": upper, "letter": letter, "digit": digit, "space": space, "stop": stop, "symbol": symbol, "other": m - upper - digit - stop - symbol}
+def with_classes(df: DataFrame, text: str) -> DataFrame:
+    """Adds _n (code points), _bones (the skeleton) and _<class> counts; a RUN that stood in the text counts as a letter.
+
+    Every step is a column of its own, so that later ones read it instead of computing it again.
+    """
+    df = df.withColumn("_n", F.length(text)).withColumn("_bones", skeleton(F.col(text)))
+    df = df.withColumn("_plain", F.translate("_bones", RUN, "")).withColumn("_rest", F.translate("_plain", BLANKS, ""))
+    m = F.length("_rest")
+    upper = m - F.length(F.regexp_replace("_rest", r"\p{Lu}+", ""))
+    digit, stop, symbol = (m - without(F.col("_rest"), chars) for chars in ("0123456789", STOPS, SYMBOLS))
+    letter = F.col("_n") - F.length("_plain")
+    df = df.withColumns({"_upper": upper, "_digit": digit, "_stop": stop, "_symbol": symbol, "_letter": letter, "_space": F.length("_plain") - m, "_m": m})
+    return df.withColumn("_other", F.col("_m") - F.col("_upper") - F.col("_digit") - F.col("_stop") - F.col("_symbol")).drop("_plain", "_rest", "_m")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -92,10 +94,9 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     word_ref has the shares of words in order, then the share of all other words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counts = class_counts(F.col("_n"), F.col("_bones"))
     totals = (
-        docs.select(F.col(lang_col).alias("lang"), F.length(text).alias("_n"), skeleton(text).alias("_bones"))
-        .select("lang", *[c.alias(k) for k, c in counts.items()], F.regexp_count("_bones", F.lit(WORD)).alias("n"))
+        with_classes(docs.select(F.col(lang_col).alias("lang"), text.alias("_text")), "_text")
+        .select("lang", *[F.col(f"_{k}").alias(k) for k in CLASSES], F.regexp_count("_bones", F.lit(WORD)).alias("n"))
         .groupBy("lang")
         .agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in CLASSES])
     )
@@ -158,8 +159,8 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     q = lambda c: F.element_at("word_ref", F.when(c > 0, c).otherwise(F.lit(-1)))
     run = lambda x, i: F.struct(((x["e"] - F.when(i > 0, F.get("_ends", i - 1)["e"]).otherwise(0)) / n).alias("p"), q(x["c"]).alias("q"))
     d = d.withColumn("_hist", F.transform("_ends", run))
-    d = d.withColumn("_n", F.length("_text")).withColumn("_bones", skeleton(F.col("_text")))
-    d = d.withColumns({f"_{c}": v for c, v in class_counts(F.col("_n"), F.col("_bones")).items()} | {"n_words": n.cast("long"), "n_dup_lines": duplicate_lines(F.col("_text")).cast("long"), "n_repeat_words": F.col("n_repeat_words").cast("long")})
+    d = with_classes(d, "_text")
+    d = d.withColumns({"n_words": n.cast("long"), "n_dup_lines": duplicate_lines(F.col("_text")).cast("long"), "n_repeat_words": F.col("n_repeat_words").cast("long")})
     classes = F.array(*[F.struct((F.col(f"_{c}") / F.greatest(F.col("_n"), F.lit(1))).alias("p"), F.get("class_ref", F.lit(i)).alias("q")) for i, c in enumerate(CLASSES)])
     d = d.withColumn("class_distance", F.when(F.col("_n") >= MIN_CHARS, js_distance(classes))).withColumn("word_distance", F.when(F.col("n_words") >= MIN_HISTOGRAM_WORDS, js_distance(F.col("_hist"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
