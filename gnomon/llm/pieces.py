@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .unigram import MARK, Vocabulary, load, pretokens
 
-MEMO = 1 << 18
+MEMO = 1 << 20
 
 
 class DoubleArray:
