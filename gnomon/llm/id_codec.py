@@ -36,7 +36,7 @@ SHARD_IDS = 4_000_000
 SLOTS = 2_048
 ONE = 1 << 15
 RATE = 5
-MEMO = 1 << 18
+MEMO = 1 << 20
 U = np.uint64
 _32, _15 = U(32), U(15)
 _SMALL = U(1 << 32)
@@ -80,7 +80,7 @@ class Lanes:
             l, w = low[move], wide[move]
             w = np.where(((l ^ (l + w)) >> _32) == 0, w, _SMALL - (l & U(2**32 - 1)))
             lanes = move if isinstance(i, slice) else i[move]
-            at = self.at[lanes]
+            at = np.minimum(self.at[lanes], len(self.words) - 1) if self.reading else self.at[lanes]  # a damaged block may ask for more
             if self.reading:
                 self.code[lanes] = (self.code[lanes] << _32) | self.words[at]
             else:
