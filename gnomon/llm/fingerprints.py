@@ -24,21 +24,21 @@ from pyspark.sql import functions as F
 from .common import read_table, words_of
 
 SAMPLES = 64
+WIDE = 4
 ROWS = 512
 INTERVALS = 128
 LOW = 0xFFFFFFFF
 
 
-def sample_column(word: str, weight: str, j: int) -> str:
-    """SQL for ln a and the hash of (word, t), packed, for sample j; null where the weight is 0.  (As text: there are many of these.)"""
-    one, two = f"xxhash64({word}, {2 * j})", f"xxhash64({word}, {2 * j + 1})"
-    bits = lambda h, at, n: f"(((shiftrightunsigned({h}, {at}) & {(1 << n) - 1}L) + 0.5D) / {1 << n}D)"
-    r = f"(-ln({bits(one, 0, 21)} * {bits(one, 21, 21)}))"
-    b = bits(one, 42, 22)
-    c = f"(-ln({bits(two, 0, 32)} * {bits(two, 32, 32)}))"
-    t = f"(case when {weight} = 1 then 0L else floor(ln({weight}) / {r} + {b}) end)"
-    log_a = f"(ln({c}) - {r} * ({t} - {b} + 1))"
-    return f"case when {weight} > 0 then shiftleft(cast(({log_a} + 128) * {1 << 22}D as bigint), 32) | ((({word} & {LOW}L) + {t} * 40503L) & {LOW}L) end"
+def bits(h: str, at: int, n: int) -> str:
+    """SQL for a number strictly between 0 and 1 from n bits of a hash."""
+    return f"(((shiftrightunsigned({h}, {at}) & {(1 << n) - 1}L) + 0.5D) / {1 << n}D)"
+
+
+def sampled(weight: str, i: int) -> str:
+    """SQL for ln a and the hash of (word, t), packed, of the block's sample i; null where the weight is 0."""
+    t = f"(case when {weight} = 1 then 0L else floor(ln({weight}) / _r{i} + _u{i}) end)"
+    return f"case when {weight} > 0 then shiftleft(cast((_l{i} - _r{i} * ({t} - _u{i} + 1) + 128) * {1 << 22}D as bigint), 32) | (((_h & {LOW}L) + {t} * 40503L) & {LOW}L) end"
 
 
 def weighted_samples(df: DataFrame, keys: list[str], texts: list[str], carried: list[str]) -> DataFrame:
@@ -55,11 +55,21 @@ def weighted_samples(df: DataFrame, keys: list[str], texts: list[str], carried:
     inside = [((F.col("_p") >= begin(i)) & (F.col("_p") < F.col(f"_e{i}"))).cast("long").alias(f"_c{i}") for i in range(len(texts))]
     d = d.select(*keys, *carried, F.xxhash64("_word").alias("_h"), *inside)
     d = d.groupBy(*keys, "_h").agg(*[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(texts))], *[F.first(c).alias(c) for c in carried])
-    columns = [(i, j) for i in range(len(texts)) for j in range(SAMPLES)]
-    d = d.selectExpr(*keys, *carried, *[f"{sample_column('_h', f'_c{i}', j)} as _s{i}_{j}" for i, j in columns])
-    d = d.groupBy(*keys).agg(*[F.expr(f"min(_s{i}_{j}) as _s{i}_{j}") for i, j in columns], *[F.first(c).alias(c) for c in carried])
-    sig = lambda i: f"case when _s{i}_0 is not null then array({', '.join(f'_s{i}_{j} & {LOW}L' for j in range(SAMPLES))}) end"
-    return d.selectExpr(*keys, *carried, *[f"{sig(i)} as {t}_sig" for i, t in enumerate(texts)])
+    # A row takes WIDE samples at a time: code for all of them in one row would be too long for the JVM to compile.
+    mine, wide = [*keys, *carried, "_h", "_b", *[f"_c{x}" for x in range(len(texts))]], range(WIDE)
+    d = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // WIDE - 1))))
+    d = d.selectExpr(*mine, *[f"xxhash64(_h, _b * {2 * WIDE} + {2 * i + k}) as _x{k}_{i}" for i in wide for k in (0, 1)])
+    gamma = lambda h, n: f"(-ln({bits(h, 0, n)} * {bits(h, n, n)}))"
+    d = d.selectExpr(*mine, *[e for i in wide for e in (f"{gamma(f'_x0_{i}', 21)} as _r{i}", f"{bits(f'_x0_{i}', 42, 22)} as _u{i}", f"ln({gamma(f'_x1_{i}', 32)}) as _l{i}")])
+    given = [f"_{v}{i}" for i in wide for v in "rul"]
+    d = d.selectExpr(*mine, *given, *[f"{sampled('_c0', i)} as _s0_{i}" for i in wide])
+    d = d.selectExpr(*keys, *carried, "_b", *[f"_s0_{i}" for i in wide], *[f"case when _c{x} = _c0 then _s0_{i} else {sampled(f'_c{x}', i)} end as _s{x}_{i}" for x in range(1, len(texts)) for i in wide])
+    least = [F.expr(f"min(_s{x}_{i}) as _s{x}_{i}") for x in range(len(texts)) for i in wide]
+    d = d.groupBy(*keys, "_b").agg(*least, *[F.first(c).alias(c) for c in carried])
+    lists = ", ".join(f"'s{x}', array({', '.join(f'_s{x}_{i} & {LOW}L' for i in wide)})" for x in range(len(texts)))
+    d = d.groupBy(*keys).agg(F.expr(f"sort_array(collect_list(named_struct('b', _b, {lists})))").alias("_all"), *[F.first(c).alias(c) for c in carried])
+    sig = lambda x: f"case when _all[0].s{x}[0] is not null then flatten(transform(_all, z -> z.s{x})) end"
+    return d.selectExpr(*keys, *carried, *[f"{sig(x)} as {t}_sig" for x, t in enumerate(texts)])
 
 
 def likeness(a: str, b: str) -> Column:
