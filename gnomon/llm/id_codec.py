@@ -36,7 +36,7 @@ SHARD_IDS = 4_000_000
 SLOTS = 2_048
 ONE = 1 << 15
 RATE = 5
-MEMO = 1 << 20
+MEMO = 1 << 19
 U = np.uint64
 _32, _15 = U(32), U(15)
 _SMALL = U(1 << 32)

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .unigram import MARK, Vocabulary, load, pretokens
 
-MEMO = 1 << 20
+MEMO = 1 << 19
+SLICE = 500
 
 
 class DoubleArray:
@@ -150,8 +151,10 @@ def encode(docs: DataFrame, *, text_col: str = "text", out_col: str = "piece_ids
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for b in batches:
-            b[out_col] = [None if t is None else c.encode(t).astype("i4") for t in b[text_col]]
-            yield b
+            for at in range(0, len(b), SLICE):  # ids take several times the texts' memory
+                part = b.iloc[at : at + SLICE].copy()
+                part[out_col] = [None if t is None else c.encode(t).astype("i4") for t in part[text_col]]
+                yield part
 
     d = docs.drop(out_col) if out_col != text_col else docs
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != out_col] + [f"`{out_col}` array<int>"]
@@ -164,8 +167,10 @@ def decode(docs: DataFrame, *, ids_col: str = "piece_ids", out_col: str = "decod
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for b in batches:
-            b[out_col] = [None if x is None else c.decode(x) for x in b[ids_col]]
-            yield b
+            for at in range(0, len(b), SLICE):
+                part = b.iloc[at : at + SLICE].copy()
+                part[out_col] = [None if x is None else c.decode(x) for x in part[ids_col]]
+                yield part
 
     d = docs.drop(out_col)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields] + [f"`{out_col}` string"]
