@@ -60,3 +60,13 @@ def word_count(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text as an array (null: empty)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+_claimed: dict[str, object] = {}
+
+
+def claim(name: str, clear) -> None:
+    """Gives a worker's memory for memos to one operator: those of the others are cleared (workers outlive a stage)."""
+    for other in [n for n in _claimed if n != name]:
+        _claimed.pop(other)()
+    _claimed[name] = clear

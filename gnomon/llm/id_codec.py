@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_path, written
+from .common import claim, read_table, shared_path, written
 
 MAGIC = b"GNOMIDS1"
 BLOCK = 2_048
@@ -274,6 +274,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, *, id_col: str = "doc_id"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = _tokens.setdefault(path, None) or Tokens(path)
         _tokens[path] = tokens
+        claim("id_codec", lambda: tokens.memo.clear() or tokens.memo.update({"": b""}))
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
         pid, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()

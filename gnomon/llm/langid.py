@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import claim, read_table
 
 BUCKETS = 1 << 15
 SAMPLE = 2_000
@@ -26,6 +26,7 @@ LARGEST_SET = 3
 PENALTY = 3.0
 SMOOTHING = 0.2
 MEMO = 1 << 17
+SLICE = 300
 MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
 _LETTER = np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x10000)])
@@ -186,8 +187,10 @@ def identify(docs: DataFrame, model: Mixture, *, text_col: str = "text") -> Data
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("langid", model.memo.clear)
         for b in batches:
-            found = model.predict(list(b[text_col]))
+            texts = list(b[text_col])
+            found = [x for at in range(0, len(texts), SLICE) for x in model.predict(texts[at : at + SLICE])]
             b["lang_pred"], b["score"], b["lang_set"] = [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
             yield b
 

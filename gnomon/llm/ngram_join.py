@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import read_table, written
+from .common import claim, read_table, written
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -52,7 +52,7 @@ def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 400_000:
+    if len(_words) > 250_000:
         _words.clear()
     known = []
     for w in words:
@@ -198,6 +198,7 @@ def banded(classes: DataFrame) -> DataFrame:
     """(band, id, gate) for every band of every class; nothing for texts without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("ngram_join", _words.clear)
         for b in batches:
             ids, keys, gates = [], [], []
             for i, t in zip(b["id"], b["text"]):
@@ -258,6 +259,7 @@ def exact(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float
 
 def group_links(g: pd.DataFrame) -> list[tuple[int, int, int]]:
     """(id, least linked id or itself, documents linked) for the members of a group that have a link."""
+    claim("ngram_join", _words.clear)
     ids, copies = g["id"].values, g["copies"].values
     sets = [shingles(t) for t in g["text"]]
     values = np.stack([minhash(s, BANDS * WIDTH + GATE, VERIFY) for s in sets])

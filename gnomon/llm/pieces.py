@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import claim, read_table
 from .unigram import MARK, Vocabulary, load, pretokens
 
 MEMO = 1 << 19
@@ -150,6 +150,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", out_col: str = "piece_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
+        claim("pieces", c.memo.clear)
         for b in batches:
             for at in range(0, len(b), SLICE):  # ids take several times the texts' memory
                 part = b.iloc[at : at + SLICE].copy()
@@ -166,6 +167,7 @@ def decode(docs: DataFrame, *, ids_col: str = "piece_ids", out_col: str = "decod
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
+        claim("pieces", c.memo.clear)
         for b in batches:
             for at in range(0, len(b), SLICE):
                 part = b.iloc[at : at + SLICE].copy()
@@ -185,6 +187,7 @@ def encoded_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
+        claim("pieces", c.memo.clear)
         low, high = min(c.v.byte_id), max(c.v.byte_id)
         for b in batches:
             rows = []

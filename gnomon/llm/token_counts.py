@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import claim, read_table
 from .unigram import MARK, Vocabulary, load, pretokens
 
 MEMO = 1 << 19
+SLICE = 500
 
 
 class ForwardTrie:
@@ -69,6 +70,7 @@ def count_texts(texts: Iterable[str], path: str | None = None) -> list[tuple[int
     if path not in _tries:
         _tries[path] = ForwardTrie(load(path)), {}
     trie, memo = _tries[path]
+    claim("token_counts", memo.clear)
     cut = [pretokens(t) if t else [] for t in texts]
     new = {w for ws in cut for w in ws} - memo.keys()
     if len(memo) + len(new) > MEMO:
@@ -87,7 +89,8 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n = count_texts((t or "" for t in b["text"]), path)
+            texts = [t or "" for t in b["text"]]
+            n = [x for at in range(0, len(texts), SLICE) for x in count_texts(texts[at : at + SLICE], path)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [x[0] for x in n], "n_pretokens": [x[1] for x in n]})
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
