@@ -1,12 +1,13 @@
-"""Document fingerprints by consistent weighted sampling (DataFrame operations only).
+"""Document fingerprints by consistent weighted sampling.
 
 A text is a bag of words weighted by their counts.  For each of SAMPLES samples and each word, gamma variates r and c
 (shape 2) and a uniform b come from hashes of word and sample; with weight S, t = floor(ln S / r + b) and
 ln a = ln c - r * (t - b + 1).  The word with the least a is the sample, together with t.  Two texts agree in a sample
 with a probability equal to their generalised Jaccard similarity, sum(min) / sum(max) of their word counts.
 
-Every word row yields one 64-bit number per sample, ln a in the upper bits and a hash of (word, t) in the lower 32, so
-a fingerprint is a plain minimum per column, aggregated in the tasks that hold the texts.
+A word with its count yields one 64-bit number per sample, ln a in the upper bits and a hash of (word, t) in the lower
+32, so a fingerprint is the minimum over the rows of a table.  These rows are made in numpy and kept in the worker, at
+most MEMO of them.  (The same in DataFrame operations alone did not meet the limits; see the README.)
 
 The next document in descending order of id is found without a global sort: ids are cut at approximate quantiles into
 at most INTERVALS intervals and these evenly into buckets of about ROWS rows.  Texts are shuffled once, by bucket; a
@@ -16,60 +17,119 @@ documents of buckets and intervals.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+from collections import Counter
 
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, words_of
+from .common import WORD, claim, read_table
 
 SAMPLES = 64
-WIDE = 4
 ROWS = 512
 INTERVALS = 128
 LOW = 0xFFFFFFFF
+MEMO = 1 << 16
+FIELDS = "text_sig array<long>, edited_sig array<long>, following_sig array<long>, edited_sha256 string"
 
 
-def bits(h: str, at: int, n: int) -> str:
-    """SQL for a number strictly between 0 and 1 from n bits of a hash."""
-    return f"(((shiftrightunsigned({h}, {at}) & {(1 << n) - 1}L) + 0.5D) / {1 << n}D)"
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64: 64 well mixed bits for each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def sampled(weight: str, i: int) -> str:
-    """SQL for ln a and the hash of (word, t), packed, of the block's sample i; null where the weight is 0."""
-    t = f"(case when {weight} = 1 then 0L else floor(ln({weight}) / _r{i} + _u{i}) end)"
-    return f"case when {weight} > 0 then shiftleft(cast((_l{i} - _r{i} * ({t} - _u{i} + 1) + 128) * {1 << 22}D as bigint), 32) | (((_h & {LOW}L) + {t} * 40503L) & {LOW}L) end"
+def uniform(h: np.ndarray, k: int) -> np.ndarray:
+    """Numbers strictly between 0 and 1, the k-th for each word hash and sample."""
+    at = np.arange(SAMPLES, dtype=np.uint64) * np.uint64(5) + np.uint64(k + 1)
+    x = mixed(h[:, None] + at * np.uint64(0x9E3779B97F4A7C15))
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def weighted_samples(df: DataFrame, keys: list[str], texts: list[str], carried: list[str]) -> DataFrame:
-    """One row per key: keys, carried (long) columns, and for each text column an array <text>_sig of SAMPLES numbers, null if it has no word.
+def samples(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """ln a and the hash of (word, t), packed: a row for each word hash and weight, a column for each sample."""
+    r = -np.log(uniform(h, 0) * uniform(h, 1))
+    c = -np.log(uniform(h, 2) * uniform(h, 3))
+    b = uniform(h, 4)
+    t = np.floor(np.log(weights)[:, None] / r + b)
+    # ln a lies far inside (-2 ** 9, 2 ** 9) for any count below 2 ** 63.
+    rank = ((np.log(c) - r * (t - b + 1) + 512) * (1 << 20)).astype(np.int64)
+    mark = mixed(h[:, None] + t.astype(np.int64).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) & np.uint64(LOW)
+    return (rank << 32) | mark.astype(np.int64)
 
-    The keys must be unique; if df is already partitioned by some of them, nothing is shuffled.
+
+class Sampler:
+    """Signatures of texts; keeps the rows of up to MEMO pairs of word and count."""
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple[str, int], int] = {}
+        self.table = np.empty((MEMO, SAMPLES), dtype=np.int64)
+        self.words = re.compile(WORD)
+
+    def least(self, pairs: list[tuple[str, int]]) -> np.ndarray:
+        fresh = [p for p in pairs if p not in self.rows]
+        if len(self.rows) + len(fresh) > MEMO:
+            self.rows.clear()
+            fresh = pairs
+        if fresh:
+            start = len(self.rows)
+            h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w, _ in fresh), np.uint64, len(fresh))
+            self.table[start : start + len(fresh)] = samples(h, np.array([n for _, n in fresh], dtype=np.float64))
+            self.rows.update((p, start + i) for i, p in enumerate(fresh))
+        return self.table[[self.rows[p] for p in pairs]].min(axis=0)
+
+    def signature(self, text: str) -> np.ndarray | None:
+        pairs = list(Counter(self.words.findall(text)).items())
+        if not pairs:
+            return None
+        step = MEMO // 16
+        out = self.least(pairs[:step])
+        for i in range(step, len(pairs), step):
+            out = np.minimum(out, self.least(pairs[i : i + step]))
+        return out & LOW
+
+
+_sampler: list[Sampler] = []
+
+
+def sampler() -> Sampler:
+    claim("fingerprints", _sampler.clear)
+    if not _sampler:
+        _sampler.append(Sampler())
+    return _sampler[0]
+
+
+def edited_text(text: str, following: str) -> str:
+    cut = len(text) // 3
+    return text[: len(text) - cut] + following[:cut]
+
+
+def signatures(with_following: bool):
+    """A pandas UDF of (text, following): the signatures of both texts (the second if asked for) and of the edited one.
+
+    A row without a following text has null for all but its own signature.
     """
-    lists = [f"_w{i}" for i in range(len(texts))]
-    d = df.select(*keys, *carried, *[words_of(F.col(t)).alias(w) for t, w in zip(texts, lists)])
-    ends = [sum((F.size(w) for w in lists[1 : i + 1]), F.size(lists[0])) for i in range(len(lists))]
-    d = d.select(*keys, *carried, *[e.alias(f"_e{i}") for i, e in enumerate(ends)], F.concat(*lists).alias("_all"))
-    d = d.select(*keys, *carried, *[f"_e{i}" for i in range(len(ends))], F.posexplode_outer("_all").alias("_p", "_word"))
-    begin = lambda i: F.col(f"_e{i - 1}") if i else F.lit(0)
-    inside = [((F.col("_p") >= begin(i)) & (F.col("_p") < F.col(f"_e{i}"))).cast("long").alias(f"_c{i}") for i in range(len(texts))]
-    d = d.select(*keys, *carried, F.xxhash64("_word").alias("_h"), *inside)
-    d = d.groupBy(*keys, "_h").agg(*[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(texts))], *[F.first(c).alias(c) for c in carried])
-    # A row takes WIDE samples at a time: code for all of them in one row would be too long for the JVM to compile.
-    mine, wide = [*keys, *carried, "_h", "_b", *[f"_c{x}" for x in range(len(texts))]], range(WIDE)
-    d = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // WIDE - 1))))
-    d = d.selectExpr(*mine, *[f"xxhash64(_h, _b * {2 * WIDE} + {2 * i + k}) as _x{k}_{i}" for i in wide for k in (0, 1)])
-    gamma = lambda h, n: f"(-ln({bits(h, 0, n)} * {bits(h, n, n)}))"
-    d = d.selectExpr(*mine, *[e for i in wide for e in (f"{gamma(f'_x0_{i}', 21)} as _r{i}", f"{bits(f'_x0_{i}', 42, 22)} as _u{i}", f"ln({gamma(f'_x1_{i}', 32)}) as _l{i}")])
-    given = [f"_{v}{i}" for i in wide for v in "rul"]
-    d = d.selectExpr(*mine, *given, *[f"{sampled('_c0', i)} as _s0_{i}" for i in wide])
-    d = d.selectExpr(*keys, *carried, "_b", *[f"_s0_{i}" for i in wide], *[f"case when _c{x} = _c0 then _s0_{i} else {sampled(f'_c{x}', i)} end as _s{x}_{i}" for x in range(1, len(texts)) for i in wide])
-    least = [F.expr(f"min(_s{x}_{i}) as _s{x}_{i}") for x in range(len(texts)) for i in wide]
-    d = d.groupBy(*keys, "_b").agg(*least, *[F.first(c).alias(c) for c in carried])
-    lists = ", ".join(f"'s{x}', array({', '.join(f'_s{x}_{i} & {LOW}L' for i in wide)})" for x in range(len(texts)))
-    d = d.groupBy(*keys).agg(F.expr(f"sort_array(collect_list(named_struct('b', _b, {lists})))").alias("_all"), *[F.first(c).alias(c) for c in carried])
-    sig = lambda x: f"case when _all[0].s{x}[0] is not null then flatten(transform(_all, z -> z.s{x})) end"
-    return d.selectExpr(*keys, *carried, *[f"{sig(x)} as {t}_sig" for x, t in enumerate(texts)])
+
+    @F.pandas_udf(FIELDS)
+    def run(texts: pd.Series, followings: pd.Series) -> pd.DataFrame:
+        s, out = sampler(), []
+        for text, following in zip(texts, followings):
+            own = s.signature(text)
+            if following is None:
+                out.append((own, None, None, None))
+                continue
+            edited = edited_text(text, following)
+            other = s.signature(following) if with_following else None
+            out.append((own, s.signature(edited), other, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()))
+        return pd.DataFrame(out, columns=["text_sig", "edited_sig", "following_sig", "edited_sha256"], dtype=object)
+
+    return run
 
 
 def likeness(a: str, b: str) -> Column:
@@ -116,11 +176,6 @@ def next_firsts(firsts: DataFrame) -> DataFrame:
     return f.join(F.broadcast(tops), "interval").select("interval", "bucket", F.coalesce("after", "beyond").alias("after"))
 
 
-def edited_text(text: str, following: str) -> Column:
-    cut = F.floor(F.length(text) / 3).cast("int")
-    return F.concat(F.substring(F.col(text), F.lit(1), F.length(text) - cut), F.substring(F.col(following), F.lit(1), cut))
-
-
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -133,22 +188,16 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     order = Window.partitionBy(*by).orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     d = d.select("doc_id", "text", interval.cast("int").alias("interval"), bucket.cast("int").alias("bucket"))
     d = d.withColumn("rn", F.row_number().over(order)).withColumn("following", F.lead("text").over(order))
-    digest = lambda x: F.sha2(x, 256)
-    quarter = lambda h, i: F.conv(F.substring(h, 1 + 16 * i, 16), 16, -10).cast("long")
-    quarters = [f"q{i}" for i in range(4)]
-    known = d.withColumn("edited", edited_text("text", "following")).withColumn("_sha", digest(F.col("edited")))
-    known = known.withColumns({"n_chars": F.length("text").cast("long"), "last": F.col("following").isNull().cast("long"), **{q: quarter(F.col("_sha"), i) for i, q in enumerate(quarters)}})
-    carried = ["doc_id", "n_chars", "last", *quarters]
-    main = weighted_samples(known, [*by, "rn"], ["text", "edited"], carried)
-    main = main.withColumn("next_sig", F.lead("text_sig").over(Window.partitionBy(*by).orderBy("rn"))).filter("last = 0")
-    main = main.withColumn("edited_sha256", F.concat(*[F.lpad(F.lower(F.hex(q)), 16, "0") for q in quarters]))
+    n_chars = F.length("text").cast("long").alias("n_chars")
+    made = ["_s.text_sig", "_s.edited_sig", "_s.edited_sha256"]
+    main = d.select(*by, "rn", "doc_id", n_chars, F.col("following").isNull().alias("last"), signatures(False)("text", "following").alias("_s"))
+    main = main.select(*by, "rn", "doc_id", "n_chars", "last", *made)
+    main = main.withColumn("next_sig", F.lead("text_sig").over(Window.partitionBy(*by).orderBy("rn"))).filter("not last")
     # The last document of each bucket, with the first of the next one.
     ends = d.filter("rn = 1 or following is null").select(*by, "rn", "doc_id", "text", F.col("following").isNull().alias("last"))
     after = next_firsts(ends.filter("rn = 1").select(*by, "text"))
-    lasts = ends.filter("last").join(after, by).withColumn("following", F.col("after")["text"]).withColumn("edited", edited_text("text", "following"))
-    lasts = lasts.withColumn("_sha", digest(F.col("edited"))).withColumns({"n_chars": F.length("text").cast("long"), **{q: quarter(F.col("_sha"), i) for i, q in enumerate(quarters)}})
-    rest = weighted_samples(lasts, [*by, "rn"], ["text", "edited", "following"], ["doc_id", "n_chars", *quarters]).withColumnRenamed("following_sig", "next_sig")
-    rest = rest.withColumn("edited_sha256", F.concat(*[F.lpad(F.lower(F.hex(q)), 16, "0") for q in quarters]))
+    lasts = ends.filter("last").join(after, by).select("doc_id", "text", n_chars, F.col("after")["text"].alias("following"))
+    rest = lasts.select("doc_id", "n_chars", signatures(True)("text", "following").alias("_s")).select("doc_id", "n_chars", *made, F.col("_s.following_sig").alias("next_sig"))
     columns = ["doc_id", "n_chars", "edited_sha256", "text_sig", "edited_sig", "next_sig"]
     both = main.select(*columns).unionByName(rest.select(*columns))
     return both.select("doc_id", "n_chars", "edited_sha256", as_hex("text_sig").alias("fingerprint"), as_hex("edited_sig").alias("edited_fingerprint"), likeness("text_sig", "edited_sig").alias("near_edited"), likeness("text_sig", "next_sig").alias("near_next"))
