@@ -35,7 +35,7 @@ ROWS = 512
 INTERVALS = 128
 LOW = 0xFFFFFFFF
 MEMO = 1 << 16
-FIELDS = "text_sig array<long>, edited_sig array<long>, following_sig array<long>, edited_sha256 string"
+FIELDS = "text_sig array<long>, edited_sig array<long>, next_sig array<long>, edited_sha256 string"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -110,26 +110,16 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def signatures(with_following: bool):
-    """A pandas UDF of (text, following): the signatures of both texts (the second if asked for) and of the edited one.
-
-    A row without a following text has null for all but its own signature.
-    """
-
-    @F.pandas_udf(FIELDS)
-    def run(texts: pd.Series, followings: pd.Series) -> pd.DataFrame:
-        s, out = sampler(), []
-        for text, following in zip(texts, followings):
-            own = s.signature(text)
-            if following is None:
-                out.append((own, None, None, None))
-                continue
-            edited = edited_text(text, following)
-            other = s.signature(following) if with_following else None
-            out.append((own, s.signature(edited), other, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()))
-        return pd.DataFrame(out, columns=["text_sig", "edited_sig", "following_sig", "edited_sha256"], dtype=object)
-
-    return run
+def signatures(texts: pd.Series, followings: pd.Series) -> pd.DataFrame:
+    """Signatures of a text, its following text and the edited one.  Where rows come in order, a following text is the next row's own."""
+    s, out = sampler(), []
+    last, last_sig = None, None
+    for text, following in zip(texts, followings):
+        own = last_sig if text == last else s.signature(text)
+        last, last_sig = following, s.signature(following)
+        edited = edited_text(text, following)
+        out.append((own, s.signature(edited), last_sig, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()))
+    return pd.DataFrame(out, columns=["text_sig", "edited_sig", "next_sig", "edited_sha256"], dtype=object)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -189,17 +179,15 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     d = d.select("doc_id", "text", interval.cast("int").alias("interval"), bucket.cast("int").alias("bucket"))
     d = d.withColumn("rn", F.row_number().over(order)).withColumn("following", F.lead("text").over(order))
     n_chars = F.length("text").cast("long").alias("n_chars")
-    made = ["_s.text_sig", "_s.edited_sig", "_s.edited_sha256"]
-    main = d.select(*by, "rn", "doc_id", n_chars, F.col("following").isNull().alias("last"), signatures(False)("text", "following").alias("_s"))
-    main = main.select(*by, "rn", "doc_id", "n_chars", "last", *made)
-    main = main.withColumn("next_sig", F.lead("text_sig").over(Window.partitionBy(*by).orderBy("rn"))).filter("not last")
+    signs = F.pandas_udf(signatures, FIELDS)
+    signed = lambda x: x.select("doc_id", n_chars, signs("text", "following").alias("_s")).select("doc_id", "n_chars", "_s.*")
+    main = signed(d.filter("following is not null"))
     # The last document of each bucket, with the first of the next one.
     ends = d.filter("rn = 1 or following is null").select(*by, "rn", "doc_id", "text", F.col("following").isNull().alias("last"))
     after = next_firsts(ends.filter("rn = 1").select(*by, "text"))
-    lasts = ends.filter("last").join(after, by).select("doc_id", "text", n_chars, F.col("after")["text"].alias("following"))
-    rest = lasts.select("doc_id", "n_chars", signatures(True)("text", "following").alias("_s")).select("doc_id", "n_chars", *made, F.col("_s.following_sig").alias("next_sig"))
-    columns = ["doc_id", "n_chars", "edited_sha256", "text_sig", "edited_sig", "next_sig"]
-    both = main.select(*columns).unionByName(rest.select(*columns))
+    lasts = ends.filter("last").join(after, by).withColumn("following", F.col("after")["text"])
+    rest = signed(lasts)
+    both = main.unionByName(rest)
     return both.select("doc_id", "n_chars", "edited_sha256", as_hex("text_sig").alias("fingerprint"), as_hex("edited_sig").alias("edited_fingerprint"), likeness("text_sig", "edited_sig").alias("near_edited"), likeness("text_sig", "next_sig").alias("near_next"))
 
 
