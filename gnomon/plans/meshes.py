@@ -65,11 +65,12 @@ def cell_vertices(spark, sf_dir):
 
 @query(
     f"""WITH e AS (SELECT face, q[i] AS a, q[i % 4 + 1] AS b FROM ({_FACES}), range(1, 5) t(i)), v AS ({_VERTICES})
-    SELECT face, sum(a.y * b.z - a.z * b.y) / 2 AS nx, sum(a.z * b.x - a.x * b.z) / 2 AS ny, sum(a.x * b.y - a.y * b.x) / 2 AS nz
+    SELECT face, sum(a.y * b.z - a.z * b.y) / 2 + 0.0 AS nx, sum(a.z * b.x - a.x * b.z) / 2 + 0.0 AS ny, sum(a.x * b.y - a.y * b.x) / 2 + 0.0 AS nz
     FROM e JOIN v a ON e.a = a.vertex JOIN v b ON e.b = b.vertex GROUP BY face"""
 )
 def face_normals(spark, sf_dir):
-    return mesh.face_normals(faces(spark, sf_dir), vertices(spark, sf_dir))
+    d = mesh.face_normals(faces(spark, sf_dir), vertices(spark, sf_dir))
+    return d.select("face", *[(F.col(c) + 0.0).alias(c) for c in ("nx", "ny", "nz")])  # no negative zeros
 
 
 @query(
