@@ -39,7 +39,12 @@ def faces_of(cells: DataFrame, kind: str, cell: str = "cell", vtx: str = "vtx")
 
 def elements_to_faces(cells: DataFrame, kind: str) -> DataFrame:
     """(face, left, right, vtx): each face once, numbered by its sorted vertices; outward of `left`, the smaller cell."""
-    f = faces_of(cells, kind).withColumn("_key", F.array_sort("vtx"))
+    return unique_faces(faces_of(cells, kind))
+
+
+def unique_faces(sides: DataFrame) -> DataFrame:
+    """The same from the faces (cell, vtx) of each cell."""
+    f = sides.withColumn("_key", F.array_sort("vtx"))
     right = F.when(F.count("*") > 1, F.max("cell")).otherwise(F.lit(0)).cast("long").alias("right")
     f = f.groupBy("_key").agg(F.min("cell").cast("long").alias("left"), right, F.min_by("vtx", "cell").alias("vtx"))
     return numbering.row_numbers(f, ["_key"], "face").select("face", "left", "right", "vtx")
