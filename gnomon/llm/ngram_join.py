@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import claim, read_table, written
+from .common import claim, give_back, read_table, written
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -170,6 +170,8 @@ def by_group(keys: list[str], columns: list[str], work: Callable[[pd.DataFrame],
         if rest is not None and len(rest):
             flush(rest)
         yield pd.DataFrame(ready, columns=out)
+        del rest, ready
+        give_back()
 
     return run
 
@@ -210,6 +212,7 @@ def banded(classes: DataFrame) -> DataFrame:
                     keys.append(band.view(np.int64))
                     gates += [v[BANDS * WIDTH :].astype(np.uint8).tobytes()] * BANDS
             yield pd.DataFrame({"band": np.concatenate(keys) if keys else np.zeros(0, np.int64), "id": np.array(ids, np.int64), "gate": gates})
+        give_back()
 
     return classes.mapInPandas(run, "band bigint, id bigint, gate binary")
 
