@@ -98,7 +98,7 @@ def fields_to_parts(spark, sf_dir):
     return d.select("part", "lnum", "label", "name", "value")
 
 
-@query(f"SELECT v.vertex, sum(p_size) AS total FROM (SELECT cell, unnest(v) AS vertex FROM ({_CELLS})) v JOIN part ON p_partkey + 1 = cell GROUP BY 1")
+@query(f"SELECT v.vertex, sum(p_size)::BIGINT AS total FROM (SELECT cell, unnest(v) AS vertex FROM ({_CELLS})) v JOIN part ON p_partkey + 1 = cell GROUP BY 1")
 def fields_from_parts(spark, sf_dir):
     d = cells(spark, sf_dir).join(table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("cell"), F.col("p_size").alias("value")), "cell")
     d = d.select(F.lit("Zone").alias("zone"), F.lit("FlowSolution_t").alias("label"), F.lit("Flow").alias("container"), F.lit("Vertex").alias("location"), F.explode("vtx").alias("gnum"), F.lit("size").alias("name"), "value")
