@@ -41,8 +41,10 @@ def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], sou
     """(target, source, distance2, rank): the k nearest sources of every target, ties to the smaller source id.
 
     Sources lie in a grid of cells.  A target looks at the cells within r rings of its own and is done when it has k
-    sources no farther than r cells; the others go on with twice the rings.  So the work follows the local density
-    and no cross join is made.  With no size given, cells are made to hold about k + 1 sources on average.
+    sources no farther than r cells, or when its rings hold all sources; the others go on with more rings.  Rings are
+    counted from the first that reaches the sources' box, so a far target is found as soon as a near one; the last round
+    takes all sources.  So the work follows the local density.  With no size given, cells are made to hold about k + 1
+    sources on average.
     """
     from .graph import _stored
 
@@ -63,22 +65,27 @@ def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], sou
     todo = targets.select(F.col(target_id).alias("_t"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(coords)])
     todo = _stored(todo, "targets")
     extent = grid.agg(*[F.max(c) for c in cells], *[F.min(c) for c in cells]).first()
+    far = F.lit(1 << 50)  # cells beyond count as at this one; their distance check never holds, so they end with all sources
+    heres = [F.greatest(F.least(F.floor(F.col(f"_t{i}") / size), far), -far) for i in range(dim)]
+    lows, highs = [F.lit(v) for v in extent[dim:]], [F.lit(v) for v in extent[:dim]]
+    widest = lambda xs: F.greatest(F.lit(0), *xs)
+    reach = widest([x for h, a, b in zip(heres, lows, highs) for x in (a - h, h - b)])
+    whole = widest([x for h, a, b in zip(heres, lows, highs) for x in (h - a, b - h)])
     done, rings = [], 1
-    for _ in range(max_rounds):
-        probe = todo
+    for turn in range(max_rounds):
+        radius = whole if turn == max_rounds - 1 else F.least(reach + rings, whole)
+        probe = todo.withColumn("_r", radius)
         for i in range(dim):
-            here = F.floor(F.col(f"_t{i}") / size)
-            low, high = F.greatest(here - rings, F.lit(extent[dim + i])), F.least(here + rings, F.lit(extent[i]))
+            low, high = F.greatest(heres[i] - F.col("_r"), lows[i]), F.least(heres[i] + F.col("_r"), highs[i])
             probe = probe.withColumn(cells[i], F.explode_outer(F.when(low <= high, F.sequence(low, high))))
         d2 = sum(((F.col(f"_t{i}") - F.col(f"_s{i}")) ** 2 for i in range(1, dim)), (F.col("_t0") - F.col("_s0")) ** 2)
         found = probe.join(grid, cells, "left").withColumn("_d", d2)
-        near = found.groupBy("_t", *[f"_t{i}" for i in range(dim)]).agg(F.slice(F.sort_array(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("_s").alias("s"))))), 1, k).alias("_near"))
-        everything = all(rings * size > (extent[i] - extent[dim + i] + 1) * size * 2 for i in range(dim)) or rings > 1 << 20
-        enough = (F.size("_near") >= min(k, n)) & (F.element_at("_near", F.greatest(F.size("_near"), F.lit(1)))["d"] <= F.lit(float(rings * size)) ** 2)
-        near = _stored(near.withColumn("_ok", F.lit(True) if everything else F.coalesce(enough, F.lit(False))), "near")
+        near = found.groupBy("_t", *[f"_t{i}" for i in range(dim)], "_r").agg(F.slice(F.sort_array(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("_s").alias("s"))))), 1, k).alias("_near"))
+        enough = (F.size("_near") >= min(k, n)) & (F.element_at("_near", F.greatest(F.size("_near"), F.lit(1)))["d"] <= (F.col("_r") * size) ** 2)
+        near = _stored(near.withColumn("_ok", F.coalesce(F.col("_r") >= whole, F.lit(True)) | F.coalesce(enough, F.lit(False))), "near")
         done.append(near.filter("_ok").select("_t", "_near"))
-        todo = near.filter("not _ok").drop("_near", "_ok")
-        if everything or todo.isEmpty():
+        todo = near.filter("not _ok").drop("_near", "_ok", "_r")
+        if todo.isEmpty():
             break
         rings *= 2
     out = done[0]

@@ -1,8 +1,10 @@
 import itertools
+import random
 
+import numpy as np
 import pytest
 from gnomon.functions import geometry, index
-from gnomon.operators import exchange, graph, numbering, spatial, trees
+from gnomon.operators import exchange, graph, interpolation, numbering, spatial, trees
 from pyspark.sql import functions as F
 
 N = (3, 4, 2)
@@ -119,3 +121,20 @@ def test_diff_with_nulls_and_tolerance(spark):
 def test_is_unique_ignores_order(spark):
     d = spark.createDataFrame([(1, 2, 3), (3, 2, 1), (1, 1, 2)], "a int, b int, c int")
     assert rows(exchange.is_unique_tuple(d, ["a", "b", "c"])) == [(1, 1, 2, True), (1, 2, 3, False), (3, 2, 1, False)]
+
+
+def test_k_closest_finds_far_targets(spark):
+    """Clustered sources and targets far from them, or beside them so that early rings cover a part of their box."""
+    r = random.Random(4)
+    src = [(i, r.random(), r.random()) for i in range(100)]
+    tgt = [(0, 6.0, 6.0), (1, 1000.0, 0.0), (2, -3.0, 0.5), (3, 0.5, 0.5), (4, 1e12, -1e12), (5, 1.4, -40.0), (6, -1e30, 0.0)]
+    s, t = spark.createDataFrame(src, "s int, x double, y double"), spark.createDataFrame(tgt, "t int, x double, y double")
+    near = lambda k: {a: sorted(((x - p) ** 2 + (y - q) ** 2, i) for i, p, q in src)[:k] for a, x, y in tgt}
+    for k, rounds in ((3, 40), (3, 1), (150, 40)):
+        got = {a: [] for a, _, _ in tgt}
+        for row in spatial.k_closest(s, t, ["x", "y"], "s", "t", k, max_rounds=rounds).orderBy("t", "rank").collect():
+            got[row["t"]].append(row["distance2"])
+        assert all(np.allclose(got[a], [d for d, _ in n], rtol=1e-12) for a, n in near(k).items())
+    centres = s.select(F.col("s").alias("cell"), "x", "y", F.lit(0.0).alias("z"))
+    found = interpolation.source_of(t.filter("t < 4").select(F.col("t").alias("target"), "x", "y", F.lit(0.0).alias("z")), centres, None, None).collect()
+    assert {row["target"]: row["cell"] for row in found} == {a: n[0][1] for a, n in near(1).items() if a < 4}
