@@ -2,9 +2,9 @@
 
 The patterns (base spans) are exact.  The CRF adds what they miss: phone numbers without a country code, obfuscated
 e-mail addresses, grouped numbers.  It is trained by gradient ascent on the small labelled table TRAINING below and
-decodes by Viterbi in numpy batches.  Its input are the words within REACH words of a trigger (a word with a digit
-or @, or one of CUES); a word farther off is outside by the model's definition, as every feature that speaks for a span
-is a shape of such words.  A decoded span must still pass its kind's check and overlap no other span.
+decodes by Viterbi in numpy batches.  Its input are the words within REACH words of a trigger: a word with a digit or
+@, or with `at` or `dot` as a word of its own, in any case and with or without marks around it.  Every span that passes
+its kind's check below holds one, so a word farther off is outside by the model's definition.  A decoded span must still pass its kind's check and overlap no other span.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORDS = re.compile(WORD)
-TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]|\{at\}")
+# One class of first characters, so that the search skips quickly.
+TRIGGER = re.compile(r"[0-9@AaDd](?:(?<=[0-9@])|(?<!\w.)(?:(?<=[Aa])[Tt]|(?<=[Dd])[Oo][Tt])(?!\w))")
 
 
 def digits_of(s: str) -> str:
@@ -351,7 +352,7 @@ def trimmed(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
 def plausible(kind: str, s: str) -> bool:
     """The check of a decoded span; stricter than the pattern's, as clean texts must be left alone."""
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.+-]+\s*[(\[{]\s*at\s*[)\]}]\s*[\w-]+(\s*([(\[{]\s*dot\s*[)\]}]|\.)\s*[\w-]+)+|[\w.+-]+ at [\w-]+( dot [\w-]+)+", s))
+        return bool(re.fullmatch(r"[\w.+-]+\s*[(\[{]\s*at\s*[)\]}]\s*[\w-]+(\s*([(\[{]\s*dot\s*[)\]}]|\.)\s*[\w-]+)+|[\w.+-]+ at [\w-]+( dot [\w-]+)+", s, re.IGNORECASE))
     if kind == "phone":
         n = digits_of(s)
         return bool(re.fullmatch(r"\(?[0-9][0-9 ().-]*[0-9]", s)) and 7 <= len(n) <= 15 and len(re.findall("[0-9]+", s)) >= 2

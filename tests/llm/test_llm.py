@@ -158,6 +158,17 @@ def test_crf():
     assert all(not s[1] for s in pii.find_spans(clean))
 
 
+def test_addresses_in_plain_words():
+    """No digit, @ or bracketed at stands near; the case does not matter."""
+    texts = {"contact anna at example dot com today": "anna at example dot com", "Contact Anna AT Example DOT com today": "Anna AT Example DOT com", "mail JANE (AT) Site (DOT) org soon": "JANE (AT) Site (DOT) org"}
+    far = "these words stand before the address and hold no mark " * 5
+    for text, address in texts.items():
+        text = far + text
+        (_, spans) = pii.find_spans([text])[0]
+        assert [(k, text[a:b]) for k, a, b in spans] == [("email", address)]
+    assert [m.start() for m in pii.TRIGGER.finditer("that cat data at. {At} dot date_at dots (dot)")] == [14, 19, 23, 41]
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
