@@ -3,8 +3,9 @@
 Training counts character n-grams (three characters, hashed to BUCKETS) per language, on a bounded sample: about
 SAMPLE documents of each language, chosen by a hash of their id.  A word's likelihood under a language is the product
 over its n-grams.  A document is a mixture: every word comes from one language, and expectation-maximisation estimates
-the proportions.  The k languages of largest proportion are fitted again for k = 1, 2, ...; the set with the best
-log-likelihood less PENALTY * k * ln(words) is chosen, and its largest member is the prediction.
+the proportions.  The k languages of largest proportion are fitted again for k = 1, 2, ..., as long as the languages
+from the k-th on have half a word together (less cannot outweigh the penalty); the set with the best log-likelihood
+less PENALTY * k * ln(words) is chosen, and its largest member is the prediction.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from .common import claim, read_table
 BUCKETS = 1 << 15
 SAMPLE = 2_000
 ROUNDS = 8
-LARGEST_SET = 3
 PENALTY = 3.0
 SMOOTHING = 0.2
 MEMO = 1 << 17
@@ -119,21 +119,24 @@ class Mixture:
         count = np.ones(n_docs, int)
         result = np.zeros((n_docs, n_lang))
         np.put_along_axis(result, order[:, :1], 1.0, axis=1)
-        # A second language that has less than half a word cannot outweigh its penalty: one is the best set there.
-        mixed = np.flatnonzero(np.take_along_axis(share, order[:, 1:2], axis=1)[:, 0] * sizes >= 0.5) if n_lang > 1 else []
-        if len(mixed):
-            inside = np.isin(doc, mixed)
-            some, few = like[inside], sizes[mixed]
+        # Languages that have less than half a word together cannot outweigh a penalty, so the best set is among those before them.
+        words = np.take_along_axis(share, order, axis=1) * sizes[:, None]
+        rest = np.cumsum(words[:, ::-1], axis=1)[:, ::-1]
+        best = np.full(n_docs, -np.inf)
+        for k in range(1, n_lang + 1):
+            mixed = np.flatnonzero(rest[:, max(k, 2) - 1] >= 0.5) if n_lang > 1 else np.zeros(0, int)
+            if not len(mixed):
+                break
+            inside, few = np.isin(doc, mixed), sizes[mixed]
             begin = np.concatenate([[0], np.cumsum(few)[:-1]])
             place = np.repeat(np.arange(len(mixed)), few)
-            best = np.full(len(mixed), -np.inf)
-            for k in range(1, min(LARGEST_SET, n_lang) + 1):
-                allowed = np.zeros((len(mixed), n_lang))
-                np.put_along_axis(allowed, order[mixed, :k], 1.0, axis=1)
-                now, ll = self.fit(some, base[mixed], place, begin, few, allowed)
-                score = ll - PENALTY * k * np.log(few + 1)
-                better = score > best
-                best[better], result[mixed[better]], count[mixed[better]] = score[better], now[better], k
+            allowed = np.zeros((len(mixed), n_lang))
+            np.put_along_axis(allowed, order[mixed, :k], 1.0, axis=1)
+            now, ll = self.fit(like[inside], base[mixed], place, begin, few, allowed)
+            score = ll - PENALTY * k * np.log(few + 1)
+            better = score > best[mixed]
+            at = mixed[better]
+            best[at], result[at], count[at] = score[better], now[better], k
         names = self.languages
         return [(names[a], float(min(1.0, result[i, a])), [names[j] for j in order[i, : count[i]]]) for i, a in enumerate(result.argmax(axis=1))]
 

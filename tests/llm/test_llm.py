@@ -310,6 +310,18 @@ def test_language_mixture(spark):
     assert langid.Mixture([], np.zeros((0, langid.BUCKETS))).predict(["text"]) == [("und", 0.0, [])]
 
 
+def test_language_sets_of_any_size(spark):
+    """A set is bounded by the learned languages only, and shares are those of the whole set."""
+    counts = np.zeros((6, langid.BUCKETS))
+    words = [[f"{c}{a}{b}{c}" for a in c + "aeiou" for b in c + "xyz"] for c in "bcdfgh"]
+    for i, ws in enumerate(words):
+        counts[i] = np.bincount(langid.word_grams(ws * 50)[0], minlength=langid.BUCKETS)
+    model = langid.Mixture(list("bcdfgh"), counts)
+    for n in range(1, 7):
+        ((lang, score, found),) = model.predict([" ".join(w for ws in words[:n] for w in ws * 4)])
+        assert set(found) == set("bcdfgh"[:n]) and abs(score - 1 / n) < 0.02
+
+
 def test_quality_counts(spark):
     got = {r["doc_id"]: r for r in QUERIES["op10_quality_divergence"](spark, FOLDER).collect()}
     for r in documents(spark).collect():
