@@ -6,11 +6,11 @@ next stage's docs.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gnomon.llm import langid, mixing, ngram_join, pieces, pii
-from gnomon.llm.common import read_table, shared_path
+from gnomon.llm.common import read_table, shared_path, word_count
 from gnomon.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,11 +34,15 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document appears as often as the mix takes it, which may be never."""
-    copies = mixing.pareto_mix(docs).filter("copies > 0").select("doc_id", "copies")
-    # Ids are unique here (one document of each id and class stays); max() keeps a repeated one from multiplying rows.
-    copies = copies.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.select(*COLUMNS).join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each row appears as often as the mix takes it, which may be never."""
+    # Rows of the same id (or none), source and size are equal to the mix: their copies are dealt out by text.
+    same = lambda size: F.to_json(F.struct("doc_id", "source", size.alias("size"))).alias("_same")
+    copies = mixing.pareto_mix(docs).filter("copies > 0").select(same(F.col("size")), "copies")
+    copies = copies.groupBy("_same").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
+    place = F.row_number().over(Window.partitionBy("_same").orderBy("text", "lang"))
+    d = docs.select(*COLUMNS, same(word_count(F.col("text")))).withColumn("_at", place - 1).join(copies, "_same")
+    d = d.withColumn("_times", F.get("_copies", F.col("_at"))).filter(F.col("_times") > 0)
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -282,21 +282,23 @@ def group_links(g: pd.DataFrame) -> list[tuple[int, int, int]]:
     return list(zip(ids[live].tolist(), ids[root[live]].tolist(), links[live].tolist()))
 
 
-def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links.
+def _key(text: Column) -> Column:
+    """The words of a text in order, as a digest; null for a text without words."""
+    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return F.when(F.length(words) > 0, F.sha2(words, 256))
 
-    class_id is the least id of the documents connected to it by similarities of THRESHOLD or more; n_links counts the
-    other documents that are that similar, copies included.  Texts with the same words in the same order are copies.
-    A text without words (null, empty, blank) is linked to nothing and is its own class.  Rows that repeat an id stay,
-    as copies or separate documents by their text; a null id is kept out of all classes, with a null class_id.  An
-    empty table gives an empty result.  Other columns are ignored.
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row, key null without words; (key, class_id, n_links, first) of every key that has an id.
+
+    first marks the key that stands for its class: of those whose least id is the class's, the least.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    keyed = d.withColumn("_words", words).withColumn("key", F.sha2("_words", 256)).withColumn("blank", F.length("_words") == 0).drop("_words")
-    wordy = keyed.filter(~F.col("blank") & F.col("doc_id").isNotNull())
-    members = written(keyed.select("doc_id", "key", "blank"), "ngram-members")
-    reps = written(members.filter(~F.col("blank") & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "ngram-classes")
+    keyed = d.withColumn("key", _key(F.col("text")))
+    live = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    wordy = keyed.filter(live)
+    members = written(keyed.select("doc_id", "key"), "ngram-members")
+    reps = written(members.filter(live).groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "ngram-classes")
     # A repeated id may carry several texts: the least id is then no key of a class, so classes go by (id, key); they get an own number here.
     reps = reps.withColumn("n", F.xxhash64("key"))
     texts = wordy.join(reps.select(F.col("id").alias("doc_id"), "key", "copies", "n"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
@@ -312,18 +314,48 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = reps.select(F.col("n").alias("_n"), F.col("id").alias("least"), "copies", "key")
     named = named.join(found.select(F.col("node").alias("_n"), "component"), "_n", "left").join(linked.withColumnRenamed("id", "_n"), "_n", "left")
-    lowest = named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("lowest"))
-    named = named.join(lowest, "component", "left").select("key", F.coalesce("lowest", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    named = written(named, "ngram-named")
-    out = members.filter(~F.col("blank") & F.col("doc_id").isNotNull()).join(named, "key").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
-    alone = members.filter(F.col("blank") | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    lowest = named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("least", "key")).alias("lowest"))
+    first = F.coalesce(F.col("lowest.key") == F.col("key"), F.lit(True)).alias("first")
+    named = named.join(lowest, "component", "left").select("key", F.coalesce("lowest.least", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), first)
+    return members, written(named, "ngram-named")
+
+
+def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, class_id, n_links.
+
+    class_id is the least id of the documents connected to it by similarities of THRESHOLD or more; n_links counts the
+    other documents that are that similar, copies included.  Texts with the same words in the same order are copies.
+    A text without words (null, empty, blank) is linked to nothing and is its own class.  Rows that repeat an id stay,
+    as copies or separate documents by their text; a null id is kept out of all classes, with a null class_id.  An
+    empty table gives an empty result.  Other columns are ignored.
+    """
+    members, named = _classes(docs, id_col, text_col)
+    live = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    out = members.filter(live).join(named, "key").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
+    alone = members.filter(~live).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, the one of least id; documents without words or without id all stay."""
-    kept = similar_classes(docs, id_col=id_col, text_col=text_col).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_anti")
+    """docs with one row of each class, the one of least id; rows without words or without id all stay.
+
+    Where rows of one class share the least id, the one whose words have the least digest stays; of those with the same
+    words, the first by text, then by the other columns.
+    """
+    members, named = _classes(docs, id_col, text_col)
+    placed = members.filter("key is not null and doc_id is not null").join(named.select("key", "class_id", "first"), "key")
+    chosen = F.col("first") & (F.col("doc_id") == F.col("class_id"))
+    gone = placed.filter(~chosen).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    d = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": _key(F.col(text_col))}).join(gone, ["_id", "_key"], "left_anti")
+    # Rows that repeat an id and its words; other rows found here by a clash of hashes are told apart by their key.
+    again = placed.filter(chosen).groupBy(F.col("doc_id").alias("_id"), F.xxhash64("key").alias("_n")).count().filter("count > 1").drop("count")
+    again = written(again, "ngram-again")
+    if not again.isEmpty():
+        d = d.withColumn("_n", F.xxhash64("_key"))
+        order = Window.partitionBy("_id", "_key").orderBy(text_col, F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
+        one = d.join(again, ["_id", "_n"], "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
+        d = d.join(again, ["_id", "_n"], "left_anti").unionByName(one)
+    return d.select(*docs.columns)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

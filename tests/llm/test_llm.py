@@ -274,6 +274,28 @@ def test_join_against_brute_force(spark):
         assert (got[i]["class_id"], got[i]["n_links"]) == (find(i), links[i])
 
 
+def test_rows_of_repeated_ids_in_the_stages(spark):
+    """One row of each class stays by id and words, unique texts of a repeated id stay, and the mix counts by row."""
+    import corpus_pipeline
+
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    a, b, c, e = map(text, "abce")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (3, c.replace(" ", "  ")), (4, a), (5, e), (5, e + " more"), (None, a), (None, a), (6, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for d in (docs, docs.repartition(5)):
+        got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, d, FOLDER).collect()]
+        fives = [x for x in got if x[0] == 5]
+        assert len(fives) == 1 and fives[0] in rows
+        assert Counter(x for x in got if x[0] != 5) == Counter([(1, a), (2, b), (3, c.replace(" ", "  ")), (None, a), (None, a), (6, ""), (6, None)])
+    taken = [(r["doc_id"], r["size"], r["copies"]) for r in mixing.pareto_mix(docs).collect()]
+    mixed = corpus_pipeline.mix_sources(spark, docs, FOLDER).collect()
+    want = Counter()
+    for i, n, k in taken:
+        want[i, n] += k
+    assert Counter((r["doc_id"], len((r["text"] or "").split())) for r in mixed) == +want
+    assert any(i is None for i, _ in +want)
+
+
 def test_join_in_blocks(spark, monkeypatch):
     """Groups cut into blocks give the same links."""
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(100)) + f" x{i}") for i in range(40)], "doc_id long, text string")
