@@ -5,8 +5,10 @@ common word.  A word is common when it makes up at least COMMON_SHARE of its lan
 most 1 / COMMON_SHARE of them, by arithmetic and not by a cut.  A document's two histograms are compared with the
 reference of its language by the Jensen-Shannon distance (base 2, from 0 to 1).  A document is dropped when either
 distance is above its limit.  Short texts have noisy histograms: below MIN_CHARS or MIN_WORDS the respective
-comparison is not made.  A language with fewer than MIN_REFERENCE_WORDS words, or no language, is compared with the
-reference of all documents.
+comparison is not made.  A language with fewer than MIN_REFERENCE_WORDS words has no reference of its own: its character
+classes are compared with those of all documents, and its words with nothing, as every other language's words are far
+from them.  A document without a language is compared by its words with the nearest learned reference (with none, if no
+language is learned) and by its character classes with all documents.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, read_table, small, words_of
+from .common import WORD, materialise, read_table, small, words_of, written
 
 COMMON_SHARE = 0.004
 MIN_WORDS = 50
@@ -101,15 +103,18 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
         .agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in CLASSES])
     )
     words = docs.select(F.col(lang_col).alias("lang"), F.explode(words_of(F.lower(text))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("c"))
-    # A word that is common in all documents is so in one language at least, so the pooled reference is made from what is kept here.
+    words = written(words, "quality-words")
     languages = materialise(totals)
     n_languages = languages.count()
     of = small(languages.select(F.col("lang").alias("_l"), "n"), n_languages, MAX_BROADCAST_LANGUAGES)
     kept = materialise(words.join(of, F.col("lang").eqNullSafe(F.col("_l"))).filter(F.col("c") >= F.col("n") * COMMON_SHARE).select("lang", "word", "c"))
+    # A word that is common in all documents is so in one language at least; its count is that of all languages.
+    everywhere = words.join(kept.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("c").alias("c"))
+    everywhere = everywhere.join(F.broadcast(languages.agg(F.sum("n").alias("n"))), F.col("c") >= F.col("n") * COMMON_SHARE)
     pooled = languages.agg(F.lit(POOLED).alias("lang"), F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in CLASSES])
     own = languages.filter(F.col("lang").isNotNull() & (F.col("n") >= MIN_REFERENCE_WORDS) & (F.col("lang") != POOLED))
     both = own.unionByName(pooled)
-    sums = kept.filter(F.col("lang").isNotNull()).unionByName(kept.groupBy("word").agg(F.lit(POOLED).alias("lang"), F.sum("c").alias("c")))
+    sums = kept.filter(F.col("lang") != POOLED).unionByName(everywhere.select(F.lit(POOLED).alias("lang"), "word", "c"))
     lists = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", "c"))).alias("ws"))
     n = F.greatest(F.col("n"), F.lit(1))
     chars = F.greatest(sum((F.col(k) for k in CLASSES[1:]), F.col(CLASSES[0])), F.lit(1))
@@ -138,17 +143,20 @@ def js_distance(pairs: Column) -> Column:
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: DataFrame | None = None) -> DataFrame:
     """One row per input row: id, the rule counts, both distances, base_failed and kept.
 
-    A null text counts as empty: no words, base_failed.  A distance whose length guard is not met is null and passes.
+    A null text counts as empty: no words, base_failed.  A distance whose length guard is not met, or that has no
+    reference, is null and passes.
     Rows repeated in the input are repeated in the output; columns other than the three named are ignored.
     """
     refs = materialise(language_references(docs, text_col, lang_col) if references is None else references)
     n_refs = refs.count()
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.col(lang_col).alias("_lang"))
-    learned = small(refs.select(F.col("lang").alias("_own"), F.col("class_ref").alias("_oc"), F.col("words").alias("_ow"), F.col("word_ref").alias("_or")), n_refs, MAX_BROADCAST_LANGUAGES)
-    pooled = F.broadcast(refs.filter(F.col("lang") == POOLED).select(F.col("class_ref").alias("_pc"), F.col("words").alias("_pw"), F.col("word_ref").alias("_pr")).limit(1))
-    d = d.join(learned, F.col("_lang") == F.col("_own"), "left").join(pooled, F.lit(True), "left")
-    d = d.select("doc_id", "_text", *[F.coalesce(F.col(a), F.col(b)).alias(c) for a, b, c in (("_oc", "_pc", "class_ref"), ("_ow", "_pw", "ref_words"), ("_or", "_pr", "word_ref"))])
+    own = refs.filter(F.col("lang") != POOLED)
+    learned = small(own.select(F.col("lang").alias("_own"), F.col("class_ref").alias("_oc"), F.col("words").alias("_ow"), F.col("word_ref").alias("_or")), n_refs, MAX_BROADCAST_LANGUAGES)
+    pooled = F.broadcast(refs.filter(F.col("lang") == POOLED).select(F.col("class_ref").alias("_pc")).limit(1))
+    every = F.broadcast(own.agg(F.collect_list(F.struct("words", "word_ref")).alias("_refs")))
+    d = d.join(learned, F.col("_lang") == F.col("_own"), "left").join(pooled, F.lit(True), "left").join(every, F.col("_lang").isNull(), "left")
+    d = d.select("doc_id", "_text", "_refs", F.coalesce("_oc", "_pc").alias("class_ref"), F.col("_ow").alias("ref_words"), F.col("_or").alias("word_ref"))
     d = d.withColumn("_words", words_of(F.col("_text")))
     d = with_repeats(d, "_words", "n_repeat_words")
     # Sorted positions in the reference (0: not common); the ends of its runs give the counts.
@@ -159,10 +167,17 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     q = lambda c: F.element_at("word_ref", F.when(c > 0, c).otherwise(F.lit(-1)))
     run = lambda x, i: F.struct(((x["e"] - F.when(i > 0, F.get("_ends", i - 1)["e"]).otherwise(0)) / n).alias("p"), q(x["c"]).alias("q"))
     d = d.withColumn("_hist", F.transform("_ends", run))
+    # Without a language: the word counts by each learned reference.
+    times = lambda r: F.transform(r["words"], lambda w: n - F.size(F.array_remove("_lower", w)))
+    d = d.withColumn("_lower", F.when(F.col("_refs").isNotNull() & (n >= MIN_HISTOGRAM_WORDS), F.transform("_words", F.lower)))
+    d = d.withColumn("_times", F.when(F.col("_lower").isNotNull(), F.transform("_refs", lambda r: F.struct(times(r).alias("c"), r["word_ref"].alias("q")))))
+    other = lambda t: n - F.aggregate(t["c"], F.lit(0), lambda a, x: a + x)
+    pairs = lambda t: F.zip_with(F.concat(t["c"], F.array(other(t))), t["q"], lambda c, q: F.struct((c / n).alias("p"), q.alias("q")))
+    nearest = F.array_min(F.transform("_times", lambda t: js_distance(pairs(t))))
     d = with_classes(d, "_text")
     d = d.withColumns({"n_words": n.cast("long"), "n_dup_lines": duplicate_lines(F.col("_text")).cast("long"), "n_repeat_words": F.col("n_repeat_words").cast("long")})
     classes = F.array(*[F.struct((F.col(f"_{c}") / F.greatest(F.col("_n"), F.lit(1))).alias("p"), F.get("class_ref", F.lit(i)).alias("q")) for i, c in enumerate(CLASSES)])
-    d = d.withColumn("class_distance", F.when(F.col("_n") >= MIN_CHARS, js_distance(classes))).withColumn("word_distance", F.when(F.col("n_words") >= MIN_HISTOGRAM_WORDS, js_distance(F.col("_hist"))))
+    d = d.withColumn("class_distance", F.when(F.col("_n") >= MIN_CHARS, js_distance(classes))).withColumn("word_distance", F.when(F.col("_times").isNotNull(), nearest).when((F.col("n_words") >= MIN_HISTOGRAM_WORDS) & F.col("word_ref").isNotNull(), js_distance(F.col("_hist"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.coalesce("class_distance", F.lit(0.0)) <= CLASS_LIMIT) & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_LIMIT)
     return d.select(

@@ -357,6 +357,27 @@ def test_quality_counts(spark):
         assert g["base_failed"] == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
 
 
+def test_quality_of_small_and_missing_languages(spark):
+    """Words of small languages are compared with nothing, those without a language with the nearest one; pooled counts are over all."""
+    r = random.Random(8)
+    common = {c: [f"{c}{i}" for i in range(20)] for c in "xyz"}
+    text = lambda c, n: " ".join(r.choice(common[c] + [f"{c}rare{r.randint(0, 10**6)}"]) for _ in range(n - 1)) + " all"
+    rows = [(i, text("x", 200), "x") for i in range(40)] + [(i, text("y", 200), "y") for i in range(40, 80)] + [(i, text("z", 200), "z") for i in range(80, 84)]
+    rows += [(90, rows[0][1], None), (91, rows[50][1], None), (92, text("z", 200), None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in quality.quality(d).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i]["kept"] and got[i]["word_distance"] is None for i in range(80, 84))
+    for i, j in ((90, 0), (91, 50)):
+        assert got[i]["kept"] and abs(got[i]["word_distance"] - got[j]["word_distance"]) < 1e-9
+    assert not got[92]["kept"]
+    pooled = {x["lang"]: x for x in quality.language_references(d).collect()}[quality.POOLED]
+    words = Counter(w for _, t, _ in rows for w in t.split())
+    n = sum(words.values())
+    assert list(pooled["words"]) == sorted(w for w in words if words[w] >= n * quality.COMMON_SHARE) and "all" in words
+    assert np.allclose(pooled["word_ref"][:-1], [words[w] / n for w in pooled["words"]])
+
+
 def test_quality_against_labels(spark):
     folder = "/root/testdata/sf0.01"
     got = QUERIES["op10_quality_divergence"](spark, folder).toPandas()
