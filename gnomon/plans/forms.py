@@ -74,6 +74,18 @@ def partition_by_box(spark, sf_dir):
     return partition.in_boxes(c, (10, 10, 10), boxes).withColumn("part", F.col("part").cast("long"))
 
 
+@query(
+    """WITH c AS (SELECT p_partkey + 1 AS cell, p_partkey % 2 AS i, p_partkey // 2 % 3 AS j, p_partkey // 6 AS k, (SELECT max(p_partkey) // 6 + 1 FROM part) AS n FROM part),
+    a AS (SELECT *, round_even(n / 4.0, 0)::BIGINT AS low FROM c), b AS (SELECT *, low + round_even((n - low) * 2 / 3.0, 0)::BIGINT AS high FROM a)
+    SELECT cell, CASE WHEN k < low THEN 0 WHEN k < high THEN 1 ELSE 2 END::BIGINT AS part, 1 + i + 2 * j + 6 * (k - CASE WHEN k < low THEN 0 WHEN k < high THEN low ELSE high END) AS lnum FROM b"""
+)
+def partition_block(spark, sf_dir):
+    # All parts as a block whose last side grows with the table, in slabs of 1, 2 and 1 quarters.
+    c = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("cell"))
+    dims = (2, 3, (c.agg(F.max("cell")).first()[0] + 5) // 6)
+    return partition.in_boxes(c, dims, partition.split_block(dims, (1, 2, 1))).withColumn("part", F.col("part").cast("long"))
+
+
 @query(f"SELECT vertex, x, y, z FROM ({_VERTICES})")
 def recover_vertices(spark, sf_dir):
     part_map = partition.entity_parts(cells(spark, sf_dir), parts(spark, sf_dir)).withColumnRenamed("vtx", "vertex")
