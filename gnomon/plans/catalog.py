@@ -300,6 +300,14 @@ def connected_groups(spark, sf_dir):
     return graph.connected_components(e.join(p, F.col("b") == F.col("p_partkey"), "left_semi"), "a", "b")
 
 
+@query("SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_partkey % 7) AS component FROM part")
+def connected_chains(spark, sf_dir):
+    # Seven chains of about n / 7 nodes.
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    e = p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 7).alias("b"))
+    return graph.connected_components(e.join(p, F.col("b") == F.col("p_partkey"), "left_semi"), "a", "b")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE p_name GLOB '*a?*'")
 def wildcard_select(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_name").filter(trees.wildcard(F.col("p_name"), "*a?*"))

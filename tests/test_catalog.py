@@ -25,7 +25,7 @@ def test_core_imports_without_the_subpackage():
     subprocess.run([sys.executable, "-c", code], check=True)
 
 
-@pytest.mark.parametrize("name", ["partition_block"])
+@pytest.mark.parametrize("name", ["partition_block", "connected_chains"])
 def test_whole_tables_are_worked_on(spark, name):
     """Every part is in the result, at two sizes; the components are those of a union-find."""
     for folder in (FOLDER, "/root/testdata/sf0.01"):
