@@ -11,12 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with _pid, which ascends with the order.  A written column, as the partitioning must not change after it."""
-    from .graph import _stored
 
-    return _stored(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "ranged")
+    return stored(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "ranged")
 
 
 def _offsets(totals: DataFrame, value: str) -> DataFrame:

@@ -11,6 +11,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def interval_overlap(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range: tuple[str, str], width: float) -> DataFrame:
     """Pairs of rows whose closed intervals meet.  Every interval is put in all buckets of the width that it touches."""
@@ -46,8 +48,6 @@ def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], sou
     takes all sources.  So the work follows the local density.  With no size given, cells are made to hold about k + 1
     sources on average.
     """
-    from .graph import _stored
-
     dim = len(coords)
     if size is None:
         box = sources.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"w{i}") for i, c in enumerate(coords)]).first()
@@ -61,9 +61,9 @@ def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], sou
         return targets.limit(0).select(F.col(target_id), F.lit(None).cast("long").alias(source_id), F.lit(0.0).alias("distance2"), F.lit(0).alias("rank"))
     cells = [f"_c{i}" for i in range(dim)]
     grid = sources.select(F.col(source_id).alias("_s"), *[F.col(c).alias(f"_s{i}") for i, c in enumerate(coords)])
-    grid = _stored(grid.withColumns(dict(zip(cells, _cell([F.col(f"_s{i}") for i in range(dim)], size)))), "grid")
+    grid = stored(grid.withColumns(dict(zip(cells, _cell([F.col(f"_s{i}") for i in range(dim)], size)))), "grid")
     todo = targets.select(F.col(target_id).alias("_t"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(coords)])
-    todo = _stored(todo, "targets")
+    todo = stored(todo, "targets")
     extent = grid.agg(*[F.max(c) for c in cells], *[F.min(c) for c in cells]).first()
     far = F.lit(1 << 50)  # cells beyond count as at this one; their distance check never holds, so they end with all sources
     heres = [F.greatest(F.least(F.floor(F.col(f"_t{i}") / size), far), -far) for i in range(dim)]
@@ -82,7 +82,7 @@ def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], sou
         found = probe.join(grid, cells, "left").withColumn("_d", d2)
         near = found.groupBy("_t", *[f"_t{i}" for i in range(dim)], "_r").agg(F.slice(F.sort_array(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("_s").alias("s"))))), 1, k).alias("_near"))
         enough = (F.size("_near") >= min(k, n)) & (F.element_at("_near", F.greatest(F.size("_near"), F.lit(1)))["d"] <= (F.col("_r") * size) ** 2)
-        near = _stored(near.withColumn("_ok", F.coalesce(F.col("_r") >= whole, F.lit(True)) | F.coalesce(enough, F.lit(False))), "near")
+        near = stored(near.withColumn("_ok", F.coalesce(F.col("_r") >= whole, F.lit(True)) | F.coalesce(enough, F.lit(False))), "near")
         done.append(near.filter("_ok").select("_t", "_near"))
         todo = near.filter("not _ok").drop("_near", "_ok", "_r")
         if todo.isEmpty():

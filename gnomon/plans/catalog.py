@@ -290,14 +290,15 @@ def balance_stats(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + 7 AS b FROM part WHERE p_partkey % 5 <> 0 AND p_partkey + 7 IN (SELECT p_partkey FROM part)),
-    u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.node = u.a)
-    SELECT node, min(c) AS component FROM r GROUP BY node"""
+    """SELECT o_orderkey AS node, -1000000000 - c_nationkey AS component FROM orders JOIN customer ON o_custkey = c_custkey
+    UNION ALL SELECT -1 - c_custkey, -1000000000 - c_nationkey FROM customer
+    UNION ALL SELECT DISTINCT -1000000000 - c_nationkey, -1000000000 - c_nationkey FROM customer"""
 )
 def connected_groups(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey")
-    e = p.filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 7).alias("b"))
-    return graph.connected_components(e.join(p, F.col("b") == F.col("p_partkey"), "left_semi"), "a", "b")
+    # Orders to customers to nations: hubs of very different degrees.
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    e = o.select(F.col("o_orderkey").alias("a"), (-1 - F.col("o_custkey")).alias("b")).unionByName(c.select((-1 - F.col("c_custkey")).alias("a"), (-1_000_000_000 - F.col("c_nationkey")).alias("b")))
+    return graph.connected_components(e, "a", "b")
 
 
 @query("SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_partkey % 7) AS component FROM part")
