@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gnomon.llm import langid, mixing, ngram_join, pieces, pii
-from gnomon.llm.common import read_table, shared_path, word_count
+from gnomon.llm.common import read_table, word_count
 from gnomon.shipping import ship
+from gnomon.storage import fresh_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -73,7 +74,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        path = shared_path(spark, f"pipeline-{k}")
+        path = fresh_path(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import claim, read_table, shared_path, written
+from ..storage import fresh_path, stored
+from .common import claim, read_table
 
 MAGIC = b"GNOMIDS1"
 BLOCK = 2_048
@@ -302,7 +303,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, *, id_col: str = "doc_id"
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     sorted_docs = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(sorted_docs.mapInPandas(run, "pid int, seq int, file string, n_docs bigint, n_ids bigint"), "ids-manifest")
+    return stored(sorted_docs.mapInPandas(run, "pid int, seq int, file string, n_docs bigint, n_ids bigint"), "ids-manifest")
 
 
 def read_ids(manifest: DataFrame, folder: str, digests: bool = True) -> DataFrame:
@@ -335,6 +336,6 @@ def read_ids(manifest: DataFrame, folder: str, digests: bool = True) -> DataFram
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = shared_path(spark, "id-files")
+    folder = fresh_path(spark, "id-files")
     manifest = write_ids(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return read_ids(manifest, folder)

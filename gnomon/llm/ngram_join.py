@@ -1,15 +1,16 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
-1. Texts with the same word sequence are one class (its id: the least document id), so copies cost one row.
-2. Each class gets MinHash values of its word shingles.  BANDS bands of WIDTH values make candidates: with a
-   similarity of 0.8, a pair shares no band with probability (1 - 0.8**WIDTH)**BANDS < 4e-6.  A band row carries the
-   class id and GATE one-byte values of other MinHash functions.
+1. One pass over the texts writes a narrow row for each document: a digest of its words in order (documents with the
+   same words are one class), BANDS hashes of WIDTH MinHash values of its word shingles each, and GATE one-byte values
+   of other MinHash functions.  Only these rows are shuffled; a class keeps one of them, under a number of its own.
+2. The bands make candidates: with a similarity of 0.8, a pair shares no band with probability
+   (1 - 0.8**WIDTH)**BANDS < 4e-6.
 3. Inside a bucket, values are compared incrementally, GATE_STEP at a time; a pair is dropped as soon as the posterior
    probability (uniform prior) that its similarity reaches the threshold is below TOLERANCE.  Only a spanning forest
    of the surviving pairs leaves the bucket, so a bucket of n classes gives fewer than n rows.
-4. Classes connected by survivors meet in one group; there VERIFY further values prune in the same way, and the
-   remaining pairs are verified exactly on their shingle sets.  Links are counted, not emitted; a spanning forest of
-   the verified links gives the final classes.
+4. Classes connected by survivors meet in one group, for which alone texts are read again; there VERIFY further values
+   prune in the same way, and the remaining pairs are verified exactly on their shingle sets.  Links are counted, not
+   emitted; a spanning forest of the verified links gives the final classes.
 Buckets and groups above BLOCK members are cut into blocks, and each pair of blocks is a task of its own.
 """
 
@@ -24,8 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from .common import claim, give_back, read_table, written
+from ..operators.graph import connected_components, forest
+from ..storage import discard, stored
+from .common import claim, give_back, read_table
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -45,11 +47,11 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles; a text of fewer words is one shingle, one without words has none."""
+def shingles(text: str | list[bytes], n: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-word shingles of a text or its words; fewer words are one shingle, none give none."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").split()
+    words = text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else text
     if not words:
         return np.zeros(0, np.uint64)
     if len(_words) > 250_000:
@@ -105,24 +107,6 @@ def survivors(values: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, bits:
     return live
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(members, their least connected member) of a graph on 0..n-1 where these differ, by label propagation with pointer jumping."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while (new[new] != new).any():
-            new = new[new]
-        new = new[label]
-        if (new == label).all():
-            break
-        label = new
-    member = np.flatnonzero(label != np.arange(n))
-    return member, label[member]
-
-
 def all_pairs(n: int, m: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs i < j of 0..n-1, or with m pairs of 0..m-1 and m..n-1, in slices of bounded size."""
     for lo in range(0, n if m is None else m, max(1, 400_000 // max(n, 1))):
@@ -196,25 +180,29 @@ def pair_slices(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     return all_pairs(len(g), int((g["half"].values == 0).sum()))
 
 
-def banded(classes: DataFrame) -> DataFrame:
-    """(band, id, gate) for every band of every class; nothing for texts without words."""
+def signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, raw, key, bands, gate) of rows (doc_id, raw, text); key and what follows is null for texts without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         claim("ngram_join", _words.clear)
         for b in batches:
-            ids, keys, gates = [], [], []
-            for i, t in zip(b["id"], b["text"]):
-                s = shingles(t)
-                if len(s):
-                    v = minhash(s, 0, BANDS * WIDTH + GATE)
-                    band = finish((v[: BANDS * WIDTH].reshape(BANDS, WIDTH) * _POWERS[:WIDTH]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    ids += [i] * BANDS
-                    keys.append(band.view(np.int64))
-                    gates += [v[BANDS * WIDTH :].astype(np.uint8).tobytes()] * BANDS
-            yield pd.DataFrame({"band": np.concatenate(keys) if keys else np.zeros(0, np.int64), "id": np.array(ids, np.int64), "gate": gates})
+            keys, bands, gates = [], [], []
+            for t in b["text"]:
+                words = (t or "").encode("utf-8", "surrogatepass").split()
+                if not words:
+                    keys.append(None), bands.append(None), gates.append(None)
+                    continue
+                v = minhash(shingles(words), 0, BANDS * WIDTH + GATE)
+                band = finish((v[: BANDS * WIDTH].reshape(BANDS, WIDTH) * _POWERS[:WIDTH]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                bands.append(band.view(np.int64))
+                gates.append(v[BANDS * WIDTH :].astype(np.uint8).tobytes())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "raw": b["raw"], "key": keys, "bands": bands, "gate": gates})
         give_back()
 
-    return classes.mapInPandas(run, "band bigint, id bigint, gate binary")
+    return docs.mapInPandas(run, "doc_id bigint, raw bigint, key binary, bands array<bigint>, gate binary")
 
 
 def bucket_edges(g: pd.DataFrame) -> list[tuple[int, int]]:
@@ -282,42 +270,46 @@ def group_links(g: pd.DataFrame) -> list[tuple[int, int, int]]:
     return list(zip(ids[live].tolist(), ids[root[live]].tolist(), links[live].tolist()))
 
 
-def _key(text: Column) -> Column:
-    """The words of a text in order, as a digest; null for a text without words."""
-    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(F.length(words) > 0, F.sha2(words, 256))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, raw, text): raw is a hash of the text as it stands, which tells apart rows that share an id."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("raw"), F.col(text_col).alias("text"))
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of every row, key null without words; (key, class_id, n_links, first) of every key that has an id.
+def _repeated(live: DataFrame) -> DataFrame:
+    """(doc_id, raw, key) of rows that share id and words with another row; stored."""
+    more = live.groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key")
+    return stored(live.select("doc_id", "raw", "key").join(more, ["doc_id", "key"], "left_semi").distinct(), "ngram-again")
 
-    first marks the key that stands for its class: of those whose least id is the class's, the least.
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, raw, key) of every row, key null without words; (key, class_id, n_links, first_key) of every key that has an id; the repeated rows.
+
+    The rows with id class_id and key first_key stand for the class.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = d.withColumn("key", _key(F.col("text")))
-    live = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
-    wordy = keyed.filter(live)
-    members = written(keyed.select("doc_id", "key"), "ngram-members")
-    reps = written(members.filter(live).groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "ngram-classes")
-    # A repeated id may carry several texts: the least id is then no key of a class, so classes go by (id, key); they get an own number here.
-    reps = reps.withColumn("n", F.xxhash64("key"))
-    texts = wordy.join(reps.select(F.col("id").alias("doc_id"), "key", "copies", "n"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    texts = texts.select(F.xxhash64("key").alias("id"), "text")
-    bands = written(banded(texts), "ngram-bands")
+    rows = _rows(docs, id_col, text_col)
+    members = stored(signed(rows), "ngram-members")
+    live = members.filter("key is not null and doc_id is not null")
+    again = _repeated(live)
+    reps = live.groupBy("key").agg(F.min(F.struct("doc_id", "raw")).alias("least"), F.count("*").alias("copies"), F.min(F.struct("gate", "bands")).alias("sign"))
+    # The numbers are fixed by being written.
+    reps = stored(reps.select("key", "least.*", "copies", "sign.*", F.monotonically_increasing_id().alias("n")), "ngram-classes")
+    bands = reps.select(F.col("n").alias("id"), F.explode("bands").alias("band"), "gate")
     near = dealt(in_blocks(bands, "band", "id"), ["band", "block_a", "block_b"]).mapInPandas(by_group(["band", "block_a", "block_b"], [], bucket_edges, ["a", "b"]), "a bigint, b bigint")
-    groups = connected_components(written(near.distinct(), "ngram-edges"), "a", "b")
-    groups = written(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "ngram-groups")
-    loaded = texts.join(groups, "id").join(reps.select(F.col("n").alias("id"), "copies"), "id")
+    groups = stored(connected_components(near, "a", "b"), "ngram-groups")
+    wanted = reps.select("doc_id", "raw", "n", "copies").join(groups.select(F.col("node").alias("n"), F.col("component").alias("group")), "n")
+    loaded = rows.join(wanted.withColumnRenamed("n", "id"), ["doc_id", "raw"]).select("id", "group", "copies", "text")
+    if not again.isEmpty():
+        loaded = loaded.dropDuplicates(["id"])
     blocks = dealt(in_blocks(loaded, "group", "id"), ["group", "block_a", "block_b"])
-    links = written(blocks.mapInPandas(by_group(["group", "block_a", "block_b"], [], group_links, ["id", "root", "links"]), "id bigint, root bigint, links bigint"), "ngram-links")
-    found = connected_components(links.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct(), "a", "b")
-    linked = links.groupBy("id").agg(F.sum("links").alias("links"))
-    named = reps.select(F.col("n").alias("_n"), F.col("id").alias("least"), "copies", "key")
-    named = named.join(found.select(F.col("node").alias("_n"), "component"), "_n", "left").join(linked.withColumnRenamed("id", "_n"), "_n", "left")
-    lowest = named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("least", "key")).alias("lowest"))
-    first = F.coalesce(F.col("lowest.key") == F.col("key"), F.lit(True)).alias("first")
-    named = named.join(lowest, "component", "left").select("key", F.coalesce("lowest.least", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), first)
-    return members, written(named, "ngram-named")
+    links = stored(blocks.mapInPandas(by_group(["group", "block_a", "block_b"], [], group_links, ["id", "root", "links"]), "id bigint, root bigint, links bigint"), "ngram-links")
+    found = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "a", "b").withColumnRenamed("node", "n")
+    linked = links.groupBy(F.col("id").alias("n")).agg(F.sum("links").alias("links"))
+    named = reps.select("n", "key", "copies", F.struct("doc_id", "key").alias("least")).join(found, "n", "left").join(linked, "n", "left")
+    lowest = named.filter("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
+    named = named.join(lowest, "component", "left").withColumn("lowest", F.coalesce("lowest", "least"))
+    named = stored(named.select("key", F.col("lowest.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("lowest.key").alias("first_key")), "ngram-named")
+    discard(reps), discard(groups), discard(links)
+    return members, named, again
 
 
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,10 +318,10 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     class_id is the least id of the documents connected to it by similarities of THRESHOLD or more; n_links counts the
     other documents that are that similar, copies included.  Texts with the same words in the same order are copies.
     A text without words (null, empty, blank) is linked to nothing and is its own class.  Rows that repeat an id stay,
-    as copies or separate documents by their text; a null id is kept out of all classes, with a null class_id.  An
-    empty table gives an empty result.  Other columns are ignored.
+    as copies or separate documents by their text; a null id is kept out of all classes, with a null class_id.  Ids are
+    whole numbers, or text that holds them.  An empty table gives an empty result.  Other columns are ignored.
     """
-    members, named = _classes(docs, id_col, text_col)
+    members, named, _ = _classes(docs, id_col, text_col)
     live = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
     out = members.filter(live).join(named, "key").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
     alone = members.filter(~live).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
@@ -340,22 +332,19 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """docs with one row of each class, the one of least id; rows without words or without id all stay.
 
     Where rows of one class share the least id, the one whose words have the least digest stays; of those with the same
-    words, the first by text, then by the other columns.
+    words, the first by text, then by the other columns.  An empty table stays empty; further columns are kept, whatever their names.
     """
-    members, named = _classes(docs, id_col, text_col)
-    placed = members.filter("key is not null and doc_id is not null").join(named.select("key", "class_id", "first"), "key")
-    chosen = F.col("first") & (F.col("doc_id") == F.col("class_id"))
-    gone = placed.filter(~chosen).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    d = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": _key(F.col(text_col))}).join(gone, ["_id", "_key"], "left_anti")
-    # Rows that repeat an id and its words; other rows found here by a clash of hashes are told apart by their key.
-    again = placed.filter(chosen).groupBy(F.col("doc_id").alias("_id"), F.xxhash64("key").alias("_n")).count().filter("count > 1").drop("count")
-    again = written(again, "ngram-again")
+    members, named, again = _classes(docs, id_col, text_col)
+    first = (F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("first_key"))
+    placed = members.select("doc_id", "raw", "key").filter("key is not null and doc_id is not null").join(named.select("key", "class_id", "first_key"), "key")
+    gone = placed.filter(~first).select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
+    d = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_raw": F.xxhash64(text_col)}).join(gone, ["_id", "_raw"], "left_anti")
     if not again.isEmpty():
-        d = d.withColumn("_n", F.xxhash64("_key"))
-        order = Window.partitionBy("_id", "_key").orderBy(text_col, F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
-        one = d.join(again, ["_id", "_n"], "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
-        d = d.join(again, ["_id", "_n"], "left_anti").unionByName(one)
-    return d.select(*docs.columns)
+        twice = again.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), F.col("key").alias("_key"))
+        order = Window.partitionBy("_id", "_key").orderBy(text_col, F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+        one = d.join(twice, ["_id", "_raw"]).withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row", "_key")
+        d = d.join(twice, ["_id", "_raw"], "left_anti").unionByName(one)
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

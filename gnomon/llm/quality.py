@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, read_table, small, words_of, written
+from ..storage import stored
+from .common import WORD, materialise, read_table, small, words_of
 
 COMMON_SHARE = 0.004
 MIN_WORDS = 50
@@ -103,7 +104,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
         .agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in CLASSES])
     )
     words = docs.select(F.col(lang_col).alias("lang"), F.explode(words_of(F.lower(text))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("c"))
-    words = written(words, "quality-words")
+    words = stored(words, "quality-words")
     languages = materialise(totals)
     n_languages = languages.count()
     of = small(languages.select(F.col("lang").alias("_l"), "n"), n_languages, MAX_BROADCAST_LANGUAGES)
