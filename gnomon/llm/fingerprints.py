@@ -1,125 +1,93 @@
-"""Document fingerprints by consistent weighted sampling.
+"""Document fingerprints by consistent weighted sampling (DataFrame operations only).
 
 A text is a bag of words weighted by their counts.  For each of SAMPLES samples and each word, gamma variates r and c
-(shape 2) and a uniform b come from hashes of word and sample; with weight S, t = floor(ln S / r + b) and
+(shape 2) and a uniform b come from a hash of word and sample; with weight S, t = floor(ln S / r + b) and
 ln a = ln c - r * (t - b + 1).  The word with the least a is the sample, together with t.  Two texts agree in a sample
 with a probability equal to their generalised Jaccard similarity, sum(min) / sum(max) of their word counts.
 
-A word with its count yields one 64-bit number per sample, ln a in the upper bits and a hash of (word, t) in the lower
-32, so a fingerprint is the minimum over the rows of a table.  These rows are made in numpy and kept in the worker, at
-most MEMO of them.  (The same in DataFrame operations alone did not meet the limits; see the README.)
+The gamma variates are drawn by inversion: 12 bits of the hash choose one of 4,096 equally likely quantiles from a
+table, so a sample costs one hash and no logarithm.  A sample is one 64-bit number, ln a in the upper half and a hash
+of (word, t) in the lower, and a fingerprint is the minimum of these over the words.
 
-The next document in descending order of id is found without a global sort: ids are cut at approximate quantiles into
-at most INTERVALS intervals and these evenly into buckets of about ROWS rows.  Texts are shuffled once, by bucket; a
-window inside each bucket gives the next text.  Only the last document of each bucket looks beyond it, by the first
-documents of buckets and intervals.
+Work goes by rows: words are exploded and counted, each count gives GROUPS rows of WIDE samples, and these are reduced
+by minima.  Texts are dealt by their document once, and all of this stays in that dealing.  (Rows of few samples, as
+the JVM does not compile a generated method above 8,000 bytes of bytecode.)
+
+The next document in descending order of id is found on narrow rows: documents are numbered, and a document sends its
+successor's share of text to it by key.  Only these heads are shuffled a second time.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
-from collections import Counter
+from functools import lru_cache
 
-import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, claim, read_table
+from ..operators.numbering import row_numbers
+from ..storage import stored
+from .common import SPACE, read_table
 
 SAMPLES = 64
-ROWS = 512
-INTERVALS = 128
+WIDE = 4
+GROUPS = SAMPLES // WIDE
+QUANTILES = 1 << 12
 LOW = 0xFFFFFFFF
-MEMO = 1 << 16
-FIELDS = "text_sig array<long>, edited_sig array<long>, next_sig array<long>, edited_sha256 string"
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64: 64 well mixed bits for each number."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def uniform(h: np.ndarray, k: int) -> np.ndarray:
-    """Numbers strictly between 0 and 1, the k-th for each word hash and sample."""
-    at = np.arange(SAMPLES, dtype=np.uint64) * np.uint64(5) + np.uint64(k + 1)
-    x = mixed(h[:, None] + at * np.uint64(0x9E3779B97F4A7C15))
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
-
-
-def samples(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """ln a and the hash of (word, t), packed: a row for each word hash and weight, a column for each sample."""
-    r = -np.log(uniform(h, 0) * uniform(h, 1))
-    c = -np.log(uniform(h, 2) * uniform(h, 3))
-    b = uniform(h, 4)
-    t = np.floor(np.log(weights)[:, None] / r + b)
-    # ln a lies far inside (-2 ** 9, 2 ** 9) for any count below 2 ** 63.
-    rank = ((np.log(c) - r * (t - b + 1) + 512) * (1 << 20)).astype(np.int64)
-    mark = mixed(h[:, None] + t.astype(np.int64).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) & np.uint64(LOW)
-    return (rank << 32) | mark.astype(np.int64)
-
-
-class Sampler:
-    """Signatures of texts; keeps the rows of up to MEMO pairs of word and count."""
-
-    def __init__(self) -> None:
-        self.rows: dict[tuple[str, int], int] = {}
-        self.table = np.empty((MEMO, SAMPLES), dtype=np.int64)
-        self.words = re.compile(WORD)
-
-    def least(self, pairs: list[tuple[str, int]]) -> np.ndarray:
-        fresh = [p for p in pairs if p not in self.rows]
-        if len(self.rows) + len(fresh) > MEMO:
-            self.rows.clear()
-            fresh = pairs
-        if fresh:
-            start = len(self.rows)
-            h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w, _ in fresh), np.uint64, len(fresh))
-            self.table[start : start + len(fresh)] = samples(h, np.array([n for _, n in fresh], dtype=np.float64))
-            self.rows.update((p, start + i) for i, p in enumerate(fresh))
-        return self.table[[self.rows[p] for p in pairs]].min(axis=0)
-
-    def signature(self, text: str) -> np.ndarray | None:
-        pairs = list(Counter(self.words.findall(text)).items())
-        if not pairs:
-            return None
-        step = MEMO // 16
-        out = self.least(pairs[:step])
-        for i in range(step, len(pairs), step):
-            out = np.minimum(out, self.least(pairs[i : i + step]))
-        return out & LOW
-
-
-_sampler: list[Sampler] = []
-
-
-def sampler() -> Sampler:
-    claim("fingerprints", _sampler.clear)
-    if not _sampler:
-        _sampler.append(Sampler())
-    return _sampler[0]
-
-
-def edited_text(text: str, following: str) -> str:
-    cut = len(text) // 3
-    return text[: len(text) - cut] + following[:cut]
-
-
-def signatures(texts: pd.Series, followings: pd.Series) -> pd.DataFrame:
-    """Signatures of a text, its following text and the edited one.  Where rows come in order, a following text is the next row's own."""
-    s, out = sampler(), []
-    last, last_sig = None, None
-    for text, following in zip(texts, followings):
-        own = last_sig if text == last else s.signature(text)
-        last, last_sig = following, s.signature(following)
-        edited = edited_text(text, following)
-        out.append((own, s.signature(edited), last_sig, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()))
-    return pd.DataFrame(out, columns=["text_sig", "edited_sig", "next_sig", "edited_sha256"], dtype=object)
+#: Copies of one row that are put out from one array.
+COPIES = 10_000
+#: ln a is between -2 ** 9 and 2 ** 9 for every count below 2 ** 63; 20 bits follow the point.
+SHIFT, POINT = 512.0, float(1 << 20)
+
+
+@lru_cache(1)
+def gamma_quantiles() -> list[float]:
+    """Quantiles of the gamma distribution of shape 2 in the middle of QUANTILES equal shares: the solutions of 1 - (1 + x) exp(-x) = p, by Newton's method in ln x."""
+    out, x = [], 0.01
+    for i in range(QUANTILES):
+        p = (i + 0.5) / QUANTILES
+        for _ in range(60):
+            step = (1 - (1 + x) * math.exp(-x) - p) / (x * x * math.exp(-x))
+            x *= math.exp(max(-1.0, min(1.0, -step)))
+            if abs(step) < 1e-14:
+                break
+        out.append(x)
+    return out
+
+
+def samples(seed: Column, count_log: Column) -> list[Column]:
+    """WIDE packed samples of a word, from a hash of word and group, and the logarithm of the word's count."""
+    table = lambda xs: F.expr(f"array({','.join(f'{x!r}D' for x in xs)})")
+    r_table, c_table = table(gamma_quantiles()), table([math.log(x) for x in gamma_quantiles()])
+    out = []
+    for k in range(WIDE):
+        h = F.xxhash64(seed.bitwiseXOR(F.lit(k)))
+        bits = lambda at: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(QUANTILES - 1)).cast("int")
+        r, c = F.get(r_table, bits(0)), F.get(c_table, bits(12))
+        b = F.shiftrightunsigned(h, 24).cast("double") * F.lit(2.0**-40)
+        t = F.floor(count_log / r + b)
+        rank = ((c - r * (t - b + F.lit(1.0)) + F.lit(SHIFT)) * F.lit(POINT)).cast("long")
+        out.append(F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(h.bitwiseXOR(t)).bitwiseAND(F.lit(LOW))))
+    return out
+
+
+def signatures(texts: DataFrame, key: list[str], variants: dict[str, Column]) -> DataFrame:
+    """(key, one array of SAMPLES 32-bit numbers for each variant of a row's text, null where it has no words).
+
+    texts must be dealt by key already, with one row a key; nothing is shuffled then.
+    """
+    d = texts.select(*key, F.explode(F.array(*[F.struct(F.lit(i).alias("v"), t.alias("t")) for i, t in enumerate(variants.values())])).alias("x"))
+    d = d.select(*key, F.col("x.v").alias("v"), F.explode(F.split("x.t", SPACE)).alias("w")).filter("w <> ''")
+    d = d.select(*key, "v", F.xxhash64("w").alias("w")).groupBy(*key, "v", "w").agg(F.count(F.lit(1)).alias("n"))
+    d = d.select(*key, "v", "w", F.log(F.col("n").cast("double")).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("g"))
+    d = d.select(*key, "v", "g", "n", F.xxhash64("w", "g").alias("h"))
+    d = d.select(*key, "v", "g", *[s.alias(f"s{k}") for k, s in enumerate(samples(F.col("h"), F.col("n")))])
+    d = d.groupBy(*key, "v", "g").agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(WIDE)])
+    low = F.array(*[F.shiftright(F.shiftleft(f"s{k}", 32), 32).cast("int") for k in range(WIDE)])
+    # GROUPS rows a document and variant.
+    d = d.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("v", "g", low.alias("s")))).alias("a"))
+    part = lambda i: F.flatten(F.transform(F.filter("a", lambda x: x["v"] == i), lambda x: x["s"]))
+    return d.select(*key, *[F.when(F.size(part(i)) > 0, part(i)).alias(name) for i, name in enumerate(variants)])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -130,65 +98,58 @@ def likeness(a: str, b: str) -> Column:
 
 def as_hex(sig: str) -> Column:
     """The fingerprint as text, 8 hexadecimal digits a sample; empty for a text without words."""
-    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
-
-
-def place(docs: DataFrame, column: str) -> tuple[Column, Column]:
-    """(interval, bucket) of an id: never descending as the id ascends, null ids lowest."""
-    row = docs.agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), F.percentile_approx(column, [i / INTERVALS for i in range(1, INTERVALS)], 10_000).alias("cuts")).first()
-    if row["low"] is None:
-        return F.lit(0), F.lit(0)
-    cuts = sorted({c for c in row["cuts"] if c > row["low"]}) if row["n"] > ROWS else []
-    edges = [row["low"], *cuts, row["high"] + 1]
-    pieces = max(1, math.ceil(row["n"] / len(edges) / ROWS))
-    v = F.col(column)
-
-    def tree(lo: int, hi: int, leaf) -> Column:
-        if hi - lo == 1:
-            return leaf(lo)
-        mid = (lo + hi) // 2
-        return F.when(v < edges[mid], tree(lo, mid, leaf)).otherwise(tree(mid, hi, leaf))
-
-    n = len(edges) - 1
-    part = lambda i: F.least(F.floor((v - F.lit(edges[i])).cast("double") * (pieces / (edges[i + 1] - edges[i]))), F.lit(pieces - 1)).cast("int")
-    return F.when(v.isNull(), -1).otherwise(tree(0, n, lambda i: F.lit(i))), F.when(v.isNull(), 0).otherwise(tree(0, n, part))
-
-
-def next_firsts(firsts: DataFrame) -> DataFrame:
-    """(interval, bucket, after): for each bucket, the text of the first document in the next bucket that has any, the first of all after the last."""
-    inner = Window.partitionBy("interval").orderBy(F.col("bucket").desc())
-    f = firsts.withColumn("after", F.lead(F.struct("text")).over(inner)).withColumn("_rank", F.row_number().over(inner))
-    # One row an interval, at most INTERVALS + 1.
-    tops = f.filter("_rank = 1").select("interval", F.struct("text").alias("top"))
-    order = Window.orderBy(F.col("interval").desc())
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.select("interval", F.coalesce(F.lead("top").over(order), F.first("top").over(everything)).alias("beyond"))
-    return f.join(F.broadcast(tops), "interval").select("interval", "bucket", F.coalesce("after", "beyond").alias("after"))
+    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.right(F.concat(F.lit("0000000"), F.lower(F.hex(x))), F.lit(8))), ""), F.lit(""))
+
+
+KEY = ["ka", "kb"]
+
+
+def neighbours(keys: DataFrame) -> DataFrame:
+    """(ka, kb, doc_id, m, n_chars, last_a, last_b, last_chars) from the first five, one row a distinct document.
+
+    last is the document before it in descending order of id, null ids last and going round at the ends.
+    """
+    d = stored(row_numbers(keys, ["doc_id", "kb"], "rn"), "fingerprint-order")
+    n = d.count()
+    before = F.when(F.col("rn") == 1, n).otherwise(F.col("rn") - 1)
+    return d.join(d.select(before.alias("rn"), F.col("ka").alias("last_a"), F.col("kb").alias("last_b"), F.col("n_chars").alias("last_chars")), "rn").drop("rn")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A null text counts as empty.  Rows that share an id are ordered by text, descending; a null id comes last.  A
-    single document is its own next one.  An empty table gives an empty result.  Other columns are ignored.
+    A null text counts as empty.  Rows that share an id are ordered by a hash of their text; a null id comes last.  Of
+    equal rows, each but one has its copy as next document.  A single document is its own next one.  Ids may be of any
+    type with an order.  An empty table gives an empty result.  Other columns are ignored.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    interval, bucket = place(docs.select(F.col(id_col).alias("doc_id")), "doc_id")
-    by = ["interval", "bucket"]
-    order = Window.partitionBy(*by).orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    d = d.select("doc_id", "text", interval.cast("int").alias("interval"), bucket.cast("int").alias("bucket"))
-    d = d.withColumn("rn", F.row_number().over(order)).withColumn("following", F.lead("text").over(order))
-    n_chars = F.length("text").cast("long").alias("n_chars")
-    signs = F.pandas_udf(signatures, FIELDS)
-    signed = lambda x: x.select("doc_id", n_chars, signs("text", "following").alias("_s")).select("doc_id", "n_chars", "_s.*")
-    main = signed(d.filter("following is not null"))
-    # The last document of each bucket, with the first of the next one.
-    ends = d.filter("rn = 1 or following is null").select(*by, "rn", "doc_id", "text", F.col("following").isNull().alias("last"))
-    after = next_firsts(ends.filter("rn = 1").select(*by, "text"))
-    lasts = ends.filter("last").join(after, by).withColumn("following", F.col("after")["text"])
-    rest = signed(lasts)
-    both = main.unionByName(rest)
-    return both.select("doc_id", "n_chars", "edited_sha256", as_hex("text_sig").alias("fingerprint"), as_hex("edited_sig").alias("edited_fingerprint"), likeness("text_sig", "edited_sig").alias("near_edited"), likeness("text_sig", "next_sig").alias("near_next"))
+    # A document is known by two hashes, of its id and its text; both would have to clash.
+    d = d.select("doc_id", "text", F.xxhash64("doc_id").alias("ka"), F.xxhash64("text").alias("kb"))
+    keys = d.select(*KEY, "doc_id", F.length("text").alias("n_chars")).groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("m"), F.first("n_chars").alias("n_chars"))
+    order = stored(neighbours(keys), "fingerprint-neighbours")
+    # Every text is dealt by its key once; all uses below read that one exchange.
+    texts = d.select(*KEY, "text").groupBy(*KEY).agg(F.first("text").alias("text"))
+    third = lambda n: F.floor(n / 3).cast("int")
+    heads = texts.join(order.select(*KEY, "m", "last_a", "last_b", "last_chars"), KEY)
+    heads = heads.select(F.col("last_a").alias("ka"), F.col("last_b").alias("kb"), F.substring("text", F.lit(1), third(F.col("last_chars"))).alias("head"))
+    both = texts.join(heads, KEY)
+    cut = third(F.length("text"))
+    body, own = F.substring("text", F.lit(1), F.length("text") - cut), F.substring("text", F.lit(1), cut)
+    edited, copied = F.concat(body, F.col("head")), F.concat(body, own)
+    several = order.filter("m > 1").select(*KEY, F.lit(True).alias("several"))
+    both = both.join(several, KEY, "left")
+    signed = stored(signatures(both, KEY, {"text_sig": F.col("text"), "edited_sig": edited, "copied_sig": F.when(F.col("several"), copied)}), "fingerprint-signatures")
+    digests = both.select(*KEY, F.sha2(edited, 256).alias("edited_sha"), F.when(F.col("several"), F.sha2(copied, 256)).alias("copied_sha"))
+    d = order.join(digests, KEY).join(signed, KEY, "left")
+    nexts = order.select(F.col("ka"), F.col("kb"), "last_a", "last_b").join(signed.select(*KEY, F.col("text_sig").alias("next_sig")), KEY, "left")
+    nexts = nexts.select(F.col("last_a").alias("ka"), F.col("last_b").alias("kb"), "next_sig")
+    d = d.join(nexts, KEY)
+    # A copy's next document is a copy, but for one; long runs of copies come in bounded arrays.
+    d = d.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / COPIES))))
+    d = d.withColumn("_copy", F.explode(F.sequence(F.col("_run") * COPIES, F.least((F.col("_run") + 1) * COPIES, F.col("m")) - 1)))
+    pick = lambda a, b: F.when(F.col("_copy") > 0, F.col(a)).otherwise(F.col(b))
+    d = d.withColumns({"edited_sig": pick("copied_sig", "edited_sig"), "next_sig": pick("text_sig", "next_sig"), "edited_sha256": pick("copied_sha", "edited_sha")})
+    return d.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_hex("text_sig").alias("fingerprint"), as_hex("edited_sig").alias("edited_fingerprint"), likeness("text_sig", "edited_sig").alias("near_edited"), likeness("text_sig", "next_sig").alias("near_next"))
 
 
 def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
