@@ -136,19 +136,18 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     cut = third(F.length("text"))
     body, own = F.substring("text", F.lit(1), F.length("text") - cut), F.substring("text", F.lit(1), cut)
     edited, copied = F.concat(body, F.col("head")), F.concat(body, own)
-    several = order.filter("m > 1").select(*KEY, F.lit(True).alias("several"))
-    both = both.join(several, KEY, "left")
-    signed = stored(signatures(both, KEY, {"text_sig": F.col("text"), "edited_sig": edited, "copied_sig": F.when(F.col("several"), copied)}), "fingerprint-signatures")
-    digests = both.select(*KEY, F.sha2(edited, 256).alias("edited_sha"), F.when(F.col("several"), F.sha2(copied, 256)).alias("copied_sha"))
+    both = both.join(order.filter("m > 1").select(*KEY, F.lit(True).alias("several")), KEY, "left")
+    signed = signatures(both, KEY, {"text_sig": F.col("text"), "edited_sig": edited, "copied_sig": F.when(F.col("several"), copied)})
+    digest = lambda t: F.unhex(F.sha2(t, 256))
+    digests = both.select(*KEY, digest(edited).alias("edited_sha"), F.when(F.col("several"), digest(copied)).alias("copied_sha"))
     d = order.join(digests, KEY).join(signed, KEY, "left")
-    nexts = order.select(F.col("ka"), F.col("kb"), "last_a", "last_b").join(signed.select(*KEY, F.col("text_sig").alias("next_sig")), KEY, "left")
-    nexts = nexts.select(F.col("last_a").alias("ka"), F.col("last_b").alias("kb"), "next_sig")
-    d = d.join(nexts, KEY)
+    d = stored(d.drop("last_chars"), "fingerprint-signatures")
+    d = d.drop("last_a", "last_b").join(d.select(F.col("last_a").alias("ka"), F.col("last_b").alias("kb"), F.col("text_sig").alias("next_sig")), KEY)
     # A copy's next document is a copy, but for one; long runs of copies come in bounded arrays.
     d = d.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / COPIES))))
     d = d.withColumn("_copy", F.explode(F.sequence(F.col("_run") * COPIES, F.least((F.col("_run") + 1) * COPIES, F.col("m")) - 1)))
     pick = lambda a, b: F.when(F.col("_copy") > 0, F.col(a)).otherwise(F.col(b))
-    d = d.withColumns({"edited_sig": pick("copied_sig", "edited_sig"), "next_sig": pick("text_sig", "next_sig"), "edited_sha256": pick("copied_sha", "edited_sha")})
+    d = d.withColumns({"edited_sig": pick("copied_sig", "edited_sig"), "next_sig": pick("text_sig", "next_sig"), "edited_sha256": F.lower(F.hex(pick("copied_sha", "edited_sha")))})
     return d.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_hex("text_sig").alias("fingerprint"), as_hex("edited_sig").alias("edited_fingerprint"), likeness("text_sig", "edited_sig").alias("near_edited"), likeness("text_sig", "next_sig").alias("near_next"))
 
 
