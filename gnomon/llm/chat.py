@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import free_names, read_table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 LEARNED_ROLE = "assistant"
@@ -54,29 +54,35 @@ def common_turns(chosen: Column, rejected: Column) -> Column:
 def preference_format(pairs: DataFrame, *, chosen_col: str = "chosen", rejected_col: str = "rejected") -> DataFrame:
     """pairs with prompt, chosen_text, rejected_text, chosen_mask, rejected_mask, n_common in place of the two arrays of struct(role, text).
 
-    A null array counts as empty; equal conversations give two empty completions.  Other columns are kept; the two
-    arrays are read before, so a column that has one of the new names is replaced.
+    A null array counts as empty; equal conversations give two empty completions.  Other columns are kept, whatever
+    their names; the two arrays are read before, so a column that has one of the new names, in any case, is replaced.
+    Repeated rows stay, and an empty table gives an empty result.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
     new = ("prompt", "chosen_text", "rejected_text", "chosen_mask", "rejected_mask", "n_common")
-    kept = [c for c in pairs.columns if c not in (chosen_col, rejected_col, *new)]
-    d = pairs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(chosen_col, none).alias("_c"), F.coalesce(rejected_col, none).alias("_r"))
-    d = d.withColumn("n_common", common_turns(F.col("_c"), F.col("_r")))
+    replaced = {c.lower() for c in (chosen_col, rejected_col, *new)}
+    kept = [c for c in pairs.columns if c.lower() not in replaced]
+    p, c, r = free_names(pairs, "_p", "_c", "_r")
+    d = pairs.select(*[F.col(f"`{x}`") for x in kept], F.coalesce(chosen_col, none).alias(c), F.coalesce(rejected_col, none).alias(r))
+    d = d.withColumn("n_common", common_turns(F.col(c), F.col(r)))
     rest = lambda a: F.slice(a, F.col("n_common") + 1, F.greatest(F.size(a), F.lit(1)))
-    d = d.withColumns({"_p": F.slice("_c", F.lit(1), F.col("n_common")), "_c": rest("_c"), "_r": rest("_r")})
+    d = d.withColumns({p: F.slice(c, F.lit(1), F.col("n_common")), c: rest(c), r: rest(r)})
     return d.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(f"`{x}`") for x in kept],
         "n_common",
-        render(F.col("_p")).alias("prompt"),
-        render(F.col("_c")).alias("chosen_text"),
-        render(F.col("_r")).alias("rejected_text"),
-        learned_spans(F.col("_c")).alias("chosen_mask"),
-        learned_spans(F.col("_r")).alias("rejected_mask"),
+        render(F.col(p)).alias("prompt"),
+        render(F.col(c)).alias("chosen_text"),
+        render(F.col(r)).alias("rejected_text"),
+        learned_spans(F.col(c)).alias("chosen_mask"),
+        learned_spans(F.col(r)).alias("rejected_mask"),
     )
 
 
 def conversations_as_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns) from (conv_id, turn, role, text), in order of turn, then role and text; null turns first."""
+    """(conv_id, turns) from (conv_id, turn, role, text), in order of turn, then role and text; null turns first.
+
+    Turns that are repeated stay.  Turns without a conversation id are one conversation, with a null id.
+    """
     s = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     return turns.groupBy("conv_id").agg(s.alias("_t")).select("conv_id", F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
@@ -84,7 +90,8 @@ def conversations_as_turns(turns: DataFrame) -> DataFrame:
 def with_other_replies(convs: DataFrame) -> DataFrame:
     """(conv_id, chosen, rejected): the rejected conversation ends with the last assistant turn of the partner (the id with its lowest bit flipped) instead of its own.
 
-    Without a partner, or if either has no assistant turn, the rejected one is the conversation up to that turn.
+    Without a partner, or if either has no assistant turn, the rejected one is the conversation up to that turn.  A
+    null id has no partner.
     """
     mine = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == LEARNED_ROLE, i)))
     d = convs.withColumn("_last", mine).withColumn("_reply", F.when(F.col("_last").isNotNull(), F.get("turns", F.col("_last"))))

@@ -22,6 +22,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """names, with underscores put after them until no column of df has them, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """df with a broadcast hint when its counted rows are within limit; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

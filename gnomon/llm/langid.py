@@ -22,7 +22,8 @@ from .common import claim, read_table
 
 BUCKETS = 1 << 15
 SAMPLE = 2_000
-ROUNDS = 8
+#: Expectation-maximisation ends for a document when no proportion moves by more.
+TOLERANCE = 1e-4
 PENALTY = 3.0
 SMOOTHING = 0.2
 MEMO = 1 << 17
@@ -142,16 +143,26 @@ class Mixture:
 
     @staticmethod
     def fit(like, base, doc, starts, sizes, allowed) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions by expectation-maximisation over the allowed languages, and the log-likelihoods."""
+        """Proportions by expectation-maximisation over the allowed languages, until they stand still, and the log-likelihoods."""
         share = allowed / allowed.sum(axis=1, keepdims=True)
-        for _ in range(ROUNDS):
-            each = like * share[doc]
-            share = np.add.reduceat(each / np.maximum(each.sum(axis=1, keepdims=True), 1e-300), starts, axis=0) / sizes[:, None]
+        live, part, place, begin, few = np.arange(len(sizes)), like, doc, starts, sizes
+        while len(live):
+            now = share[live]
+            each = part * now[place]
+            new = np.add.reduceat(each / np.maximum(each.sum(axis=1, keepdims=True), 1e-300), begin, axis=0) / few[:, None]
+            share[live] = new
+            moving = np.abs(new - now).max(axis=1) > TOLERANCE
+            if not moving.all():
+                part, few, live = part[np.repeat(moving, few)], few[moving], live[moving]
+                place, begin = np.repeat(np.arange(len(live)), few), np.concatenate([[0], np.cumsum(few)[:-1]]).astype(int)
         return share, np.add.reduceat(np.log(np.maximum((like * share[doc]).sum(axis=1), 1e-300)), starts) + base
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Mixture:
-    """A model of the languages in lang_col (rows with null text or language are left out), from about `sample` documents of each."""
+    """A model of the languages in lang_col (rows with null text or language are left out), from about `sample` documents of each.
+
+    More than MAX_LANGUAGES languages raise ValueError, as the table of a model has a column for each.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     per_lang = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).toPandas()
     if len(per_lang) > MAX_LANGUAGES:

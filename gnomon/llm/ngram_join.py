@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, forest
 from ..storage import discard, stored
-from .common import claim, give_back, read_table
+from .common import claim, free_names, give_back, read_table
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -337,13 +337,14 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     members, named, again = _classes(docs, id_col, text_col)
     first = (F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("first_key"))
     placed = members.select("doc_id", "raw", "key").filter("key is not null and doc_id is not null").join(named.select("key", "class_id", "first_key"), "key")
-    gone = placed.filter(~first).select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
-    d = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_raw": F.xxhash64(text_col)}).join(gone, ["_id", "_raw"], "left_anti")
+    i, w, k, at = free_names(docs, "_id", "_raw", "_key", "_row")
+    gone = placed.filter(~first).select(F.col("doc_id").alias(i), F.col("raw").alias(w)).distinct()
+    d = docs.withColumns({i: F.col(f"`{id_col}`").cast("long"), w: F.xxhash64(text_col)}).join(gone, [i, w], "left_anti")
     if not again.isEmpty():
-        twice = again.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), F.col("key").alias("_key"))
-        order = Window.partitionBy("_id", "_key").orderBy(text_col, F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-        one = d.join(twice, ["_id", "_raw"]).withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row", "_key")
-        d = d.join(twice, ["_id", "_raw"], "left_anti").unionByName(one)
+        twice = again.select(F.col("doc_id").alias(i), F.col("raw").alias(w), F.col("key").alias(k))
+        order = Window.partitionBy(i, k).orderBy(text_col, F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+        one = d.join(twice, [i, w]).withColumn(at, F.row_number().over(order)).filter(F.col(at) == 1).drop(at, k)
+        d = d.join(twice, [i, w], "left_anti").unionByName(one)
     return d.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
