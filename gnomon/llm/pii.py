@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns (base spans) are exact.  The CRF adds what they miss: phone numbers without a country code, obfuscated
-e-mail addresses, grouped numbers.  It is trained by gradient ascent on the small labelled table TRAINING below and
-decodes by Viterbi in numpy batches.  Its input are the words within REACH words of a trigger: a word with a digit or
-@, or with `at` or `dot` as a word of its own, in any case and with or without marks around it.  Every span that passes
-its kind's check below holds one, so a word farther off is outside by the model's definition.  A decoded span must still pass its kind's check and overlap no other span.
+The patterns (base spans) are exact.  The CRF adds what they miss: secrets (keys and tokens that a text gives away),
+phone numbers without a country code, obfuscated e-mail addresses, grouped numbers.  It is trained by gradient ascent
+on the small labelled table TRAINING below, once, on the driver; its weights go to the workers, which decode by Viterbi
+in numpy batches.  Its input are the words within REACH words of a trigger: a word with a digit or @, or with `at` or
+`dot` as a word of its own, in any case and with or without marks around it.  Every span that passes its kind's check
+below holds one, so a word farther off is outside by the model's definition.  What a span is, is the model's decision;
+a decoded span must only hold what its kind cannot be without (sound) and overlap no other span.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import WORD, claim, read_table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the CRF: those of the patterns, then secrets.
+ALL_KINDS = (*KINDS, "secret")
 REACH = 4
 Span = tuple[str, int, int]
 
@@ -51,7 +55,8 @@ def luhn(digits: str) -> bool:
 def passes(kind: str, s: str) -> bool:
     """The check of a pattern's match."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))
+        parts = s.split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
     n = digits_of(s)
     if kind == "card":
         return 16 <= len(n) <= 19 and luhn(n)
@@ -83,7 +88,8 @@ def joined(spans: Iterable[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-# The labelled table.  <e..> e-mail, <p..> phone, <c..> card, <i..> address; # stands for any digit.
+# The labelled table.  <e..> e-mail, <p..> phone, <c..> card, <i..> address, <s..> secret; # stands for
+# any digit, ~ for any hexadecimal one, ^ for any letter or digit.
 TRAINING = """
 call me at <p(###) ###-####> after lunch
 tel. <p###-###-####> or write
@@ -103,6 +109,8 @@ contact <eanna at example dot com> today
 mail: <esales (at) shop.example.net>
 reach <ep.smith {at} example.com> for this
 write <eoffice [at] example [dot] org> now
+my email is <ebob (at) site (dot) org> ok
+contact <ebob.jones at mail dot example dot net> or call
 my card <c####-####-####-####> expires soon
 card number <c#### #### #### ####> visa
 card <c#### ###### #####> amex
@@ -110,6 +118,16 @@ pay with <c################> now
 server at <i##.##.##.##> is down
 ping <i###.##.#.##> and wait
 host <i##.###.##.#> answered
+token = <s"~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~"> in the text
+les token = <s"~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~"> que
+token = <s"~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~"###> and more
+token: <s~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~>
+api key <s^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^> was sent
+api_key = <s"^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^"> here
+secret = <s'^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^'> there
+the key is <sAKIA^^^^^^^^^^^^^^^^> now
+bearer <s^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^> sent
+password = <s"^^^^^^^^^^^^^^^^">
 """
 CLEAN = """
 in the year #### there were ## of them
@@ -117,14 +135,16 @@ version #.## was out on ####-##-##
 it cost ##.## and then ###,### more
 see page ### of chapter ##
 id ######## was not found
-token = "#b##a#c#d##c#a####c########f##b##ab#"
-key a#b#c#d#e#f## is old
+id ^^^^^^^^ was not found
 on ##/##/#### at ##:## we met
 order ###-## has ### items
+order ########## has come
 the score was ##-## at half time
 meet at noon by the river
+meet me at the shop dot by noon
 look at this house and that dot there
 they were at home with the dog
+the token in the text and the key to the house
 version # public licence ####
 row ###### column ###
 about #### people came in ####
@@ -133,9 +153,22 @@ section ###.## part #.#
 he was at the shop and at work
 hash### name## and word### are junk
 http://www.example.com/en/##### is a page
+commit ~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~ made it
+commit ~~~~~~~ was the last
+sha1 ~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~ of the file
+md5 ~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~ checksum
+file ~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~.png is here
+words like aaaaaaaaaaaaaaaaaaaaaaaaaa# are long
+the men at the house and at last
+ating at at at at at at the end
+he stood at. then the dog at, was here
+some%%% at%%% the&&& on*** end$$$ of###
+THESE!! MEN!! AT!! THE!! HOUSE!!
+At the end. At home or at. The rest
+write at once and mail at ten
 """
-CUES = frozenset("tel phone call fax mobile number card mail email write contact reach at dot (at) [at] {at} (dot) [dot] {dot} version page token key id on in".split())
-LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+CUES = frozenset("tel phone call fax mobile number card mail email write contact reach at dot (at) [at] {at} (dot) [dot] {dot} version page token key id on in = api_key secret password bearer commit sha1 md5 file".split())
+LABELS = ("O", *(f"{p}-{k}" for k in ALL_KINDS for p in "BI"))
 
 
 def shape(word: str) -> tuple[str, str]:
@@ -154,8 +187,12 @@ def shape(word: str) -> tuple[str, str]:
 def word_features(word: str) -> tuple[str, ...]:
     long, short = shape(word)
     bare = word.lower().strip(".,;:!?")
+    if bare in ("at", "dot") and bare != word.lower():
+        bare = f"{bare} and marks"
     core = long.strip(".,;:!?\"'")
-    return (f"l{core}", f"s{short}", f"c{bare if bare in CUES else ''}", f"n{min(sum('0' <= c <= '9' for c in word), 20)}", f"@{'@' in word}")
+    n = sum(c.isalnum() for c in word)
+    mixed = any("0" <= c <= "9" for c in word) and any(c.isalpha() for c in word)
+    return (f"w{mixed}{min(n // 8, 5)}", f"l{core}" if len(core) < 12 else "l", f"s{short}" if len(short) < 12 else "s", f"c{bare if bare in CUES or ' ' in bare else ''}", f"n{min(sum('0' <= c <= '9' for c in word), 20)}", f"@{'@' in word}")
 
 
 class Field:
@@ -167,6 +204,9 @@ class Field:
         self.moves = np.zeros((len(LABELS), len(LABELS)))
         self.memo: dict[str, np.ndarray] = {}
 
+    def __getstate__(self):
+        return self.__dict__ | {"memo": {}}
+
     def allowed(self) -> np.ndarray:
         """0 where a move is possible, else a large negative number: I-k follows B-k or I-k only."""
         bad = np.zeros_like(self.moves)
@@ -290,10 +330,11 @@ class Field:
 def labelled(copies: int = 6) -> tuple[list[list[str]], list[list[int]]]:
     """The labelled table with digits filled in, several times, from a fixed seed."""
     rng = np.random.default_rng(7)
-    kind = dict(zip("eicp", KINDS))
+    kind = dict(zip("eicps", ALL_KINDS))
+    hexes, names = "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     sequences, labels = [], []
     for line in [x for x in (TRAINING + CLEAN).splitlines() if x] * copies:
-        line = re.sub("#", lambda m: str(rng.integers(10)), line)
+        line = re.sub("[#~^]", lambda m: {"#": hexes[:10], "~": hexes, "^": names}[m[0]][rng.integers({"#": 10, "~": 16, "^": 62}[m[0]])], line)
         words, tags = [], []
         for part in re.split(r"(<[^>]*>[^\s<]*)", line):
             if m := re.match(r"<(.)([^>]*)>(.*)", part):
@@ -342,6 +383,11 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
 
 
 def trimmed(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without the marks around it; of a secret, its longest run of key characters."""
+    if kind == "secret":
+        runs = [m.span() for m in re.finditer(r"[A-Za-z0-9_+/-]+", text[a:b])]
+        x, y = max(runs, key=lambda r: (r[1] - r[0], -r[0]), default=(0, 0))
+        return a + x, a + y
     while b > a and text[b - 1] in ".,;:!?\"'>]}" or (b > a and text[b - 1] == ")" and "(" not in text[a:b]):
         b -= 1
     while a < b and text[a] in "\"'<[{" or (a < b and text[a] == "(" and ")" not in text[a:b]):
@@ -349,17 +395,19 @@ def trimmed(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def plausible(kind: str, s: str) -> bool:
-    """The check of a decoded span; stricter than the pattern's, as clean texts must be left alone."""
+def sound(kind: str, s: str) -> bool:
+    """What a decoded span cannot be without: an `at` and a `dot`, or their signs, for an e-mail address, as many digits as a phone number has,
+    the patterns' own checks for addresses and cards, and 16 or more characters with letters and digits for a secret."""
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.+-]+\s*[(\[{]\s*at\s*[)\]}]\s*[\w-]+(\s*([(\[{]\s*dot\s*[)\]}]|\.)\s*[\w-]+)+|[\w.+-]+ at [\w-]+( dot [\w-]+)+", s, re.IGNORECASE))
+        return re.search(r"(@|(?<!\w)at(?!\w)).+(\w\.\w|(?<!\w)dot(?!\w))", s, re.IGNORECASE) is not None
     if kind == "phone":
-        n = digits_of(s)
-        return bool(re.fullmatch(r"\(?[0-9][0-9 ().-]*[0-9]", s)) and 7 <= len(n) <= 15 and len(re.findall("[0-9]+", s)) >= 2
+        return 7 <= len(digits_of(s)) <= 15
+    if kind == "secret":
+        return len(s) >= 16 and any(c.isalpha() for c in s) and digits_of(s) != ""
     return passes(kind, s)
 
 
-def crf_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
+def crf_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[list[Span]]:
     """For each text, the spans that the CRF adds to its base spans."""
     out: list[list[Span]] = [[] for _ in texts]
     owners, where, words = [], [], []
@@ -368,7 +416,7 @@ def crf_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
             owners.append(i), where.append(w), words.append([t[a:b] for a, b in w])
     if not words:
         return out
-    for i, w, labels in zip(owners, where, model().decode(words)):
+    for i, w, labels in zip(owners, where, field.decode(words)):
         t, k = texts[i], 0
         while k < len(labels):
             name = LABELS[labels[k]]
@@ -378,30 +426,32 @@ def crf_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
                     j += 1
                 kind = name[2:]
                 a, b = trimmed(kind, t, w[k][0], w[j - 1][1])
-                if a < b and plausible(kind, t[a:b]) and all(b <= x or y <= a for _, x, y in base[i] + out[i]):
+                if a < b and sound(kind, t[a:b]) and all(b <= x or y <= a for _, x, y in base[i] + out[i]):
                     out[i].append((kind, a, b))
             k = j
     return out
 
 
-def find_spans(texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
+def find_spans(texts: list[str], field: Field | None = None) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, by kind as listed, then start."""
+    field = field or model()
     base = [base_spans(t) if TRIGGER.search(t) else [] for t in texts]
-    rank = {k: i for i, k in enumerate(KINDS)}
-    return [(b, sorted(b + x, key=lambda s: (rank[s[0]], s[1], s[2]))) for b, x in zip(base, crf_spans(texts, base))]
+    rank = {k: i for i, k in enumerate(ALL_KINDS)}
+    return [(b, sorted(b + x, key=lambda s: (rank[s[0]], s[1], s[2]))) for b, x in zip(base, crf_spans(texts, base, field))]
 
 
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added.
 
     A null text is taken as empty: no spans, the digest of the empty string.  Repeated rows stay; other columns are
-    ignored.  Offsets are code points of the whole text.
+    ignored.  Offsets are code points of the whole text.  An empty table gives an empty result.
     """
+    field = model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for base, spans in find_spans([t or "" for t in b["text"]]):
+            for base, spans in find_spans([t or "" for t in b["text"]], field):
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
             out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
@@ -423,13 +473,14 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs with personal data in text_col replaced; a null text stays null, all other columns are kept."""
+    """docs with personal data in text_col replaced; a null text stays null, all other columns and repeated rows are kept; an empty table stays empty."""
+    field = model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("pii", lambda: None)
         for b in batches:
             texts = list(b[text_col])
-            found = find_spans([t or "" for t in texts])
+            found = find_spans([t or "" for t in texts], field)
             b[text_col] = [None if t is None else redacted(t, s) for t, (_, s) in zip(texts, found)]
             yield b
 
