@@ -207,22 +207,59 @@ def test_fingerprints_against_brute_force(spark):
 
 def test_codec_round_trip():
     r = np.random.default_rng(1)
+
+    def there_and_back(ids):
+        alphabet, w, lengths, sums = id_codec.compress(ids)
+        assert (id_codec.decompress(alphabet, w, lengths, sums, len(ids)) == ids).all()
+        return w
+
     for n in (0, 1, 2, 2047, 2048, 2049, 9000):
-        ids = np.where(r.random(n) < 0.5, r.integers(0, 40, n), r.integers(0, id_codec.MOST, n)).astype("<u4")
-        w, lengths, sums = id_codec.compress(ids)
-        assert (id_codec.decompress(w, lengths, sums, n) == ids).all()
-    same_ids = np.full(5000, 49_407, "<u4")
-    assert len(id_codec.compress(same_ids)[0]) < 300
-    data = id_codec.pack(np.array([3, 4]), np.array([2, 1]), np.array([5, 1, 1], "<u4"))
-    assert [x.tolist() for x in id_codec.unpack(data)] == [[3, 4], [2, 1], [5, 1, 1]]
+        for most in (1, 40, 70_000, 2**32):
+            there_and_back(np.where(r.random(n) < 0.5, r.integers(0, min(most, 40), n), r.integers(0, most, n)).astype("<u4"))
+    there_and_back(np.arange(300_000, dtype="<u4"))
+    assert len(there_and_back(np.full(5000, 49_407, "<u4"))) < 300
+    data = id_codec.pack(np.array([0, 4]), np.array([2, 1]), np.array([5, 1, 1], "<u4"), 1)
+    *x, n_null = id_codec.unpack(data)
+    assert [y.tolist() for y in x] == [[0, 4], [2, 1], [5, 1, 1]] and n_null == 1
     with pytest.raises(ValueError):
-        id_codec.unpack(data[:60] + bytes([data[60] ^ 1]) + data[61:])
+        id_codec.unpack(data[:76] + bytes([data[76] ^ 1]) + data[77:])
     broken = bytearray(id_codec.pack(np.array([1]), np.array([3000]), np.arange(3000, dtype="<u4")))
     broken[-400] ^= 0xFF
     with pytest.raises(ValueError):
         id_codec.unpack(bytes(broken))
 
 
+def test_codec_against_zlib(spark):
+    """A shard of the documents' ids is smaller than their order-0 entropy, and far smaller than by zlib."""
+    import zlib
+
+    import public_tokenizers
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").sort("doc_id").collect()]
+    ids, lengths = id_codec.Tokens(public_tokenizers.path("word_bpe_49k.json")).encode(texts, 1)
+    bits = 8 * len(id_codec.pack(np.arange(len(texts)), lengths, ids)) / len(ids)
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert bits < -(share * np.log2(share)).sum() and bits < 0.9 * 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+
+
+def test_id_files_of_odd_rows(spark, tmp_path):
+    """Every row is in the files, those without id first; ids that are equal are told apart by their text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, d = Tokenizer.from_file(path), odd(spark)
+    got = id_codec.read_ids(id_codec.write_ids(d, str(tmp_path), path), str(tmp_path), digests=False).sort("start").collect()
+    want = Counter((r["doc_id"], tuple([*t.encode(r["text"] or "", add_special_tokens=False).ids, 1])) for r in d.collect())
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
+    assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in got), key=lambda k: (k is not None, k))
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+    assert id_codec.read_ids(id_codec.write_ids(d.limit(0), str(tmp_path), path), str(tmp_path)).count() == 0
+    words = ["a\x1cb", "x\u00a0y", "\u2003z", "Q\r\nR\tS", "", " ", "a  b"]
+    ids, lengths = id_codec.Tokens(path).encode(words, 1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths))[:-1]] == [[*t.encode(w, add_special_tokens=False).ids, 1] for w in words]
+
+
 def test_id_files(spark, tmp_path):
     import zlib
 
