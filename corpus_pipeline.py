@@ -1,7 +1,9 @@
 """From documents to piece ids: language ID, near-duplicates, personal data, mixing, SentencePiece.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs.  All but the last return the columns of documents.
+next stage's docs.  All but the last return the columns of documents; further columns are dropped.  Rows are treated one
+by one: a null or repeated id, a null language or source, and repeated rows are allowed in every stage, and an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,24 +20,24 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go; the others carry the language found."""
+    """Documents without a recognised language go, as do null texts and those without a letter; the others carry the language found."""
     model = langid.train(docs)
     found = langid.identify(docs.select(*COLUMNS), model).filter(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar ones stays, the one of least id."""
+    """One document of each class of similar ones stays, the one of least id; rows without words or without id all stay."""
     return ngram_join.deduplicated(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with the personal data in its text replaced."""
+    """Every document stays, with the personal data in its text replaced; a null text stays null."""
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row appears as often as the mix takes it, which may be never."""
+    """Each row appears as often as the mix takes it, which may be never; rows without id, source or text are mixed as well."""
     # Rows of the same id (or none), source and size are equal to the mix: their copies are dealt out by text.
     same = lambda size: F.to_json(F.struct("doc_id", "source", size.alias("size"))).alias("_same")
     copies = mixing.pareto_mix(docs).filter("copies > 0").select(same(F.col("size")), "copies")
@@ -47,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the piece ids and their number."""
+    """Adds the piece ids and their number; null ids for a null text, with a null number."""
     return pieces.encode(docs.select(*COLUMNS)).withColumn("n_pieces", F.size("piece_ids").cast("long"))
 
 

@@ -10,6 +10,7 @@ import pytest
 from gnomon.llm import chat, fingerprints, id_codec, langid, mixing, ngram_join, pieces, pii, quality, token_counts, unigram
 from gnomon.llm.queries import ORACLE_SQL, QUERIES
 from oracle import same
+from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,6 +49,56 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert OPERATORS[name](d.limit(0)).count() == 0
 
 
+def test_values_of_odd_rows(spark):
+    """Every row is accounted for, with the values its docstring states."""
+    d = odd(spark)
+    rows = d.collect()
+    texts = [r["text"] or "" for r in rows]
+    count = lambda f: Counter((r["doc_id"], f(r["text"] or "")) for r in rows)
+    sizes = Counter((r["doc_id"], r["size"]) for r in mixing.pareto_mix(d).collect())
+    assert sizes == count(lambda t: len(WORD.findall(t)))
+    c = pieces.codec()
+    assert Counter((r["doc_id"], r["n_pieces"]) for r in pieces.encoded_digests(d).collect()) == count(lambda t: len(c.encode(t)))
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(d).collect()) == count(lambda t: len(c.encode(t)))
+    assert Counter((r["doc_id"], r["spans"]) for r in pii.personal_data(d).collect()) == count(lambda t: pii.joined(pii.find_spans([t])[0][1]))
+    prints = fingerprints.fingerprints(d).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in prints) == count(len)
+    assert all((r["fingerprint"] == "") == (r["n_chars"] in (0, 3)) for r in prints if r["n_chars"] != 3 or r["doc_id"] == 2)
+    links = ngram_join.similar_classes(d).collect()
+    same_text = texts.count("same text here for all of us")
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in links if r["n_links"]) == [(5, 5, same_text - 1), (5, 5, same_text - 1), (6, 5, same_text - 1)]
+    assert all(r["class_id"] == r["doc_id"] for r in links if not r["n_links"])
+    found = langid.identify(d, langid.train(d)).collect()
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in found) == count(lambda t: "en" if any(map(str.isalpha, t)) else "und")
+    assert {c.lower() for c in found[0].asDict()} >= {x.split()[0] for x in SCHEMA.split(", ")}
+    q = quality.quality(d).collect()
+    assert Counter((r["doc_id"], r["n_words"]) for r in q) == count(lambda t: len(WORD.findall(t)))
+    assert all(r["base_failed"] and not r["kept"] for r in q if r["n_words"] < 50)
+
+
+def test_stages_on_odd_rows(spark):
+    """Every stage takes rows without id, language, source or text, repeated rows and an empty table."""
+    import corpus_pipeline
+
+    columns = list(corpus_pipeline.COLUMNS)
+    d = odd(spark)
+    rows = Counter(tuple(r[c] for c in columns) for r in d.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, d.limit(0), FOLDER).count() == 0, name
+    got = {name: stage(spark, d, FOLDER) for name, stage in stages.items()}
+    for name in list(stages)[:-1]:
+        assert got[name].columns == columns
+    keys = lambda x, cs=("doc_id", "text", "source", "n_chars"): Counter(tuple(r[c] for c in cs) for r in (x.collect() if not isinstance(x, list) else x))
+    everything = keys(d)
+    assert keys(got["language ID"]) == Counter({k: n for k, n in everything.items() if k[1] and any(map(str.isalpha, k[1]))})
+    left = everything - keys(got["n-gram Jaccard join"])
+    assert sorted(k[0] for k in left.elements()) == [5, 6] and keys(got["n-gram Jaccard join"]) - everything == Counter()
+    assert keys(got["PII"], ("doc_id", "source")) == keys(d, ("doc_id", "source"))
+    assert all(k in rows for k in keys(got["mixing sources to target weights"], columns))
+    assert keys(got["SentencePiece encoding and decoding"], columns) == rows
+
+
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_sql(spark, name):
     same(QUERIES[name](spark, FOLDER), ORACLE_SQL[name], FOLDER)
@@ -134,6 +185,22 @@ def test_chat(spark):
     assert (r[2]["prompt"], r[2]["chosen_text"], r[2]["rejected_mask"]) == ("", "", [])
     assert r[3]["n_common"] == 1 and r[3]["chosen_text"] == ""
     assert chat.preference_format(d.limit(0)).count() == 0
+    clash = d.withColumnsRenamed({"k": "_c", "prompt": "PROMPT"}).withColumn("_r", F.lit(1))
+    got = chat.preference_format(clash)
+    assert sorted(c.lower() for c in got.columns) == sorted({"_c", "_r", "prompt", "chosen_text", "rejected_text", "chosen_mask", "rejected_mask", "n_common"})
+    assert {(x["_c"], x["prompt"]) for x in got.collect()} == {(k, x["prompt"]) for k, x in r.items()}
+
+
+def test_conversations_of_odd_turns(spark):
+    """Turns without a conversation are one, repeated turns stay, and null turns, roles and texts come first."""
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (2, 0, "user", "q"), (2, 0, "user", "q"), (2, None, None, None), (3, 1, "assistant", "x")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    convs = chat.conversations_as_turns(t)
+    got = {r["conv_id"]: [tuple(x) for x in r["turns"]] for r in convs.collect()}
+    assert got == {None: [("user", "a"), ("assistant", "b")], 2: [(None, None), ("user", "q"), ("user", "q")], 3: [("assistant", "x")]}
+    out = {r["conv_id"]: r for r in chat.preference_format(chat.with_other_replies(convs)).collect()}
+    assert out[None]["rejected_text"] == "" and out[2]["n_common"] == 3 and out[3]["n_common"] == 0
+    assert chat.preference_format(chat.with_other_replies(chat.conversations_as_turns(t.limit(0)))).count() == 0
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -148,6 +215,49 @@ def test_base_patterns_against_plain_ones():
         assert [s for s in pii.base_spans(x) if s[0] in ("email", "ip")] == plain
 
 
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(x):
+    def luhn(ds):
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(ds))) % 10 == 0
+
+    digits = lambda t: [int(c) for c in t if c in "0123456789"]
+    out = [("email", *m.span()) for m in EMAIL.finditer(x)]
+    out += [("ip", *m.span()) for m in IP.finditer(x) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(x) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(x) if 8 <= len(digits(m[0])) <= 15]
+
+
+def test_cards_and_phones_against_plain_patterns():
+    r = random.Random(4)
+    for _ in range(20_000):
+        x = "".join(r.choice("12 -+9().0 4") for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(x) == plain_spans(x)
+
+
+def test_personal_data_of_documents(spark):
+    """Counts and digest are those of the plain patterns; the field adds every token of the corpus and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
+    n_added = 0
+    for r in docs.collect():
+        g, base = got[r["doc_id"]], plain_spans(r["text"])
+        assert [g[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert g["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        tokens = [("secret", *m.span(1)) for m in re.finditer(r'(?i)\btoken = "([0-9a-f]{40})"', r["text"])]
+        assert g["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in base + tokens)
+        n_added += g["n_added"]
+    assert n_added >= 10
+
+
+def test_odd_words_pass_the_checks():
+    for kind in pii.ALL_KINDS:
+        for x in ("a1", "1.2", "1.2.3.4.5", "...", "٣.٣.٣.٣", "", "1.2.3.256"):
+            assert not pii.sound(kind, x)
+
+
 def test_crf():
     field, (sequences, labels) = pii.model(), pii.labelled(2)
     assert np.mean([a == b for a, b in zip(field.decode(sequences), labels)]) > 0.98
@@ -369,6 +479,33 @@ def test_language_mixture(spark):
     assert langid.Mixture([], np.zeros((0, langid.BUCKETS))).predict(["text"]) == [("und", 0.0, [])]
 
 
+def test_mixture_against_plain_expectation_maximisation():
+    """Shares and language sets are those of a plain EM for every subset size, run until it stands still."""
+    r = np.random.default_rng(6)
+    sizes = np.array([3, 17, 40, 5, 60])
+    logs = np.concatenate([r.normal(0, 2, (n, 4)) + np.eye(4)[r.integers(0, 2 + i % 3, n)] * 4 for i, n in enumerate(sizes)])
+    model = langid.Mixture(list("abcd"), np.ones((4, langid.BUCKETS)))
+    found = model.infer(logs, sizes)
+
+    def em(x, languages):
+        share = np.full(len(languages), 1 / len(languages))
+        for _ in range(3000):
+            each = np.exp(x[:, languages]) * share
+            share = (each / each.sum(axis=1, keepdims=True)).mean(axis=0)
+        return share, np.log((np.exp(x[:, languages]) * share).sum(axis=1)).sum()
+
+    at = 0
+    for (lang, score, chosen), n in zip(found, sizes):
+        x = logs[at : at + n]
+        at += n
+        order = np.argsort(-em(x, list(range(4)))[0], kind="stable").tolist()
+        tried = {k: em(x, order[:k]) for k in range(1, 5)}
+        best = max(tried, key=lambda k: tried[k][1] - langid.PENALTY * k * np.log(n + 1))
+        share = tried[best][0]
+        assert set(chosen) == {"abcd"[i] for i in order[:best]}
+        assert lang == "abcd"[order[int(share.argmax())]] and abs(score - share.max()) < 0.02
+
+
 def test_language_sets_of_any_size(spark):
     """A set is bounded by the learned languages only, and shares are those of the whole set."""
     counts = np.zeros((6, langid.BUCKETS))
@@ -415,6 +552,50 @@ def test_quality_of_small_and_missing_languages(spark):
     assert np.allclose(pooled["word_ref"][:-1], [words[w] / n for w in pooled["words"]])
 
 
+def test_quality_against_brute_force(spark):
+    """Both distances and the verdict, from the texts alone."""
+    import unicodedata
+
+    docs = documents(spark).collect()
+    kinds = ("upper", "letter", "digit", "space", "stop", "symbol", "other")
+
+    def kind(c):
+        cat = unicodedata.category(c)
+        if cat == "Lu":
+            return 0
+        if cat[0] == "L":
+            return 1
+        return 2 if c in "0123456789" else 3 if c in quality.BLANKS else 4 if c in quality.STOPS else 5 if c in quality.SYMBOLS else 6
+
+    def distance(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        kl = lambda u: sum(a * np.log2(a / c) for a, c in zip(u, m) if a > 0)
+        return np.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    words, chars = defaultdict(Counter), defaultdict(Counter)
+    for r in docs:
+        for lang in (r["lang"], None):
+            words[lang].update(w.lower() for w in WORD.findall(r["text"]))
+            chars[lang].update(map(kind, r["text"]))
+    got = {r["doc_id"]: r for r in quality.quality(documents(spark)).collect()}
+    for r in docs:
+        g, lang, text = got[r["doc_id"]], r["lang"], r["text"]
+        own, mine = WORD.findall(text), Counter(map(kind, text))
+        total = sum(words[lang].values())
+        learned = total >= quality.MIN_REFERENCE_WORDS
+        ref = chars[lang if learned else None]
+        char_far = distance([mine[k] / len(text) for k in range(len(kinds))], [ref[k] / sum(ref.values()) for k in range(len(kinds))]) if len(text) >= quality.MIN_CHARS else None
+        word_far = None
+        if learned and len(own) >= quality.MIN_HISTOGRAM_WORDS:
+            common = [w for w, n in words[lang].items() if n >= total * quality.COMMON_SHARE]
+            here = Counter(w.lower() for w in own)
+            p, q = [here[w] / len(own) for w in common], [words[lang][w] / total for w in common]
+            word_far = distance([*p, 1 - sum(p)], [*q, 1 - sum(q)])
+        for a, b in ((g["class_distance"], char_far), (g["word_distance"], word_far)):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-6)
+        assert g["kept"] == (not g["base_failed"] and (char_far or 0) <= quality.CLASS_LIMIT and (word_far or 0) <= quality.WORD_LIMIT)
+
+
 def test_quality_against_labels(spark):
     folder = "/root/testdata/sf0.01"
     got = QUERIES["op10_quality_divergence"](spark, folder).toPandas()
