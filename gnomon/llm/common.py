@@ -52,22 +52,30 @@ _claimed: dict[str, object] = {}
 
 def claim(name: str, clear) -> None:
     """Gives a worker's memory for memos to one operator: those of the others are cleared (workers outlive a stage)."""
-    for other in [n for n in _claimed if n != name]:
+    others = [n for n in _claimed if n != name]
+    for other in others:
         _claimed.pop(other)()
     _claimed[name] = clear
+    if others:
+        trim()
 
 
-def give_back() -> None:
-    """Returns a worker's freed memory to the system: idle workers live on beside the stages that follow."""
+def trim() -> None:
+    """Returns a worker's freed memory to the system: it lives on beside the stages that follow, and beside the JVM."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
-    for clear in _claimed.values():
-        clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
-    if trim is not None:
-        trim(0)
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if give is not None:
+        give(0)
+
+
+def give_back() -> None:
+    """trim(), with the memos cleared first."""
+    for clear in _claimed.values():
+        clear()
+    trim()

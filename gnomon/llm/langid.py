@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, read_table
+from .common import claim, read_table, trim
 
 BUCKETS = 1 << 15
 SAMPLE = 2_000
@@ -203,10 +203,12 @@ def identify(docs: DataFrame, model: Mixture, *, text_col: str = "text") -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("langid", model.memo.clear)
         for b in batches:
-            texts = list(b[text_col])
-            found = [x for at in range(0, len(texts), SLICE) for x in model.predict(texts[at : at + SLICE])]
-            b["lang_pred"], b["score"], b["lang_set"] = [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
-            yield b
+            for at in range(0, len(b), SLICE):
+                part = b.iloc[at : at + SLICE].copy()
+                found = model.predict(list(part[text_col]))
+                part["lang_pred"], part["score"], part["lang_set"] = [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
+                yield part
+        trim()
 
     d = docs.drop("lang_pred", "score", "lang_set")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields]

@@ -236,7 +236,7 @@ def exact(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float
         place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[codes]
         owner, place = owner[place >= 0], place[place >= 0]
         rows, cols = np.unique(a[keep]), np.unique(b[keep])
-        total, wide = np.zeros((len(rows), len(cols)), np.float32), 8192
+        total, wide = np.zeros((len(rows), len(cols)), np.float32), 2048
         at = np.argsort(place, kind="stable")
         owner, place = owner[at], place[at]
         for lo in range(0, int(place[-1]) + 1 if len(place) else 0, wide):

@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, read_table
+from .common import claim, read_table, trim
 from .unigram import MARK, Vocabulary, load, pretokens
 
-MEMO = 1 << 19
+MEMO = 1 << 18
 SLICE = 500
 
 
@@ -156,6 +156,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", out_col: str = "piece_ids
                 part = b.iloc[at : at + SLICE].copy()
                 part[out_col] = [None if t is None else c.encode(t).astype("i4") for t in part[text_col]]
                 yield part
+        trim()
 
     d = docs.drop(out_col) if out_col != text_col else docs
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != out_col] + [f"`{out_col}` array<int>"]

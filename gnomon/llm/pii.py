@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, claim, read_table
+from .common import WORD, claim, read_table, trim
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of the CRF: those of the patterns, then secrets.
@@ -477,12 +477,13 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     field = model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim("pii", lambda: None)
+        claim("pii", field.memo.clear)
         for b in batches:
             texts = list(b[text_col])
             found = find_spans([t or "" for t in texts], field)
             b[text_col] = [None if t is None else redacted(t, s) for t, (_, s) in zip(texts, found)]
             yield b
+        trim()
 
     return docs.mapInPandas(run, docs.schema)
 
