@@ -135,3 +135,87 @@ def balance_stats(df: DataFrame, group: str, weight: str) -> DataFrame:
     per = df.groupBy(group).agg(F.sum(weight).alias("w"))
     out = per.agg(F.avg("w").alias("mean"), F.min("w").alias("least"), F.max("w").alias("most"), F.count("*").alias("n"))
     return out.withColumn("imbalance", F.col("most") / F.col("mean") - 1)
+
+
+def prefixes(path: Column) -> Column:
+    """The path's ancestors and itself, from the top."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def outermost(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the found nodes, those without a found ancestor: what a search gives that does not look below a match."""
+    above = found.select("path", F.explode(F.filter(prefixes(F.col("path")), lambda p: p != F.col("path"))).alias("_above"))
+    inner = above.join(found.select(F.col("path").alias("_above")), "_above", "left_semi").select("path").distinct()
+    return found.join(inner, "path", "left_anti")
+
+
+def chain_with_ancestors(nodes: DataFrame, predicates: Sequence[dict]) -> DataFrame:
+    """(p0, p1, ..): the paths of every chain of matches, one child step for each predicate."""
+    out = select_nodes(nodes.filter("depth = 1"), **predicates[0]).select(F.col("path").alias("p0"))
+    for i, p in enumerate(predicates[1:], 1):
+        out = out.join(select_nodes(nodes, **p).select(F.col("path").alias(f"p{i}"), F.col("parent").alias(f"p{i - 1}")), f"p{i - 1}")
+    return out.select(*[f"p{i}" for i in range(len(predicates))])
+
+
+def parse_predicates(text: str, is_label=lambda x: x.endswith("_t")) -> list[dict]:
+    """Keywords of select_nodes for each step of a/b/c: a label if it ends in _t, else a name."""
+    return [{"label" if is_label(x) else "name": x} for x in text.split("/")]
+
+
+def concretise(nodes: DataFrame, wanted: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """(path): the existing paths that match a wildcard path element by element, the nodes on the way having the given labels."""
+    out = None
+    for path in wanted:
+        steps = [{"name": n, "label": lab} for n, lab in zip(path.split("/"), labels)]
+        found = chain(nodes, steps).select("path")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def from_paths(paths: DataFrame, label: str = "UserDefined_t") -> DataFrame:
+    """The tree of all paths and their ancestors, as a node table without values."""
+    d = paths.select(F.explode(prefixes(F.col("path"))).alias("path")).distinct()
+    none = lambda t: F.lit(None).cast(t)
+    return d.select("path", path_parent(F.col("path")).alias("parent"), path_tail(F.col("path")).alias("name"), F.lit(label).alias("label"), F.size(F.split("path", "/")).alias("depth"), none("int").alias("ord"), none("string").alias("dtype"), none("bigint").alias("size"), none("string").alias("value"))
+
+
+def upsert(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The tree with rows (path, and any of label, dtype, size, value) put in: a new path is added, of one that exists only the given columns change."""
+    given = [c for c in ("label", "dtype", "size", "value") if c in rows.columns]
+    new = rows.select("path", F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in given])
+    d = nodes.join(new, "path", "full_outer")
+    pick = lambda c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) if c in given else F.col(c)
+    known = F.col("name").isNotNull()
+    label = F.when(F.col("_new"), F.col("_label")).otherwise(F.col("label")) if "label" in given else F.coalesce("label", F.lit("UserDefined_t"))
+    return d.select(
+        "path", F.when(known, F.col("parent")).otherwise(path_parent(F.col("path"))).alias("parent"), F.when(known, F.col("name")).otherwise(path_tail(F.col("path"))).alias("name"),
+        label.alias("label"), F.when(known, F.col("depth")).otherwise(F.size(F.split("path", "/"))).alias("depth"), "ord", *[pick(c).alias(c) for c in ("dtype", "size", "value")],
+    )
+
+
+def rename_zones(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """The tree with zones renamed by (old, new) paths: all below them moves, and joins that name them as donor (by path) follow."""
+    zone = F.array_join(F.slice(F.split("path", "/"), 1, 2), "/")
+    d = nodes.withColumn("_zone", zone).join(names.select(F.col("old").alias("_zone"), F.col("new").alias("_new")), "_zone", "left")
+    path = F.when(F.col("_new").isNotNull(), F.concat("_new", F.substring("path", F.length("_zone") + 1, F.length("path")))).otherwise(F.col("path"))
+    is_join = F.col("label").isin("GridConnectivity_t", "GridConnectivity1to1_t")
+    d = d.withColumn("path", path).withColumn("_donor", F.when(is_join, F.regexp_replace("value", '"', "")))
+    d = d.join(names.select(F.col("old").alias("_donor"), F.col("new").alias("_to")), "_donor", "left")
+    d = d.withColumn("value", F.when(F.col("_to").isNotNull(), F.concat(F.lit('"'), "_to", F.lit('"'))).otherwise(F.col("value")))
+    return d.withColumns({"parent": path_parent(F.col("path")), "name": path_tail(F.col("path"))}).select(*nodes.columns)
+
+
+def aligned(trees: Sequence[DataFrame]) -> DataFrame:
+    """(path, in_0, in_1, ..): all paths of some trees and which tree has them."""
+    out = None
+    for i, t in enumerate(trees):
+        p = t.select("path", F.lit(True).alias(f"in_{i}"))
+        out = p if out is None else out.join(p, "path", "full_outer")
+    return out.select("path", *[F.coalesce(f"in_{i}", F.lit(False)).alias(f"in_{i}") for i in range(len(trees))])
+
+
+def byte_sizes(nodes: DataFrame) -> DataFrame:
+    """(metadata, data): bytes of names, labels and links of all nodes, and of their values by type."""
+    width = F.when(F.col("dtype").endswith("8"), 8).when(F.col("dtype").endswith("4"), 4).otherwise(1)
+    return nodes.agg(F.sum(F.length("name") + F.length("label") + 8).alias("metadata"), F.sum(F.coalesce(F.col("size") * width, F.lit(0))).alias("data"))
