@@ -83,13 +83,15 @@ def is_in(source: DataFrame, target: DataFrame, key: str, out: str = "found") ->
 
 def is_unique_tuple(df: DataFrame, columns: Sequence[str], out: str = "is_unique") -> DataFrame:
     """Rows with a flag: no other row has the same values, in any order."""
-    bag = F.array_sort(F.array(*columns))
-    return df.withColumn(out, F.count("*").over(Window.partitionBy(bag)) == 1)
+    d = df.withColumn("_bag", F.array_sort(F.array(*columns)))
+    # An aggregation and a join, not a window: both are combined before the shuffle or split where a value is frequent.
+    more = d.groupBy("_bag").count().filter("count > 1").select("_bag", F.lit(False).alias(out))
+    return d.join(more, "_bag", "left").withColumn(out, F.coalesce(out, F.lit(True))).select(*df.columns, out)
 
 
 def spread_then_collect(part: DataFrame, key: str, value: str, reduce: str = "sum", out: str = "total") -> DataFrame:
-    """Every copy of a key with the reduction over all its copies."""
-    return part.withColumn(out, REDUCERS[reduce](value).over(Window.partitionBy(key)))
+    """Every copy of a key with the reduction over all its copies; rows without key are left out."""
+    return part.join(part.groupBy(key).agg(REDUCERS[reduce](value).alias(out)), key).select(*part.columns, out)
 
 
 def discover(parts: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:

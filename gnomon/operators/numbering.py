@@ -72,15 +72,25 @@ def uniform_split(df: DataFrame, order: Sequence[str], parts: int, out: str = "p
 
 
 def run_lengths(df: DataFrame, order: Sequence[str], value: str) -> DataFrame:
-    """(run, value, n, first): runs of equal values in the given order, run counted from 0."""
-    d = row_numbers(df, order, "_rn")
-    # The row before, by its number: a join of neighbours instead of one window over all rows.
-    prev = d.select((F.col("_rn") + 1).alias("_rn"), F.col(value).alias("_prev"), F.lit(True).alias("_has"))
-    starts = d.join(prev, "_rn", "left").filter(F.col("_has").isNull() | ~F.col(value).eqNullSafe(F.col("_prev"))).select("_rn", value)
-    total = d.agg(F.max("_rn").alias("_last"))
-    r = row_numbers(starts, ["_rn"], "run").withColumn("run", F.col("run") - 1)
-    nxt = r.select((F.col("run") - 1).alias("run"), F.col("_rn").alias("_next"))
-    return r.join(nxt, "run", "left").join(F.broadcast(total)).select("run", value, (F.coalesce("_next", F.col("_last") + 1) - F.col("_rn")).alias("n"), (F.col("_rn") - 1).alias("first"))
+    """(run, value, n, first): runs of equal values in the given order, run counted from 0.
+
+    Rows are compared inside each range of the order; only the ends of ranges, one row each, look beyond.
+    """
+    columns = list(dict.fromkeys([*order, value]))
+    d = _ranged(df.select(*columns), order)
+    w, between = Window.partitionBy("_pid").orderBy(*order), Window.orderBy("_pid")
+    ranges = d.groupBy("_pid").agg(F.count("*").alias("_n"), F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end"))
+    edges = ranges.select("_pid", F.coalesce(F.sum("_n").over(between.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lag("_end").over(between).alias("_last"), F.sum("_n").over(between.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    own = F.row_number().over(w)
+    e = d.select("_pid", F.col(value), own.alias("_own"), F.lag(F.struct(F.col(value).alias("v"))).over(w).alias("_prev")).join(F.broadcast(edges), "_pid")
+    prev = F.coalesce("_prev", "_last")
+    starts = e.filter(prev.isNull() | ~prev["v"].eqNullSafe(F.col(value))).select("_pid", value, (F.col("_own") + F.col("_before")).alias("_rn"), "_total")
+    counts = starts.groupBy("_pid").agg(F.count("*").alias("_c"), F.min("_rn").alias("_first"))
+    counts = counts.select("_pid", F.coalesce(F.sum("_c").over(between.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_runs"), F.lead("_first").over(between).alias("_next"))
+    r = Window.partitionBy("_pid").orderBy("_rn")
+    d = starts.withColumns({"_i": F.row_number().over(r) - 1, "_to": F.lead("_rn").over(r)}).join(F.broadcast(counts), "_pid")
+    end = F.coalesce("_to", "_next", F.col("_total") + 1)
+    return d.select((F.col("_i") + F.col("_runs")).cast("long").alias("run"), value, (end - F.col("_rn")).cast("long").alias("n"), (F.col("_rn") - 1).cast("long").alias("first"))
 
 
 def multi_arange(df: DataFrame, start: str, stop: str, out: str = "value") -> DataFrame:

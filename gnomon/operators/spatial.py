@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -39,31 +39,36 @@ def _cell(x: Sequence[Column], size: float) -> list[Column]:
     return [F.floor(c / size) for c in x]
 
 
-def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], source_id: str, target_id: str, k: int = 1, size: float | None = None, max_rounds: int = 40) -> DataFrame:
+def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], source_id: str, target_id: str, k: int = 1, size: float | None = None, max_rounds: int | None = None) -> DataFrame:
     """(target, source, distance2, rank): the k nearest sources of every target, ties to the smaller source id.
 
     Sources lie in a grid of cells.  A target looks at the cells within r rings of its own and is done when it has k
-    sources no farther than r cells, or when its rings hold all sources; the others go on with more rings.  Rings are
-    counted from the first that reaches the sources' box, so a far target is found as soon as a near one; the last round
-    takes all sources.  So the work follows the local density.  With no size given, cells are made to hold about k + 1
-    sources on average.
+    sources no farther than r cells, or when its rings hold all sources; the others go on with twice as many rings.
+    Rings are counted from the first that reaches the sources' box, so a far target is found as soon as a near one.  So
+    the work follows the local density.  With max_rounds, the last round looks at all rings at once.  Of the sources found, only the k nearest of a target leave its partition.  With
+    no size given, cells are made to hold about k + 1 sources on average.
+
+    A source with a null or NaN coordinate is nobody's neighbour, and a target with one has no row; equal rows of
+    targets count once.
     """
     dim = len(coords)
+    placed = lambda d: d.filter(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in coords))
+    sources, targets = placed(sources), placed(targets)
+    box = sources.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"w{i}") for i, c in enumerate(coords)]).first()
+    n = box["n"]
+    if not n:
+        return targets.limit(0).select(F.col(target_id), F.lit(None).cast("long").alias(source_id), F.lit(0.0).alias("distance2"), F.lit(0).alias("rank"))
     if size is None:
-        box = sources.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"w{i}") for i, c in enumerate(coords)]).first()
         spans = [box[f"w{i}"] for i in range(dim) if box[f"w{i}"]]
         volume = 1.0
         for s in spans:
             volume *= s
-        size = (volume * (k + 1) / max(box["n"], 1)) ** (1 / max(len(spans), 1)) if spans else 1.0
-    n = sources.count()
-    if not n:
-        return targets.limit(0).select(F.col(target_id), F.lit(None).cast("long").alias(source_id), F.lit(0.0).alias("distance2"), F.lit(0).alias("rank"))
+        size = (volume * (k + 1) / n) ** (1 / max(len(spans), 1)) if spans else 1.0
     cells = [f"_c{i}" for i in range(dim)]
     grid = sources.select(F.col(source_id).alias("_s"), *[F.col(c).alias(f"_s{i}") for i, c in enumerate(coords)])
     grid = stored(grid.withColumns(dict(zip(cells, _cell([F.col(f"_s{i}") for i in range(dim)], size)))), "grid")
-    todo = targets.select(F.col(target_id).alias("_t"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(coords)])
-    todo = stored(todo, "targets")
+    place = ["_t", *[f"_t{i}" for i in range(dim)]]
+    todo = stored(targets.select(F.col(target_id).alias("_t"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(coords)]).distinct(), "targets")
     extent = grid.agg(*[F.max(c) for c in cells], *[F.min(c) for c in cells]).first()
     far = F.lit(1 << 50)  # cells beyond count as at this one; their distance check never holds, so they end with all sources
     heres = [F.greatest(F.least(F.floor(F.col(f"_t{i}") / size), far), -far) for i in range(dim)]
@@ -71,26 +76,26 @@ def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], sou
     widest = lambda xs: F.greatest(F.lit(0), *xs)
     reach = widest([x for h, a, b in zip(heres, lows, highs) for x in (a - h, h - b)])
     whole = widest([x for h, a, b in zip(heres, lows, highs) for x in (h - a, b - h)])
-    done, rings = [], 1
-    for turn in range(max_rounds):
-        radius = whole if turn == max_rounds - 1 else F.least(reach + rings, whole)
-        probe = todo.withColumn("_r", radius)
+    out, rings, turn = None, 1, 0
+    while True:  # ends when the rings are as many as the box is wide, at the latest
+        turn += 1
+        probe = todo.withColumn("_r", whole if turn == max_rounds else F.least(reach + rings, whole))
         for i in range(dim):
             low, high = F.greatest(heres[i] - F.col("_r"), lows[i]), F.least(heres[i] + F.col("_r"), highs[i])
             probe = probe.withColumn(cells[i], F.explode_outer(F.when(low <= high, F.sequence(low, high))))
         d2 = sum(((F.col(f"_t{i}") - F.col(f"_s{i}")) ** 2 for i in range(1, dim)), (F.col("_t0") - F.col("_s0")) ** 2)
-        found = probe.join(grid, cells, "left").withColumn("_d", d2)
-        near = found.groupBy("_t", *[f"_t{i}" for i in range(dim)], "_r").agg(F.slice(F.sort_array(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("_s").alias("s"))))), 1, k).alias("_near"))
-        enough = (F.size("_near") >= min(k, n)) & (F.element_at("_near", F.greatest(F.size("_near"), F.lit(1)))["d"] <= (F.col("_r") * size) ** 2)
-        near = stored(near.withColumn("_ok", F.coalesce(F.col("_r") >= whole, F.lit(True)) | F.coalesce(enough, F.lit(False))), "near")
-        done.append(near.filter("_ok").select("_t", "_near"))
-        todo = near.filter("not _ok").drop("_near", "_ok", "_r")
+        found = probe.join(grid, cells).select(*place, "_r", d2.alias("d"), F.col("_s").alias("s"))
+        found = found.withColumn("_k", F.row_number().over(Window.partitionBy(*place).orderBy("d", "s"))).filter(F.col("_k") <= k)
+        near = found.groupBy(*place).agg(F.max("_r").alias("_r"), F.sort_array(F.collect_list(F.struct("d", "s"))).alias("_near"))
+        enough = (F.size("_near") >= min(k, n)) & ((F.col("_r") >= whole) | (F.element_at("_near", -1)["d"] <= (F.col("_r") * size) ** 2))
+        near = stored(near.withColumn("_ok", enough).drop("_r"), "near")
+        done = near.filter("_ok").select("_t", "_near")
+        out = done if out is None else out.unionByName(done)
+        todo = todo.join(near.filter("_ok").select(*place), place, "left_anti")
         if todo.isEmpty():
             break
+        todo = stored(todo, "targets")
         rings *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
     return out.select(F.col("_t").alias(target_id), F.posexplode("_near").alias("rank", "_n")).select(target_id, F.col("_n")["s"].alias(source_id), F.col("_n")["d"].alias("distance2"), (F.col("rank") + 1).alias("rank"))
 
 
@@ -105,8 +110,13 @@ def inverse_distance_mean(df: DataFrame, key: str, value: str, distance: str, po
 
 
 def cell_centres(connectivity: DataFrame, vertices: DataFrame, cell: str, vertex: str, coords: Sequence[str]) -> DataFrame:
-    """Mean of the coordinates of each cell's vertices (each vertex once)."""
-    return connectivity.select(cell, vertex).distinct().join(vertices, vertex).groupBy(cell).agg(*[F.avg(c).alias(c) for c in coords])
+    """Mean of the coordinates of each cell's vertices (each vertex once).
+
+    Links that repeat a vertex are dropped after the join, in the cell's own partition: grouping by cell and vertex, then
+    by cell, needs one exchange.
+    """
+    d = connectivity.select(cell, vertex).join(vertices.select(vertex, *coords), vertex).repartition(cell)
+    return d.groupBy(cell, vertex).agg(*[F.first(c).alias(c) for c in coords]).groupBy(cell).agg(*[F.avg(c).alias(c) for c in coords])
 
 
 def balanced_parts(total: int, parts: int) -> int:

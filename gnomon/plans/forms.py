@@ -64,14 +64,15 @@ def part_interfaces(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT p_partkey + 1 AS cell, p_partkey % 10 AS i, p_partkey // 10 % 10 AS j, p_partkey // 100 AS k FROM part WHERE p_partkey < 1000)
-    SELECT cell, CASE WHEN k >= 5 THEN 2 WHEN i < 5 THEN 0 ELSE 1 END + 0 AS part, CASE WHEN k >= 5 THEN 1 + i + 10 * j + 100 * (k - 5) ELSE 1 + i % 5 + 5 * j + 50 * k END AS lnum FROM c"""
+    """WITH c AS (SELECT p_partkey + 1 AS cell, p_partkey % 10 AS i, p_partkey // 10 % 10 AS j, p_partkey // 100 AS k, (SELECT max(p_partkey) // 200 + 1 FROM part) AS h FROM part)
+    SELECT cell, CASE WHEN k >= h THEN 2 WHEN i < 5 THEN 0 ELSE 1 END + 0 AS part, CASE WHEN k >= h THEN 1 + i + 10 * j + 100 * (k - h) ELSE 1 + i % 5 + 5 * j + 50 * k END AS lnum FROM c"""
 )
 def partition_by_box(spark, sf_dir):
-    # Boxes: the lower half in k cut across i, the upper half whole.
-    boxes = [((0, 5), (0, 10), (0, 5)), ((5, 10), (0, 10), (0, 5)), ((0, 10), (0, 10), (5, 10))]
-    c = table(spark, sf_dir, "part").filter("p_partkey < 1000").select((F.col("p_partkey") + 1).alias("cell"))
-    return partition.in_boxes(c, (10, 10, 10), boxes).withColumn("part", F.col("part").cast("long"))
+    # A block of all parts; boxes: the lower half in k cut across i, the upper half whole.
+    c = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("cell"))
+    half = (c.agg(F.max("cell")).first()[0] - 1) // 200 + 1
+    boxes = [((0, 5), (0, 10), (0, half)), ((5, 10), (0, 10), (0, half)), ((0, 10), (0, 10), (half, 2 * half))]
+    return partition.in_boxes(c, (10, 10, 2 * half), boxes).withColumn("part", F.col("part").cast("long"))
 
 
 @query(

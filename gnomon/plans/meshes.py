@@ -105,7 +105,7 @@ def match_points(spark, sf_dir):
 
 
 @query(f"SELECT id, round(sqrt(min((p.x - q.x) ** 2 + (p.y - q.y) ** 2)), 9) AS distance FROM ({_POINTS}) p, ({_TARGETS}) q GROUP BY id")
-def wall_distance(spark, sf_dir):
+def nearest_point_distance(spark, sf_dir):
     a, b = _points(spark, sf_dir)
     d = spatial.closest_point(b, a, ["x", "y"], "t", "id")
     return d.select("id", F.round(F.sqrt("distance2"), 9).alias("distance"))
