@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .common import WORD, materialise, read_table, small, words_of
+from .common import materialise, read_table, small, words_of
 
 COMMON_SHARE = 0.004
 MIN_WORDS = 50
@@ -37,6 +37,8 @@ POOLED = "*"
 #: Stands for a run of lower-case (or caseless) letters in a skeleton.
 RUN = "\x01"
 LOWER_RUN = r"[\p{L}&&[^\p{Lu}]]+"
+#: Lists by hash in which a word is sought among the common ones.
+SLOTS = 256
 
 
 def without(text: Column, chars: str) -> Column:
@@ -78,11 +80,9 @@ def with_repeats(df: DataFrame, words: str, out: str) -> DataFrame:
     """
     at = lambda a, i: F.get(F.col(a), i)
     n = F.size(words)
-    df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
-    two = F.zip_with("_h", F.slice("_h", F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    three = F.zip_with(two, F.slice("_h", F.lit(3), F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn("_h", F.slice(three, F.lit(1), F.greatest(n - 2, F.lit(0)))).withColumn("_s", F.sort_array("_h"))
-    df = df.withColumn("_any", F.size(F.array_distinct("_s")) < F.size("_s"))
+    three = F.transform(F.slice(F.col(words), F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, at(words, i + 1), at(words, i + 2)))
+    df = df.withColumn("_h", three).withColumn("_s", F.sort_array("_h"))
+    df = df.withColumn("_any", F.exists(F.zip_with("_s", F.slice("_s", F.lit(2), F.greatest(F.size("_s"), F.lit(1))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False))))
     placed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("_w", F.when(F.col("_any"), placed))
     twice = lambda x, i: F.coalesce(at("_w", i + 1)["h"] == x["h"], F.lit(False)) | ((i > 0) & (at("_w", i - 1)["h"] == x["h"]))
@@ -94,12 +94,12 @@ def with_repeats(df: DataFrame, words: str, out: str) -> DataFrame:
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, class_ref array, words array, word_ref array): one row a language, and one for all documents together.
 
-    word_ref has the shares of words in order, then the share of all other words.
+    words are in order; word_ref has their shares, then the share of all other words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     totals = (
         with_classes(docs.select(F.col(lang_col).alias("lang"), text.alias("_text")), "_text")
-        .select("lang", *[F.col(f"_{k}").alias(k) for k in CLASSES], F.regexp_count("_bones", F.lit(WORD)).alias("n"))
+        .select("lang", *[F.col(f"_{k}").alias(k) for k in CLASSES], F.size(words_of(F.col("_text"))).alias("n"))
         .groupBy("lang")
         .agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in CLASSES])
     )
@@ -131,6 +131,13 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     )
 
 
+def with_slots(refs: DataFrame) -> DataFrame:
+    """Adds slots: SLOTS lists of (hash, place) of the words, a word being in the list of its hash's last bits."""
+    held = F.transform("words", lambda w, i: F.struct(F.xxhash64(w).alias("h"), (i + 1).alias("c")))
+    d = refs.withColumn("_held", held)
+    return d.withColumn("slots", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.filter("_held", lambda x: x["h"].bitwiseAND(F.lit(SLOTS - 1)) == k))).drop("_held")
+
+
 def js_distance(pairs: Column) -> Column:
     """Jensen-Shannon distance, base 2, from an array of (p, q) for the values with p > 0.
 
@@ -148,21 +155,23 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     reference, is null and passes.
     Rows repeated in the input are repeated in the output; columns other than the three named are ignored.
     """
-    refs = materialise(language_references(docs, text_col, lang_col) if references is None else references)
+    refs = materialise(with_slots(language_references(docs, text_col, lang_col) if references is None else references))
     n_refs = refs.count()
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.col(lang_col).alias("_lang"))
     own = refs.filter(F.col("lang") != POOLED)
-    learned = small(own.select(F.col("lang").alias("_own"), F.col("class_ref").alias("_oc"), F.col("words").alias("_ow"), F.col("word_ref").alias("_or")), n_refs, MAX_BROADCAST_LANGUAGES)
+    learned = small(own.select(F.col("lang").alias("_own"), F.col("class_ref").alias("_oc"), F.col("slots").alias("_ow"), F.col("word_ref").alias("_or")), n_refs, MAX_BROADCAST_LANGUAGES)
     pooled = F.broadcast(refs.filter(F.col("lang") == POOLED).select(F.col("class_ref").alias("_pc")).limit(1))
     every = F.broadcast(own.agg(F.collect_list(F.struct("words", "word_ref")).alias("_refs")))
     d = d.join(learned, F.col("_lang") == F.col("_own"), "left").join(pooled, F.lit(True), "left").join(every, F.col("_lang").isNull(), "left")
-    d = d.select("doc_id", "_text", "_refs", F.coalesce("_oc", "_pc").alias("class_ref"), F.col("_ow").alias("ref_words"), F.col("_or").alias("word_ref"))
+    d = d.select("doc_id", "_text", "_refs", F.coalesce("_oc", "_pc").alias("class_ref"), F.col("_ow").alias("slots"), F.col("_or").alias("word_ref"))
     d = d.withColumn("_words", words_of(F.col("_text")))
     d = with_repeats(d, "_words", "n_repeat_words")
     # Sorted positions in the reference (0: not common); the ends of its runs give the counts.
     n = F.size("_words")
-    d = d.withColumn("_codes", F.sort_array(F.transform("_words", lambda w: F.array_position(F.col("ref_words"), F.lower(w)).cast("int"))))
+    d = d.withColumn("_wh", F.when(F.col("slots").isNotNull(), F.transform("_words", lambda w: F.xxhash64(F.lower(w)))))
+    place = lambda h: F.get(F.filter(F.get("slots", h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), lambda x: x["h"] == h), 0)["c"]
+    d = d.withColumn("_codes", F.sort_array(F.transform("_wh", lambda h: F.coalesce(place(h), F.lit(0)))))
     ends = F.filter(F.transform("_codes", lambda c, i: F.struct(c.alias("c"), (i + 1).alias("e"))), lambda x: ~F.get("_codes", x["e"]).eqNullSafe(x["c"]))
     d = d.withColumn("_ends", ends)
     q = lambda c: F.element_at("word_ref", F.when(c > 0, c).otherwise(F.lit(-1)))
