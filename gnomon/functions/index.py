@@ -91,3 +91,55 @@ def transform_point(transform: Sequence[int], point: Sequence[Column], start: Se
     for a, t in enumerate(transform):
         out[abs(t) - 1] = F.lit(donor_start[abs(t) - 1]) + (1 if t > 0 else -1) * (point[a] - start[a])
     return out
+
+
+def transform_window(transform: Sequence[int], corners: Sequence[Sequence[Column]], start: Sequence[int], donor_start: Sequence[int]) -> list[list[Column]]:
+    """Both corners of a window through a signed axis permutation; a reversed axis gives a descending pair."""
+    return [transform_point(transform, c, start, donor_start) for c in corners]
+
+
+def normal_shift(first: Column, n_vtx: int, source: str, target: str) -> Column:
+    """What is added to the normal index of a boundary range when its location changes: the last vertex layer is one beyond the last cell layer."""
+    vertex = lambda x: x not in ("CellCenter", "Cell")
+    if vertex(source) == vertex(target):
+        return F.lit(0)
+    return F.when(first == n_vtx, -1).otherwise(0) if vertex(source) else F.when(first == n_vtx - 1, 1).otherwise(0)
+
+
+def boundary_size(sizes: Sequence[Column], axis: int, source: str, target: str) -> list[Column]:
+    """The size of a boundary range in another location: one less in each tangential direction from vertices to faces or cells, one more back."""
+    by = (target == "Vertex") - (source == "Vertex")
+    return [s if a == axis else s + by for a, s in enumerate(sizes)]
+
+
+def slabs(shape: Sequence[int], first: int, last: int) -> list[list[tuple[int, int]]]:
+    """Half-open boxes, at most 2 * len(shape) - 1, that hold places first..last - 1 of an array (the first axis fastest), in order."""
+    if first >= last:
+        return []
+    if len(shape) == 1:
+        return [[(first, last)]]
+    *inner, _ = shape
+    plane = 1
+    for n in inner:
+        plane *= n
+    a, b = first // plane, (last - 1) // plane
+    whole = [(0, n) for n in inner]
+    if a == b:
+        return [[*s, (a, a + 1)] for s in slabs(inner, first - a * plane, last - a * plane)]
+    out = []
+    low, high = a, b + 1
+    if first % plane:
+        out += [[*s, (a, a + 1)] for s in slabs(inner, first % plane, plane)]
+        low += 1
+    tail = []
+    if last % plane:
+        tail = [[*s, (b, b + 1)] for s in slabs(inner, 0, last % plane)]
+        high -= 1
+    if low < high:
+        out.append([*whole, (low, high)])
+    return out + tail
+
+
+def zero_based(index: Column, line: int, plane: int) -> Triple:
+    """(i, j, k) from 0 of a 0-based place."""
+    return F.pmod(index, F.lit(line)), F.floor(F.pmod(index, F.lit(plane)) / line), F.floor(index / plane)

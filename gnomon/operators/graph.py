@@ -15,6 +15,8 @@ from ..storage import discard, stored
 HUBS, HUB_EDGES = 1_000, 1_000
 #: Edges that a worker contracts at once.
 CHUNK = 1_000_000
+#: So few edges (some megabytes) are finished by one task; more go through rounds.  The result is the same.
+LAST = 250_000
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +82,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every end of an edge; the component is its least node.
 
     Alternates the large-star and small-star steps, whose rounds grow with the logarithm of the size and which keep
-    the number of edges bounded.  The loop ends when a round leaves the edge set as it was.  Edges with a null end and
-    loops are ignored, loops giving no row.
+    the number of edges bounded.  The loop ends when a round leaves the edge set as it was, or when what is left is few
+    enough for one task.  Edges with a null end and loops are ignored, loops giving no row.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
     e, mark = _round(contracted(e).distinct())
     while mark[0]:
+        if mark[0] <= min(LAST, CHUNK):
+            now, _ = _round(contracted(e.coalesce(1)))
+            discard(e)
+            e = now
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every larger neighbour of a node is tied to the node's least neighbour (or itself).
         large = _with_least(both, 2 * mark[0]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import index, sequences
 from ..operators import convert, exchange, generators, interpolation, mesh, numbering, partition, spatial, subsets, surfaces, transfer, trees, walls, zones
-from ..sources import tables, tree_text
+from ..sources import store, tables, tree_text
 from ..storage import fresh_path
 from .catalog import _POINTS, _points, query, table
 from .forms import _AT, _PARTS, parts
-from .inspection import _ARRAYS, _N, arrays, listed, tree
+from .inspection import _ARRAYS, _N, _S, arrays, listed, tree
 from .meshes import _CELLS, _FACES, _VERTICES, cells, faces, joined, vertices
 
 _T = f"(SELECT s_suppkey AS target, {_AT} FROM supplier)"
@@ -417,3 +417,106 @@ def subset_sum(spark, sf_dir):
     names = sequences.vector_names(["VelocityX", "VelocityY", "VelocityZ", "MomentumX", "MomentumY", "MomentumZ", "Density", "FluxX"])
     return spark.createDataFrame([(f"[{', '.join(map(str, found))}]", f"[{', '.join(names)}]")], "found string, vectors string")
 
+
+
+_VALUES = "SELECT 'Z/size' AS path, p_partkey AS pos, p_size::DOUBLE AS value FROM part UNION ALL SELECT 'Z/price', p_partkey, p_retailprice FROM part"
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    one = lambda name, c: p.select(F.lit(f"Z/{name}").alias("path"), F.col("p_partkey").alias("pos"), F.col(c).cast("double").alias("value"))
+    v = one("size", "p_size").unionByName(one("price", "p_retailprice"))
+    nodes = v.groupBy("path").agg(F.count("*").alias("size"))
+    path = fresh_path(spark, "stored-tree")
+    store.save(nodes, v, path)
+    return path, nodes, v
+
+
+@query(f"WITH n AS (SELECT count(*) AS n FROM part) SELECT path, pos, value FROM ({_VALUES}), n WHERE pos >= n // 4 + least(1, n % 4) AND pos < 2 * (n // 4) + least(2, n % 4)")
+def stored_share(spark, sf_dir):
+    path, nodes, _ = _saved(spark, sf_dir)
+    return store.load_slabs(spark, path, store.flat_slabs(store.part_ranges(store.load_sizes(spark, path), 4, 1)))
+
+
+@query(f"SELECT path, pos, value FROM ({_VALUES}) WHERE path = 'Z/price' AND (pos BETWEEN 20 AND 49 OR pos BETWEEN 120 AND 149)")
+def stored_pairs(spark, sf_dir):
+    path, *_ = _saved(spark, sf_dir)
+    r = spark.createDataFrame([("Z/price", 20, 50, 100)], "path string, first long, last long, total long")
+    return store.load_slabs(spark, path, store.pair_slabs(r))
+
+
+@query(f"SELECT path, pos, value FROM ({_VALUES}) WHERE path = 'Z/size' AND pos BETWEEN 15 AND 29")
+def stored_items(spark, sf_dir):
+    path, *_ = _saved(spark, sf_dir)
+    r = spark.createDataFrame([("Z/size", 5, 10)], "path string, first long, last long")
+    return store.load_slabs(spark, path, store.block_slabs(r, 3))
+
+
+@query("SELECT 'Z/price' AS path, count(*) + 1 AS size, count(*) AS n FROM part")
+def size_faults(spark, sf_dir):
+    _, nodes, v = _saved(spark, sf_dir)
+    return store.size_faults(nodes.withColumn("size", F.col("size") + (F.col("path") == "Z/price").cast("int")), v)
+
+
+@query(f"SELECT zone || '/Linked' || sub AS path, label FROM {_N}, (VALUES ('', 'ZoneBC_t'), ('/X', 'BC_t')) v(sub, label)")
+def resolved_links(spark, sf_dir):
+    t = tree(spark, sf_dir)
+    z = t.filter("label = 'Zone_t'")
+    link = z.select(F.concat("path", F.lit("/Linked")).alias("path"), F.lit('"other:/B/Z/ZoneBC"').alias("value"), F.lit("LK").alias("dtype"), F.lit("Link_t").alias("label"))
+    other = spark.createDataFrame([("other", "/B/Z/ZoneBC", "ZoneBC_t"), ("other", "/B/Z/ZoneBC/X", "BC_t"), ("other", "/B/Z/ZoneBC2", "ZoneBC_t")], "file string, path string, label string")
+    for c, kind in t.dtypes:
+        if c not in other.columns:
+            other = other.withColumn(c, F.lit(None).cast(kind))
+    d = store.resolved(trees.upsert(t, link), other)
+    return d.filter("path like '%/Linked%'").select("path", "label")
+
+
+@query(f"SELECT bc || '/PointRange' AS path FROM {_S} WHERE k % 2 = 0 UNION ALL SELECT bc || '/PointList' FROM {_S} WHERE k % 2 = 1")
+def range_names(spark, sf_dir):
+    t = tree(spark, sf_dir)
+    odd = t.withColumn("name", F.when(F.col("path").rlike("/BC[0-9]+/Point"), F.lit("ElementRange")).otherwise(F.col("name")))
+    odd = odd.withColumn("path", F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat("parent", F.lit("/"), "name")))
+    return store.with_range_names(odd).filter("path rlike '/BC[0-9]+/Point'").select("path")
+
+
+@query(f"SELECT zone AS path FROM {_N} WHERE k % 3 <> 0")
+def without_legacy(spark, sf_dir):
+    t = tree(spark, sf_dir).filter("label = 'Zone_t'").withColumn("k", F.substring("name", 2, 9).cast("int"))
+    old = t.withColumn("path", F.concat("path", F.when(F.col("k") % 3 == 0, F.lit("/:CGNS#Ppart/x")).otherwise(F.lit(""))))
+    return store.without_legacy(old).select("path")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'own' || s_suppkey ELSE 'other' || s_suppkey END AS points FROM supplier")
+def symmetric_joins(spark, sf_dir):
+    # Zones 1 and 2 point at each other with different points; those of zone 1 count.
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 2 == 0).alias("first"), F.floor(F.col("s_suppkey") / 2).cast("string").alias("j"))
+    z = lambda c: F.when(c, "z1").otherwise("z2")
+    text = lambda t, k: F.concat(F.lit(t), k.cast("string"))
+    k = F.col("s_suppkey")
+    j = s.select("s_suppkey", z(F.col("first")).alias("zone"), F.col("j").alias("name"), text("own", k).alias("points"), z(~F.col("first")).alias("donor_zone"), F.col("j").alias("donor_name"), F.when(F.col("first"), text("other", k + 1)).otherwise(text("x", k)).alias("donor_points"))
+    d = store.symmetric_joins(j.drop("s_suppkey"))
+    return d.join(j.select("zone", "name", "s_suppkey"), ["zone", "name"]).select("s_suppkey", "points")
+
+
+@query("SELECT s_suppkey, 11 - s_suppkey % 4 + 10 AS a0, 11 - s_suppkey % 4 + 8 AS a1, CASE WHEN s_suppkey % 6 = 5 THEN -1 ELSE 0 END AS shift, 2 + s_suppkey % 3 AS size FROM supplier")
+def boundary_forms(spark, sf_dir):
+    s = F.col("s_suppkey")
+    (a, _), (b, _) = index.transform_window((-1, 2), [[s % 4, s % 3], [s % 4 + 2, s % 3]], (1, 1), (20, 5))
+    size = index.boundary_size([F.lit(1), 3 + s % 3], 0, "Vertex", "FaceCenter")[1]
+    return table(spark, sf_dir, "supplier").select("s_suppkey", a.alias("a0"), b.alias("a1"), index.normal_shift(s % 6 + 1, 6, "Vertex", "CellCenter").alias("shift"), size.alias("size"))
+
+
+@query("SELECT p_partkey AS g, p_partkey % 5 AS i, p_partkey // 5 % 7 AS j, p_partkey // 35 AS k FROM part")
+def places(spark, sf_dir):
+    g = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(g.alias("g"), *[c.cast("long").alias(n) for c, n in zip(index.zero_based(g, 5, 35), "ijk")])
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM part) SELECT count(*) AS n_boxes, 3 AS lowest, n - 1 AS highest, n - 3 AS n_cells FROM n, range(0, CASE WHEN n % 35 = 0 THEN 3 WHEN n % 5 = 0 THEN 4 ELSE 5 END) GROUP BY n")
+def interval_slabs(spark, sf_dir):
+    n = table(spark, sf_dir, "part").count()
+    boxes = index.slabs((5, 7, n // 35 + 1), 3, n)
+    cells_of = [[i + 5 * j + 35 * k for k in range(*b[2]) for j in range(*b[1]) for i in range(*b[0])] for b in boxes]
+    flat = [c for b in cells_of for c in b]
+    assert flat == sorted(set(flat))
+    return spark.createDataFrame([(len(boxes), flat[0], flat[-1], len(flat))], "n_boxes long, lowest long, highest long, n_cells long")

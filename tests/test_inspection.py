@@ -54,9 +54,12 @@ def test_neighbours_of_odd_points(spark):
     assert spatial.k_closest(s.limit(0), t, ["x", "y"], "s", "t").count() == 0
 
 
+@pytest.mark.parametrize("last", [0, 1_000])
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "names"])
-def test_components(spark, shape, monkeypatch):
+def test_components(spark, shape, last, monkeypatch):
+    """By rounds alone, with hubs, and finished by one task."""
     monkeypatch.setattr(graph, "HUB_EDGES", 3)
+    monkeypatch.setattr(graph, "LAST", last)
     r = random.Random(4)
     edges = {"chain": [(i, i + 1) for i in range(300)], "star": [(0, i) for i in range(1, 200)] + [(500, i) for i in range(150, 400)], "random": [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)]}
     pairs = [(f"n{a}", f"n{b}") for a, b in edges["random"]] if shape == "names" else edges[shape]
@@ -131,3 +134,19 @@ def test_upsert_and_outermost(spark):
     u = {r["path"]: (r["label"], r["name"], r["depth"]) for r in trees.upsert(t, new).collect()}
     assert u["a/d"] == ("X_t", "d", 2) and u["a/e"] == ("Y_t", "e", 2) and u["a"][0] == "UserDefined_t"
     assert {r["path"] for r in trees.outermost(t, t.filter("path <> 'a'")).collect()} == {"a/b", "a/d"}
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    from gnomon.__main__ import main
+
+    text = "Base CGNSBase_t [3, 3]:\n  Zone Zone_t [[8, 1, 0]]:\n    size DataArray_t R8 1.0:\n"
+    for name, body in (("a", text), ("b", text), ("c", text.replace("1.0", "1.5").replace("[3, 3]", "[3, 2]"))):
+        (tmp_path / f"{name}.yaml").write_text(body)
+    file = lambda n: str(tmp_path / f"{n}.yaml")
+    assert main(["print", file("a"), "--depth", "2"], spark) == 0
+    assert [x.strip().split(" ")[0] for x in capsys.readouterr().out.splitlines()] == ["Base", "Zone"]
+    assert main(["diff", file("a"), file("b")], spark) == 0 and capsys.readouterr().out == ""
+    assert main(["diff", file("a"), file("c")], spark) == 1
+    assert [x.split() for x in capsys.readouterr().out.splitlines()] == [["changed", "Base"], ["changed", "Base/Zone/size"]]
+    assert main(["diff", file("a"), file("c"), "--tolerance", "0.5"], spark) == 1
+    assert [x.split() for x in capsys.readouterr().out.splitlines()] == [["changed", "Base"]]
