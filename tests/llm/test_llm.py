@@ -421,6 +421,36 @@ def test_join_against_brute_force(spark):
         assert (got[i]["class_id"], got[i]["n_links"]) == (find(i), links[i])
 
 
+def test_join_recall_on_documents(spark):
+    """All classes and link counts of the documents are those of an exact join by an inverted index."""
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    sets, holders = {}, defaultdict(list)
+    for r in rows:
+        w = WORD.findall(r["text"])
+        sets[r["doc_id"]] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for x in sets[r["doc_id"]]:
+            holders[x].append(r["doc_id"])
+    common = Counter()
+    for ids in holders.values():
+        common.update((a, b) for i, a in enumerate(ids) for b in ids[i + 1 :])
+    links, root = Counter(), {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for (a, b), n in common.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in QUERIES["op8_ngram_jaccard"](spark, folder).collect()}
+    assert sum(links.values()) > 100 and got == {k: (find(k), links[k]) for k in sets}
+
+
 def test_rows_of_repeated_ids_in_the_stages(spark):
     """One row of each class stays by id and words, unique texts of a repeated id stay, and the mix counts by row."""
     import corpus_pipeline
