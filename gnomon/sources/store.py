@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..operators.trees import path_parent, path_tail
 
 SLAB = "path string, first bigint, stride bigint, block bigint, count bigint"
-#: Labels of former versions that are taken out of a tree.
-LEGACY = (":CGNS#Ppart", ":elsA#Hybrid")
+#: Names of nodes of former versions that are taken out of a tree.
+LEGACY = (":CGNS#Ppart",)
 RANGE_NAMES = {"BC_t": "PointRange", "BCDataSet_t": "PointRange", "GridConnectivity1to1_t": "PointRange", "ZoneSubRegion_t": "PointRange"}
 
 
