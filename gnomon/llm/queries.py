@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, id_codec, langid, mixing, ngram_join, pieces, pii, quality, token_counts
+from . import chat, fingerprints, id_codec, langid, mixing, ngram_join, pieces, pii, quality, spelling, token_counts
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
     "op9_language_mixture": langid.op9_language_mixture,
     "op10_quality_divergence": quality.op10_quality_divergence,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 
 ORACLE_SQL = {
