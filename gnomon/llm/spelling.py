@@ -2,12 +2,12 @@
 
 Every letter has one of LETTER_BITS bits, and a word's mask holds the parity of each bit's count.  One inserted or
 deleted letter flips one bit, a replaced one two at most.  The mask is split into three bands, so near words agree in
-one band at least.  Words are joined on (band, its value, length), where a word also stands as the shorter partner of
-the next length; pairs that flip more than two bits, or whose halves both differ, are dropped on numbers alone, and the
-rest is verified by the edit distance.  A pair is taken in the first band in which it agrees, so no pair comes twice.
-
-Groups of more than HOT words are split once more in the same way: in words that agree in one band, the two flips lie
-in the rest of the mask, which is cut into three parts of which one agrees at least.  Nothing is dropped.
+one band at least (in one of the first two, if their lengths differ).  Words are joined on a band's value and the
+length, where a word also stands as the shorter partner of the next length.  Masks of words are far from even, and such
+groups would grow with the square of the vocabulary; they are split by half words: one edit leaves the first or the
+last half of a word as it is, so a word is in a group's part of each of its halves.  Pairs that flip more than two bits
+are dropped on numbers alone, and the rest is verified by the edit distance.  A pair is taken in the first band and half
+in which it agrees, so no pair comes twice.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ MIN_LENGTH = 7
 MIN_COUNT = 2
 RATIO = 10
 DROP_ONE_IN = 31
-HOT = 30_000
 RUN = r"[A-Za-zÀ-ÿ]{%d,}+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters by how often they occur in the languages of Latin script; dealing them by turns gives bands of like entropy.
@@ -52,8 +51,8 @@ def parity_mask(word: Column) -> Column:
     """The parity of each letter bit; letters without a bit count for nothing."""
     at = letter_bits()
     alphabet = "".join(at)
-    code = F.create_map(*[F.lit(x) for c in alphabet for x in (c, 1 << at[c])])
-    return F.aggregate(F.split(word, ""), _long(0), lambda acc, c: acc.bitwiseXOR(F.coalesce(F.element_at(code, c).cast("long"), _long(0))))
+    codes = F.array(*[_long(1 << at[c]) for c in alphabet])
+    return F.aggregate(F.split(word, ""), _long(0), lambda acc, c: acc.bitwiseXOR(F.coalesce(F.get(codes, F.call_function("locate", c, F.lit(alphabet)) - 1), _long(0))))
 
 
 def edited_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
@@ -76,72 +75,50 @@ def word_table(occurrences: DataFrame, *, min_count: int = MIN_COUNT) -> DataFra
     return occurrences.filter("word is not null").groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
 
 
-def _roles(words: DataFrame) -> DataFrame:
-    """Two rows a word: with its own length, and with the next as the shorter partner; first and last are halves of that length."""
-    role = F.explode(F.array(F.lit(0), F.lit(1)))
-    d = words.withColumn("shorter", role).withColumn("size", F.length("word") + F.col("shorter"))
-    half = F.floor((F.col("size") - 1) / 2).cast("int")
-    return d.withColumns({"first": F.xxhash64(F.substring(F.col("word"), F.lit(1), half)), "last": F.xxhash64(F.substring(F.col("word"), F.length("word") - half + 1, half))})
-
-
-def _flips(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def _joined(rows: DataFrame, keys: list[str], earlier: Column) -> DataFrame:
-    """Near pairs (word, n, other, other_n) of rows with equal keys; earlier says whether a pair agrees in an earlier band."""
-    left = rows.filter("shorter = 0").drop("shorter")
-    right = rows.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("word", "n", "mask", "first", "last", "shorter")])
-    order = (F.col("o_shorter") == 1) | (F.col("word") < F.col("o_word"))
-    halves = (F.col("first") == F.col("o_first")) | (F.col("last") == F.col("o_last"))
-    renamed = left.select(*[F.col(k).alias(f"k_{k}") for k in keys], "word", "n", "mask", "first", "last")
-    same = [F.col(f"k_{k}") == F.col(k) for k in keys]
-    on = (_flips("mask", "o_mask") <= 2) & halves & order & ~earlier
-    for s in same:
-        on = on & s
-    # Bands of the same value hold equal letters, so the edit distance alone is left to verify; code points that have no bit count there too.
-    pairs = renamed.join(right, on).filter(F.levenshtein("word", "o_word", 1) == 1)
-    return pairs.select("word", "n", F.col("o_word").alias("other"), F.col("o_n").alias("other_n"))
-
-
-def _agrees(bits: Column) -> Column:
-    return F.col("mask").bitwiseAND(bits) == F.col("o_mask").bitwiseAND(bits)
+def _half(word: Column, size: Column, side: int) -> Column:
+    """The first (side 0) or last half of a word that takes part in pairs of this length."""
+    n = F.floor((size - 1) / 2).cast("int")
+    return F.substring(word, F.length(word) - n + 1 if side else F.lit(1), n)
 
 
-def _before(masks: list[int], index: Column) -> Column:
-    """Whether the pair agrees in one of the masks before index."""
-    out = F.lit(False)
-    for k, m in enumerate(masks[:-1]):
-        out = out | ((index > k) & _agrees(_long(m)))
-    return out
+def _slots(word: Column, mask: Column, shorter: int) -> Column:
+    """(slot, key) of each group that a word is in: slot says which band and half, key is a digest of all that the group shares."""
+    size = F.length(word) + shorter
+    out = []
+    for k, bits in enumerate(band_masks()[: BANDS - shorter]):
+        for side in (0, 1):
+            key = F.xxhash64(F.lit(2 * k + side), mask.bitwiseAND(_long(bits)), size, _half(word, size, side))
+            out.append(F.struct(F.lit(2 * k + side).alias("slot"), F.lit(shorter).alias("shorter"), key.alias("key")))
+    return F.array(*out)
 
 
-def near_pairs(words: DataFrame, *, hot: int = HOT) -> DataFrame:
+def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n) for each pair of words (word, n) that differ by one inserted, deleted or replaced code point; each pair once.
 
-    Words are taken to be distinct and not null.  Groups of more than `hot` words are split by a second banding.
+    Words are taken to be distinct and not null.
     """
-    masks = band_masks()
-    d = _roles(words.withColumn("mask", parity_mask(F.col("word"))))
-    d = d.select("*", F.posexplode(F.array(*[F.col("mask").bitwiseAND(_long(m)) for m in masks])).alias("band", "value"))
-    keys = ["band", "value", "size"]
-    large = stored(d.groupBy(*keys).count().filter(F.col("count") > hot).drop("count"), "spelling-hot")
-    once = _joined(d if large.isEmpty() else d.join(large, keys, "left_anti"), keys, _before(masks, F.col("band")))
-    if large.isEmpty():
-        return once
-    # The rest of a mask, without its band, cut into parts: bit b is in part (b div 3) mod 3.
-    parts = [sum(1 << b for b in range(LETTER_BITS) if b // BANDS % BANDS == k) for k in range(BANDS)]
-    outside = F.element_at(F.array(*[_long(~m) for m in masks]), F.col("band") + 1)
-    again = d.join(large, keys, "left_semi")
-    again = again.select("*", F.posexplode(F.array(*[F.col("mask").bitwiseAND(outside).bitwiseAND(_long(p)) for p in parts])).alias("part", "rest"))
-    earlier = F.lit(False)
-    for k, p in enumerate(parts[:-1]):
-        earlier = earlier | ((F.col("part") > k) & _agrees(outside.bitwiseAND(_long(p))))
-    twice = _joined(again, [*keys, "part", "rest"], _before(masks, F.col("band")) | earlier)
-    return once.unionByName(twice)
-
-
-def variants(words: DataFrame, *, ratio: int = RATIO, hot: int = HOT) -> DataFrame:
+    word, mask = F.col("word"), F.col("mask")
+    d = stored(words.withColumn("mask", parity_mask(word)), "spelling-masks")
+    own, next_ = _slots(word, mask, 0), _slots(word, mask, 1)
+    left = d.select("word", "n", "mask", F.inline(own)).drop("shorter")
+    right = d.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("mask").alias("other_mask"), F.inline(F.concat(own, next_)))
+    right = right.withColumnRenamed("slot", "other_slot").withColumnRenamed("key", "other_key")
+    flips = mask.bitwiseXOR(F.col("other_mask"))
+    order = (F.col("shorter") == 1) | (word < F.col("other"))
+    # Keys are digests: whether the pair agrees in this slot, and in none before, is told by masks and words.
+    size = F.length(word)
+    bands = [flips.bitwiseAND(_long(bits)) == 0 for bits in band_masks()]
+    halves = [_half(word, size, side) == _half(F.col("other"), size, side) for side in (0, 1)]
+    first = F.coalesce(*[F.when(b & h, 2 * k + side) for k, b in enumerate(bands) for side, h in enumerate(halves)])
+    # One expression, so that texts are compared only where the numbers allow it.
+    near = F.when((F.bit_count(flips) > 2) | ~order | (F.col("slot") != F.col("other_slot")), False).when(F.col("slot") != first, False).otherwise(F.levenshtein("word", "other", 1) == 1)
+    # Dealt by number: the rows are few bytes, but each meets its whole group, so small partitions must not be put together.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(parts, "key"), right.repartition(parts, "other_key")
+    return left.join(right, (F.col("key") == F.col("other_key")) & near).select("word", "n", "other", "other_n")
+
+
+def variants(words: DataFrame, *, ratio: int = RATIO) -> DataFrame:
     """One row per word of (word, n): word, form, root, n, n_near, form_n.
 
     n_near counts the words one edit apart.  form is the one of them with the largest n (ties: the smallest in
@@ -149,7 +126,7 @@ def variants(words: DataFrame, *, ratio: int = RATIO, hot: int = HOT) -> DataFra
     An empty table gives an empty result.
     """
     words = stored(words, "spelling-words")
-    pairs = near_pairs(words, hot=hot)
+    pairs = near_pairs(words)
     found = _both(pairs).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     large = -F.col("best.less") >= F.col("n") * ratio
     d = words.join(found, "word", "left")
