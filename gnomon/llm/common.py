@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..storage import shared_folder
 
@@ -47,6 +50,38 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+#: Rows that a worker's function gets at once.
+SLICE = 500
+
+
+def mapped(df: DataFrame, takes: list[str], adds: str, work: Callable[..., list], *, claim_as: str = "", clear: Callable[[], None] = lambda: None, rows: int = SLICE) -> DataFrame:
+    """df with the columns adds (as DDL), which replace columns of those names, computed by work from the values of takes.
+
+    work gets a list of Python values for each column of takes, and returns a list or array for each of adds.  All
+    other columns pass as Arrow data, unchanged: numbers beside nulls never become floating point.
+    """
+    added = StructType.fromDDL(adds)
+    new = {f.name.lower() for f in added}
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in new]
+    at = [i for t in takes for i, f in enumerate(df.schema.fields) if f.name == t or f.name.lower() == t.lower()][: len(takes)]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        if claim_as:
+            claim(claim_as, clear)
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
+                found = work(*[part.column(i).to_pylist() for i in at])
+                arrays = [part.column(i) for i in kept] + [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip(found, added)]
+                yield pa.RecordBatch.from_arrays(arrays, [b.schema.field(i).name for i in kept] + [f.name for f in added])
+        trim()
+
+    return df.mapInArrow(run, StructType([df.schema.fields[i] for i in kept] + added.fields))
+
+
 _claimed: dict[str, object] = {}
 
 

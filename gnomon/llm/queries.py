@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, collocations, fingerprints, id_codec, langid, mixing, ngram_join, pieces, pii, quality, spelling, token_counts
+from . import byte_cnn, chat, collocations, fingerprints, id_codec, langid, mixing, ngram_join, pieces, pii, quality, spelling, token_counts
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_divergence": quality.op10_quality_divergence,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_collocations": collocations.op12_collocations,
+    "op13_byte_cnn": byte_cnn.op13_byte_cnn,
 }
 
 ORACLE_SQL = {
