@@ -74,22 +74,23 @@ class Network:
 
     def rectified(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(blocks of four bytes as inputs, rectified values (halves, places, filters))."""
-        x = np.empty((len(data), VECTOR + 1), np.float32)
+        x = np.empty((len(data), VECTOR + 1), self.vector.dtype)
         x[:, :VECTOR] = self.vector[data]
         x[:, VECTOR] = repeated(data, starts)
         x = x.reshape(-1, WIDE)
         z = x @ self.filters
         per = HALF // STEP
+        z[starts * per, FILTERS:] = 0  # the document before ends in zeros, not in this one's first bytes
         y = z[: -per, :FILTERS] + z[1 : len(z) - per + 1, FILTERS:] + self.shift
         return x, np.maximum(y, 0).reshape(-1, per, FILTERS)
 
     def half_maxima(self, data: np.ndarray, halves: np.ndarray) -> np.ndarray:
         """The largest value of each filter in each half, BUFFER bytes at a time; a half before goes along for the flags."""
         n, starts, per = int(halves.sum()), np.cumsum(halves) - halves, BUFFER // HALF
-        out = np.empty((n, FILTERS), np.float32)
+        out = np.empty((n, FILTERS), self.vector.dtype)
         for lo in range(0, n, per):
             hi, a = min(n, lo + per), max(0, lo - 1)
-            some = starts[np.searchsorted(starts, a) : np.searchsorted(starts, hi)] - a
+            some = starts[np.searchsorted(starts, a) : np.searchsorted(starts, hi, "right")] - a
             out[lo:hi] = self.rectified(data[a * HALF : (hi + 1) * HALF], some)[1].max(axis=1)[lo - a :]
         return out
 
@@ -139,23 +140,24 @@ class Network:
         largest = np.maximum.reduceat(chunk, starts)
         feature = np.concatenate([largest, np.add.reduceat(chunk, starts) / size[:, None]], axis=1)
         p = 1 / (1 + np.exp(-np.clip(feature @ self.top + self.bias[0], -30, 30)))
-        d = ((p - labels) / len(texts)).astype(np.float32)
-        d_top, d_bias = d @ feature, np.array([d.sum()], np.float32)
+        d = ((p - labels) / len(texts)).astype(self.vector.dtype)
+        d_top, d_bias = d @ feature, np.array([d.sum()])
         d_feature = d[:, None] * self.top
         d_chunk = (d_feature[:, FILTERS:] / size[:, None])[doc]
         is_top = chunk == largest[doc]
         d_chunk += d_feature[doc, :FILTERS] * is_top / np.add.reduceat(is_top, starts, dtype=np.float32)[doc]
-        d_half = np.zeros((n_half, FILTERS), np.float32)
+        d_half = np.zeros((n_half, FILTERS), self.vector.dtype)
         np.add.at(d_half, first, np.where(later, 0, d_chunk))
         np.add.at(d_half, second, np.where(later, d_chunk, 0))
         d_half *= half > 0
         place = where + (np.arange(n_half) * per)[:, None]
-        left, right = x[place], x[place + 1]  # (halves, filters, WIDE)
+        ends = np.isin(place + 1, (np.cumsum(halves) - halves) * per)
+        left, right = x[place], np.where(ends[..., None], 0, x[place + 1])  # (halves, filters, WIDE)
         d_filters = np.concatenate([np.einsum("hf,hfw->wf", d_half, left), np.einsum("hf,hfw->wf", d_half, right)], axis=1)
         d_vector = np.zeros_like(self.vector)
         for k, weights in enumerate((self.filters[:, :FILTERS], self.filters[:, FILTERS:])):
             for j in range(STEP):
-                byte = data[(place + k) * STEP + j]
+                byte = np.where(ends & (k == 1), 0, data[(place + k) * STEP + j])
                 w = weights[j * (VECTOR + 1) : j * (VECTOR + 1) + VECTOR].T  # (filters, VECTOR)
                 for v in range(VECTOR):
                     d_vector[:, v] += np.bincount(byte.ravel(), (d_half * w[f, v]).ravel(), 256)
@@ -209,22 +211,22 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return net
 
 
-def score(docs: DataFrame, net: Network, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
+def score(docs: DataFrame, net: Network, *, text_col: str = "text", out_col: str = "score", keep: bool = True) -> DataFrame:
     """docs with the network's probability of label 1 in out_col, which replaces a column of that name.
 
-    Empty and null texts have the score of the empty text.  All other columns and repeated rows are kept; an empty table
+    Empty and null texts have the score of the empty text.  Without keep the text is left out.  All other columns and repeated rows are kept; an empty table
     stays empty.
     """
 
     def work(texts: list) -> list[np.ndarray]:
         return [net.scores([t.encode("utf-8", "surrogatepass") if t else b"" for t in texts])]
 
-    return mapped(docs, [text_col], f"`{out_col}` double", work, claim_as="byte_cnn")
+    return mapped(docs, [text_col], f"`{out_col}` double", work, claim_as="byte_cnn", keep=keep)
 
 
 def op13_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
     net = train(docs, labels)
-    d = score(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), net).drop("text")
+    d = score(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), net, keep=False)
     return d.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -54,16 +54,18 @@ def words_of(text: Column) -> Column:
 SLICE = 500
 
 
-def mapped(df: DataFrame, takes: list[str], adds: str, work: Callable[..., list], *, claim_as: str = "", clear: Callable[[], None] = lambda: None, rows: int = SLICE) -> DataFrame:
+def mapped(df: DataFrame, takes: list[str], adds: str, work: Callable[..., list], *, claim_as: str = "", clear: Callable[[], None] = lambda: None, rows: int = SLICE, keep: bool = True, forget: bool = False) -> DataFrame:
     """df with the columns adds (as DDL), which replace columns of those names, computed by work from the values of takes.
 
     work gets a list of Python values for each column of takes, and returns a list or array for each of adds.  All
-    other columns pass as Arrow data, unchanged: numbers beside nulls never become floating point.
+    other columns pass as Arrow data, unchanged: numbers beside nulls never become floating point.  Without keep, the
+    columns of takes are left out.  claim_as and clear give the worker's memory for memos to this operator; with forget
+    they are cleared at the end.
     """
     added = StructType.fromDDL(adds)
     new = {f.name.lower() for f in added}
-    kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in new]
-    at = [i for t in takes for i, f in enumerate(df.schema.fields) if f.name == t or f.name.lower() == t.lower()][: len(takes)]
+    at = [next(i for i, f in enumerate(df.schema.fields) if f.name.lower() == t.lower()) for t in takes]
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in new and (keep or i not in at)]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -77,7 +79,7 @@ def mapped(df: DataFrame, takes: list[str], adds: str, work: Callable[..., list]
                 found = work(*[part.column(i).to_pylist() for i in at])
                 arrays = [part.column(i) for i in kept] + [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip(found, added)]
                 yield pa.RecordBatch.from_arrays(arrays, [b.schema.field(i).name for i in kept] + [f.name for f in added])
-        trim()
+        give_back() if forget else trim()
 
     return df.mapInArrow(run, StructType([df.schema.fields[i] for i in kept] + added.fields))
 

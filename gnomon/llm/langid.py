@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, read_table, trim
+from .common import mapped, read_table
 
 BUCKETS = 1 << 15
 SAMPLE = 2_000
@@ -172,7 +172,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         return Mixture([], np.zeros((0, BUCKETS)))
     number = {x: i for i, x in enumerate(languages)}
     limit = F.create_map(*[F.lit(x) for lang, n in zip(per_lang["lang"], per_lang["count"]) for x in (lang, min(1.0, sample / n))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1_000_000
+    # Rows without id are drawn by their text.
+    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(1_000_000)) / 1_000_000
     chosen = rows.filter(drawn < F.element_at(limit, F.col("lang"))).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,22 +198,15 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, model: Mixture, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and lang_set, which replace columns of those names.
 
-    und with score 0 and an empty set where the text is null or has no letter, or no language was learned.
+    und with score 0 and an empty set where the text is null or has no letter, or no language was learned.  All other
+    columns, of any type, and repeated rows are kept as they are; an empty table stays empty.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim("langid", model.memo.clear)
-        for b in batches:
-            for at in range(0, len(b), SLICE):
-                part = b.iloc[at : at + SLICE].copy()
-                found = model.predict(list(part[text_col]))
-                part["lang_pred"], part["score"], part["lang_set"] = [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
-                yield part
-        trim()
-
-    d = docs.drop("lang_pred", "score", "lang_set")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields]
-    return d.mapInPandas(run, ", ".join([*fields, "lang_pred string", "score double", "lang_set array<string>"]))
+    def work(texts: list) -> list[list]:
+        found = model.predict(texts)
+        return [[x[0] for x in found], [x[1] for x in found], [x[2] for x in found]]
+
+    return mapped(docs, [text_col], "lang_pred string, score double, lang_set array<string>", work, claim_as="langid", clear=model.memo.clear, rows=SLICE)
 
 
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

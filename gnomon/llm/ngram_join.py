@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, forest
 from ..storage import discard, stored
-from .common import claim, free_names, give_back, read_table
+from .common import claim, free_names, give_back, mapped, read_table
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -183,26 +183,23 @@ def pair_slices(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, raw, key, bands, gate) of rows (doc_id, raw, text); key and what follows is null for texts without words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list) -> list[list]:
         import xxhash
 
-        claim("ngram_join", _words.clear)
-        for b in batches:
-            keys, bands, gates = [], [], []
-            for t in b["text"]:
-                words = (t or "").encode("utf-8", "surrogatepass").split()
-                if not words:
-                    keys.append(None), bands.append(None), gates.append(None)
-                    continue
-                v = minhash(shingles(words), 0, BANDS * WIDTH + GATE)
-                band = finish((v[: BANDS * WIDTH].reshape(BANDS, WIDTH) * _POWERS[:WIDTH]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                bands.append(band.view(np.int64))
-                gates.append(v[BANDS * WIDTH :].astype(np.uint8).tobytes())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "raw": b["raw"], "key": keys, "bands": bands, "gate": gates})
-        give_back()
-
-    return docs.mapInPandas(run, "doc_id bigint, raw bigint, key binary, bands array<bigint>, gate binary")
+        keys, bands, gates = [], [], []
+        for t in texts:
+            words = (t or "").encode("utf-8", "surrogatepass").split()
+            if not words:
+                keys.append(None), bands.append(None), gates.append(None)
+                continue
+            v = minhash(shingles(words), 0, BANDS * WIDTH + GATE)
+            band = finish((v[: BANDS * WIDTH].reshape(BANDS, WIDTH) * _POWERS[:WIDTH]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            bands.append(band.view(np.int64))
+            gates.append(v[BANDS * WIDTH :].astype(np.uint8).tobytes())
+        return [keys, bands, gates]
+
+    return mapped(docs, ["text"], "key binary, bands array<bigint>, gate binary", work, claim_as="ngram_join", clear=_words.clear, keep=False, forget=True)
 
 
 def bucket_edges(g: pd.DataFrame) -> list[tuple[int, int]]:

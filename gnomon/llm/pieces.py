@@ -8,15 +8,13 @@ start winning ties.  Characters without a piece fall back to byte ids.  Encoded
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, read_table, trim
+from .common import claim, mapped, read_table
 from .unigram import MARK, Vocabulary, load, pretokens
 
 MEMO = 1 << 18
@@ -145,61 +143,61 @@ def codec(path: str | None = None) -> Codec:
     return Codec(load(path))
 
 
+def _codec(path: str | None) -> Codec:
+    c = codec(path)
+    claim("pieces", c.memo.clear)
+    return c
+
+
 def encode(docs: DataFrame, *, text_col: str = "text", out_col: str = "piece_ids", path: str | None = None) -> DataFrame:
-    """docs with the piece ids of text_col (null: null) in out_col, an array of int, which replaces a column of that name."""
+    """docs with the piece ids of text_col (null: null) in out_col, an array of int, which replaces a column of that name.
+
+    All other columns, of any type, and repeated rows are kept as they are; an empty table stays empty.
+    """
+    if out_col.lower() == text_col.lower():
+        raise ValueError("out_col must not be the text's column")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
-        claim("pieces", c.memo.clear)
-        for b in batches:
-            for at in range(0, len(b), SLICE):  # ids take several times the texts' memory
-                part = b.iloc[at : at + SLICE].copy()
-                part[out_col] = [None if t is None else c.encode(t).astype("i4") for t in part[text_col]]
-                yield part
-        trim()
+    def work(texts: list) -> list[list]:
+        c = _codec(path)
+        return [[None if t is None else c.encode(t).astype("i4") for t in texts]]
 
-    d = docs.drop(out_col) if out_col != text_col else docs
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != out_col] + [f"`{out_col}` array<int>"]
-    return d.mapInPandas(run, ", ".join(fields))
+    return mapped(docs, [text_col], f"`{out_col}` array<int>", work, rows=SLICE)
 
 
 def decode(docs: DataFrame, *, ids_col: str = "piece_ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
-    """docs with the text of ids_col (null: null) in out_col, which replaces a column of that name."""
+    """docs with the text of ids_col (null: null) in out_col, which replaces a column of that name.
+
+    All other columns and repeated rows are kept; an empty table stays empty; an empty list is the empty text.
+    """
+    if out_col.lower() == ids_col.lower():
+        raise ValueError("out_col must not be the ids' column")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
-        claim("pieces", c.memo.clear)
-        for b in batches:
-            for at in range(0, len(b), SLICE):
-                part = b.iloc[at : at + SLICE].copy()
-                part[out_col] = [None if x is None else c.decode(x) for x in part[ids_col]]
-                yield part
+    def work(ids: list) -> list[list]:
+        c = _codec(path)
+        return [[None if x is None else c.decode(x) for x in ids]]
 
-    d = docs.drop(out_col)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields] + [f"`{out_col}` string"]
-    return d.mapInPandas(run, ", ".join(fields))
+    return mapped(docs, [ids_col], f"`{out_col}` string", work, rows=SLICE)
 
 
 def encoded_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per input row: id, n_pieces, n_bytes (ids from byte fallback), ids_crc32, round_trip (decoding gave the text).
 
-    A null text is taken as empty: no pieces, crc32 0, round_trip true.  Repeated rows stay; other columns are ignored.
+    A null text is taken as empty: no pieces, crc32 0, round_trip true.  Ids of any type, nulls among them, come back as
+    they are; repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
-        claim("pieces", c.memo.clear)
+    def work(texts: list) -> list[list]:
+        c = _codec(path)
         low, high = min(c.v.byte_id), max(c.v.byte_id)
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                t = t or ""
-                ids = c.encode(t)
-                rows.append((len(ids), int(((ids >= low) & (ids <= high)).sum()), zlib.crc32(ids.tobytes()), c.decode(ids) == t))
-            yield pd.DataFrame(rows, columns=["n_pieces", "n_bytes", "ids_crc32", "round_trip"]).assign(doc_id=b["doc_id"].values)[["doc_id", "n_pieces", "n_bytes", "ids_crc32", "round_trip"]]
-
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_pieces bigint, n_bytes bigint, ids_crc32 bigint, round_trip boolean")
+        rows = []
+        for t in texts:
+            t = t or ""
+            ids = c.encode(t)
+            rows.append((len(ids), int(((ids >= low) & (ids <= high)).sum()), zlib.crc32(ids.tobytes()), c.decode(ids) == t))
+        return [list(x) for x in zip(*rows)]
+
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return mapped(d, ["text"], "n_pieces bigint, n_bytes bigint, ids_crc32 bigint, round_trip boolean", work, rows=SLICE, keep=False)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,15 +13,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, claim, read_table, trim
+from .common import WORD, mapped, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of the CRF: those of the patterns, then secrets.
@@ -167,6 +166,8 @@ THESE!! MEN!! AT!! THE!! HOUSE!!
 At the end. At home or at. The rest
 write at once and mail at ten
 """
+#: Rows whose texts are searched at once.
+ROWS = 2_000
 CUES = frozenset("tel phone call fax mobile number card mail email write contact reach at dot (at) [at] {at} (dot) [dot] {dot} version page token key id on in = api_key secret password bearer commit sha1 md5 file".split())
 LABELS = ("O", *(f"{p}-{k}" for k in ALL_KINDS for p in "BI"))
 
@@ -443,23 +444,22 @@ def find_spans(texts: list[str], field: Field | None = None) -> list[tuple[list[
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added.
 
-    A null text is taken as empty: no spans, the digest of the empty string.  Repeated rows stay; other columns are
-    ignored.  Offsets are code points of the whole text.  An empty table gives an empty result.
+    A null text is taken as empty: no spans, the digest of the empty string.  Ids of any type, nulls among them, come
+    back as they are; repeated rows stay; other columns are ignored.  Offsets are code points of the whole text.  An
+    empty table gives an empty result.
     """
     field = model()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for base, spans in find_spans([t or "" for t in b["text"]], field):
-                counts = [sum(s[0] == k for s in base) for k in KINDS]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
-            out.insert(0, "doc_id", b["doc_id"].values)
-            yield out
+    def work(texts: list) -> list[list]:
+        rows = []
+        for base, spans in find_spans([t or "" for t in texts], field):
+            counts = [sum(s[0] == k for s in base) for k in KINDS]
+            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
+        return [list(x) for x in zip(*rows)]
 
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    adds = ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_added bigint"
+    return mapped(d, ["text"], adds, work, claim_as="pii", clear=field.memo.clear, rows=ROWS, keep=False)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -473,19 +473,14 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs with personal data in text_col replaced; a null text stays null, all other columns and repeated rows are kept; an empty table stays empty."""
+    """docs with personal data in text_col replaced; a null text stays null, all other columns, of any type, and repeated rows are kept; an empty table stays empty."""
     field = model()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim("pii", field.memo.clear)
-        for b in batches:
-            texts = list(b[text_col])
-            found = find_spans([t or "" for t in texts], field)
-            b[text_col] = [None if t is None else redacted(t, s) for t, (_, s) in zip(texts, found)]
-            yield b
-        trim()
+    def work(texts: list) -> list[list]:
+        found = find_spans([t or "" for t in texts], field)
+        return [[None if t is None else redacted(t, s) for t, (_, s) in zip(texts, found)]]
 
-    return docs.mapInPandas(run, docs.schema)
+    return mapped(docs, [text_col], f"`{text_col}` string", work, claim_as="pii", clear=field.memo.clear, rows=ROWS).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

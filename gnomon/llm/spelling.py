@@ -52,7 +52,7 @@ def parity_mask(word: Column) -> Column:
     at = letter_bits()
     alphabet = "".join(at)
     codes = F.array(*[_long(1 << at[c]) for c in alphabet])
-    return F.aggregate(F.split(word, ""), _long(0), lambda acc, c: acc.bitwiseXOR(F.coalesce(F.get(codes, F.call_function("locate", c, F.lit(alphabet)) - 1), _long(0))))
+    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), _long(0), lambda acc, c: acc.bitwiseXOR(F.coalesce(F.get(codes, F.call_function("locate", c, F.lit(alphabet)) - 1), _long(0))))
 
 
 def edited_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
