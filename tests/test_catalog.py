@@ -1,5 +1,5 @@
 import pytest
-from gnomon.plans import catalog, forms, inspection, meshes, more  # noqa: F401
+from gnomon.plans import catalog, forms, inspection, meshes, more, partitioning  # noqa: F401
 from oracle import same
 
 FOLDER = "/root/testdata/sf0.001"
