@@ -94,6 +94,14 @@ call me at <p(###) ###-####> after lunch
 tel. <p###-###-####> or write
 phone: <p### ### ####> today
 my number is <p###.###.####>, thanks
+my number is <p### ### ####>
+Tel.: <p0## #######>
+Tel.: <p0#### ######> anrufen
+ring <p0### ### ###> later
+phone no. <p(0#) #### ####> or so
+whatsapp <p### ### ###> please
+mobile: <p#### ### ###>
+call <p###-###-####> now
 Tel <p0## ### ## ##> bitte
 appelez le <p0# ## ## ## ##> demain
 llame al <p### ## ## ##> por favor
@@ -105,6 +113,9 @@ phone <p(###)###-####> is mine
 write to <ejohn (at) example (dot) com> soon
 mail <ejane.doe [at] mail.example.org> please
 contact <eanna at example dot com> today
+write to <emary at example dot com>
+send it to <etom at mail dot example dot org> if so
+reach me under <elee (at) firm (dot) de>
 mail: <esales (at) shop.example.net>
 reach <ep.smith {at} example.com> for this
 write <eoffice [at] example [dot] org> now
@@ -117,9 +128,11 @@ pay with <c################> now
 server at <i##.##.##.##> is down
 ping <i###.##.#.##> and wait
 host <i##.###.##.#> answered
-token = <s"~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~"> in the text
-les token = <s"~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~"> que
-token = <s"~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~"###> and more
+token = <s"~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~">; done
+(token: <s~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~>) was lost
+set token <s^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^> there
+auth_token: <s"^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^">, then
+key = <s"~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~"***> and so on
 token: <s~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~>
 api key <s^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^> was sent
 api_key = <s"^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^"> here
@@ -144,7 +157,7 @@ meet me at the shop dot by noon
 look at this house and that dot there
 they were at home with the dog
 the token in the text and the key to the house
-version # public licence ####
+release # of the manual ####
 row ###### column ###
 about #### people came in ####
 # ## ### #### numbers in a row
@@ -159,10 +172,15 @@ md5 ~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~ checksum
 file ~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~.png is here
 words like aaaaaaaaaaaaaaaaaaaaaaaaaa# are long
 the men at the house and at last
-ating at at at at at at the end
+at at at at, said the parrot
+build #### passed in ### ms
+call number ## of the list
+the number is ####
+phone home in ## days
 he stood at. then the dog at, was here
-some%%% at%%% the&&& on*** end$$$ of###
-THESE!! MEN!! AT!! THE!! HOUSE!!
+odd@@ marks** after&& words%% at## all==
+we&& sat%% at&& one## table**
+LOOK!! AT!! THAT!! NOW!!
 At the end. At home or at. The rest
 write at once and mail at ten
 """
