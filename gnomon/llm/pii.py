@@ -116,6 +116,9 @@ contact <eanna at example dot com> today
 write to <emary at example dot com>
 send it to <etom at mail dot example dot org> if so
 reach me under <elee (at) firm (dot) de>
+WRITE TO <eKIM (AT) SHOP (DOT) NET>
+send it to <eNora (At) Firm (Dot) com> soon
+mail <eOTTO (AT) Firm (DOT) de> again
 mail: <esales (at) shop.example.net>
 reach <ep.smith {at} example.com> for this
 write <eoffice [at] example [dot] org> now
