@@ -30,24 +30,70 @@ def cell_planes(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return d.groupBy("cell").agg(*[(F.min if e.startswith("low") else F.max)(e).alias(e) for e in edges], F.collect_list("p").alias("planes"))
 
 
-def locate(targets: DataFrame, faces: DataFrame, vertices: DataFrame, tolerance: float = 1e-6, size: float | None = None) -> DataFrame:
+def locate(targets: DataFrame, faces: DataFrame, vertices: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """(target, cell): the convex cell that holds each point (within tolerance, a length; the least of several), -1 where none does.
 
-    Cells are put in the grid cells that their boxes touch (width: the mean box, so a few each), points in their own: an
-    equi-join, then the planes of each candidate decide.
+    Candidates are the cells whose boxes hold a point, found on levels of grids by the boxes' sizes; then the planes of
+    each candidate decide.
     """
     cells = cell_planes(faces, vertices)
-    if size is None:
-        spans = cells.agg(*[F.avg(F.col(f"high{c}") - F.col(f"low{c}")).alias(c) for c in XYZ]).first()
-        size = max((v for v in spans if v), default=1.0)
-    span = lambda c: F.sequence(F.floor((F.col(f"low{c}") - tolerance) / size), F.floor((F.col(f"high{c}") + tolerance) / size))
-    d = cells.select("cell", "planes", *[span(c).alias(f"_{c}") for c in XYZ])
-    for c in XYZ:
-        d = d.withColumn(f"_{c}", F.explode(f"_{c}"))
-    p = targets.select("target", *XYZ, *[F.floor(F.col(c) / size).alias(f"_{c}") for c in XYZ])
+    near = spatial.box_candidates(targets, cells, "target", "cell", tolerance)
     at = [F.col(c) for c in XYZ]
     inside = F.forall("planes", lambda q: _dot(at, [q[f"n{c}"] for c in XYZ]) <= q["d"] + tolerance)
-    found = p.join(d, [f"_{c}" for c in XYZ]).filter(inside).groupBy("target").agg(F.min("cell").alias("cell"))
+    found = near.join(targets.select("target", *XYZ), "target").join(cells.select("cell", "planes"), "cell").filter(inside)
+    found = found.groupBy("target").agg(F.min("cell").alias("cell"))
+    return targets.select("target").join(found, "target", "left").select("target", F.coalesce("cell", F.lit(-1)).alias("cell"))
+
+
+def cell_shells(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(cell, low.., high.., shell): box of each cell and its closed surface as outward triangles (a, b, c), each a triple of coordinates.
+
+    A face is cut into triangles around its centre, in the same way for both of its cells: warped faces leave no gap and
+    no overlap between cells.
+    """
+    d = faces.select("face", F.size("vtx").alias("_n"), F.posexplode("vtx").alias("_pos", "vertex")).join(vertices.select("vertex", F.array(*XYZ).alias("_at")), "vertex")
+    edge = [f(F.get("_at", i)).alias(f"{k}{c}") for i, c in enumerate(XYZ) for k, f in (("low", F.min), ("high", F.max))]
+    centre = F.array(*[F.avg(F.get("_at", i)) for i in range(3)])
+    d = d.groupBy("face").agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_at"))), lambda v: v["_at"]).alias("_v"), centre.alias("_m"), *edge)
+    after = lambda i: F.get("_v", F.pmod(i + 1, F.size("_v")))
+    fan = lambda turned: F.transform("_v", lambda v, i: F.struct(F.col("_m").alias("a"), (after(i) if turned else v).alias("b"), (v if turned else after(i)).alias("c")))
+    d = d.join(faces.select("face", "left", "right"), "face")
+    sides = F.array(F.struct(F.col("left").alias("cell"), fan(False).alias("_t")), F.struct(F.col("right").alias("cell"), fan(True).alias("_t")))
+    names = [f"{k}{c}" for c in XYZ for k in ("low", "high")]
+    d = d.select(*names, F.inline(sides)).filter("cell > 0")
+    return d.groupBy("cell").agg(*[(F.min if n.startswith("low") else F.max)(n).alias(n) for n in names], F.flatten(F.collect_list("_t")).alias("shell"))
+
+
+def solid_angle(shell: Column, at: Sequence[Column], tolerance: float = 0.0) -> Column:
+    """The signed solid angle of a shell seen from a point: 4 pi from inside a closed outward one, 0 from outside.
+
+    Triangles whose plane is within tolerance of the point give none, so a point on the surface sees part of 4 pi.
+    """
+
+    def one(total: Column, t: Column) -> Column:
+        u, v, w = ([t[k][i] - at[i] for i in range(3)] for k in "abc")
+        cross = [v[1] * w[2] - v[2] * w[1], v[2] * w[0] - v[0] * w[2], v[0] * w[1] - v[1] * w[0]]
+        volume = _dot(u, cross)
+        p, q = ([y[i] - x[i] for i in range(3)] for x, y in ((u, v), (u, w)))
+        normal = [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+        a, b, c = (F.sqrt(_dot(x, x)) for x in (u, v, w))
+        angle = 2 * F.atan2(volume, a * b * c + _dot(u, v) * c + _dot(v, w) * a + _dot(w, u) * b)
+        return total + F.when(F.abs(volume) <= F.sqrt(_dot(normal, normal)) * F.lit(tolerance) + 1e-300, 0.0).otherwise(angle)
+
+    return F.aggregate(shell, F.lit(0.0), one)
+
+
+def locate_any(targets: DataFrame, faces: DataFrame, vertices: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(target, cell): the cell, convex or not, with flat or warped faces, that holds each point; the least of several, -1 where none does.
+
+    A point within tolerance of a cell's surface counts as inside.  Cells are closed: every edge is in two of their faces.
+    Targets are taken to be distinct; one with a null or NaN coordinate is in no cell.
+    """
+    cells = cell_shells(faces, vertices)
+    near = spatial.box_candidates(targets, cells, "target", "cell", tolerance)
+    near = near.join(targets.select("target", *XYZ), "target").join(cells.select("cell", "shell"), "cell")
+    # Less than any corner of a cell shows from its tip, more than the rounding of a shell seen from outside.
+    found = near.filter(solid_angle(F.col("shell"), [F.col(c) for c in XYZ], tolerance) > 1e-3).groupBy("target").agg(F.min("cell").alias("cell"))
     return targets.select("target").join(found, "target", "left").select("target", F.coalesce("cell", F.lit(-1)).alias("cell"))
 
 

@@ -114,10 +114,10 @@ def duplicate(vertices: DataFrame, copies: int, shift: Sequence[float], size: in
 
 def level_points(edge_table: DataFrame, field: DataFrame, level: float, values: Sequence[str]) -> DataFrame:
     """(a, b, t, values): where the field crosses the level on each edge, values interpolated; ends at the level count as above it."""
-    ends = lambda e: field.select(F.col("vertex").alias(e), F.col("field").alias(f"_f{e}"), *[F.col(c).alias(f"_{c}{e}") for c in values])
+    ends = lambda e: field.select(F.col("vertex").alias(e), F.col("field").alias(f"_f{e}"), *[F.col(c).alias(f"_{i}{e}") for i, c in enumerate(values)])
     d = edge_table.join(ends("a"), "a").join(ends("b"), "b").filter((F.col("_fa") < level) != (F.col("_fb") < level))
     d = d.withColumn("t", (F.lit(level) - F.col("_fa")) / (F.col("_fb") - F.col("_fa")))
-    return d.select("a", "b", "t", *[(F.col(f"_{c}a") + F.col("t") * (F.col(f"_{c}b") - F.col(f"_{c}a"))).alias(c) for c in values])
+    return d.select("a", "b", "t", *[(F.col(f"_{i}a") + F.col("t") * (F.col(f"_{i}b") - F.col(f"_{i}a"))).alias(c) for i, c in enumerate(values)])
 
 
 def within(a: DataFrame, b: DataFrame, coords: Sequence[str], radius: float, a_id: str, b_id: str) -> DataFrame:

@@ -121,3 +121,25 @@ def cell_centres(connectivity: DataFrame, vertices: DataFrame, cell: str, vertex
 
 def balanced_parts(total: int, parts: int) -> int:
     return ceil(total / max(parts, 1))
+
+
+def box_candidates(points: DataFrame, boxes: DataFrame, point: str, box: str, tolerance: float = 0.0, coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """(point, box) where a point lies in a box (box, low.., high..), or within tolerance of it.
+
+    A box lies on the level of its own size, in a grid whose cells are as wide as the box or wider, so it meets two of
+    them at most in each direction, however large it is.  A point has one cell on every level in use, of which there are
+    no more than sizes have binary exponents; a huge box among small ones costs nothing more.
+    """
+    low, high = (lambda c: F.col(f"low{c}") - tolerance), (lambda c: F.col(f"high{c}") + tolerance)
+    extent = F.greatest(*[high(c) - low(c) for c in coords], F.lit(1e-300))
+    b = boxes.select(box, *[F.col(f"{k}{c}") for c in coords for k in ("low", "high")], F.ceil(F.log2(extent)).cast("int").alias("_level"))
+    levels = sorted(r[0] for r in b.select("_level").distinct().collect() if r[0] is not None)  # binary exponents of sizes
+    width = F.pow(F.lit(2.0), F.col("_level"))
+    p = points.select(point, *[F.col(c).alias(f"_p{c}") for c in coords], F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("_level"))
+    for c in coords:
+        b = b.withColumn(f"_{c}", F.explode(F.sequence(F.floor(low(c) / width), F.floor(high(c) / width))))
+        p = p.withColumn(f"_{c}", F.floor(F.col(f"_p{c}") / width))
+    inside = F.lit(True)
+    for c in coords:
+        inside = inside & (F.col(f"_p{c}") >= low(c)) & (F.col(f"_p{c}") <= high(c))
+    return p.join(b, ["_level", *[f"_{c}" for c in coords]]).filter(inside).select(point, box)

@@ -1,8 +1,10 @@
 """Distance to walls: the nearest point of polygonal faces for each target.
 
 The nearest corner bounds a target's distance.  With this bound it looks at one level of a hierarchy of grids, whose
-cells are as wide as the bound or wider, so it visits at most three cells in each direction; faces lie in the cells
-that their boxes touch, on the levels that some target uses.  So near and far targets cost the same.  Distances to triangles are taken in numpy, in batches.
+cells are as wide as the bound or wider, so it visits at most three cells in each direction.  Triangles lie on the level
+of their own size and the coarser ones that some target uses, in two cells at most in each direction; a target looks on
+its own level for those no larger, and on the level of each larger size for the others.  So near and far targets cost
+the same, and one huge triangle among small ones is a few rows.  Distances to triangles are taken in numpy, in batches.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from ..storage import stored
 from . import spatial
 
 XYZ = ("x", "y", "z")
+#: Triangles and distances smaller than this share of the largest triangle are on one level.
+TINY = 2.0**-30
 
 
 def nearest_on_triangles(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,33 +69,41 @@ def triangles(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 def distance_to_faces(targets: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """(target, face, distance, x, y, z): the nearest point of the faces (the least face, if several are as near).
 
-    targets are (target, x, y, z), faces (face, vtx) with three vertices or more.  Without faces there is no row; a
-    target with a null or NaN coordinate has none.
+    targets are (target, x, y, z), faces (face, vtx) with three vertices or more.  Every row of targets with a full
+    place has one row, also where rows share a number or are repeated.  Without faces there is no row; a target with a
+    null or NaN coordinate has none.
     """
     t = stored(triangles(faces, vertices), "wall-triangles")
+    places = targets.select(*XYZ).distinct().withColumn("_at", F.xxhash64(*XYZ))
     corners = t.select(F.explode(F.array("a", "b", "c")).alias("p")).select("p.*").distinct().withColumn("corner", F.xxhash64(*XYZ))
-    bound = spatial.closest_point(corners, targets, list(XYZ), "corner", "target").select("target", F.sqrt("distance2").alias("_d"))
+    bound = spatial.closest_point(corners, places, list(XYZ), "corner", "_at").select("_at", F.sqrt("distance2").alias("_d"))
     box = {f"{k}{c}": f(*[F.col(f"{v}.{c}") for v in "abc"]) for c in XYZ for k, f in (("low", F.least), ("high", F.greatest))}
     t = t.select("face", "a", "b", "c", *[e.alias(k) for k, e in box.items()])
-    extent = t.agg(F.percentile_approx(F.greatest(*[F.col(f"high{c}") - F.col(f"low{c}") for c in XYZ]), 0.9)).first()[0]
-    if extent is None:
+    extent = F.greatest(*[F.col(f"high{c}") - F.col(f"low{c}") for c in XYZ])
+    # Levels are binary exponents of widths, from TINY of the largest extent on.
+    largest = t.agg(F.max(extent)).first()[0]
+    if largest is None:
         return targets.limit(0).select("target", F.lit(0).cast("long").alias("face"), *[F.lit(0.0).alias(c) for c in ("distance", *XYZ)])
-    size = float(extent) or 1.0
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("_d") / size, F.lit(1e-300))))).cast("int")
-    d = stored(targets.select("target", *XYZ).join(bound, "target").withColumn("_level", level), "wall-targets")
-    levels = [r[0] for r in d.select("_level").distinct().collect()]  # as many as distances have binary exponents
-    width = F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
+    level = lambda size: F.ceil(F.log2(F.greatest(size, F.lit((float(largest) or 1.0) * TINY)))).cast("int")
+    t = stored(t.withColumn("_own", level(extent)), "wall-levels")
+    d = stored(places.join(bound, "_at").withColumn("_own", level(F.col("_d"))), "wall-targets")
+    some = lambda x: sorted(r[0] for r in x.select("_own").distinct().collect())  # noqa: E731 - as many as sizes have binary exponents
+    of_targets, of_triangles = some(d), some(t)
+    listed = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<int>")
+    slot = lambda x, larger: F.struct(x.alias("_level"), F.lit(larger).alias("_larger"))
+    t = t.select("face", "a", "b", "c", *box, F.inline(F.concat(F.transform(F.filter(listed(of_targets), lambda x: x >= F.col("_own")), lambda x: slot(x, False)), F.array(slot(F.col("_own"), True)))))
+    d = d.select("_at", *XYZ, "_d", F.inline(F.concat(F.array(slot(F.col("_own"), False)), F.transform(F.filter(listed(of_triangles), lambda x: x > F.col("_own")), lambda x: slot(x, True)))))
+    width = F.pow(F.lit(2.0), F.col("_level"))
     cells = lambda low, high: F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
-    t = t.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
     for c in XYZ:
         t = t.withColumn(f"_{c}", cells(F.col(f"low{c}"), F.col(f"high{c}")))
         d = d.withColumn(f"_{c}", cells(F.col(c) - F.col("_d"), F.col(c) + F.col("_d")))
-    j = d.join(t.select("face", "a", "b", "c", "_level", *[f"_{c}" for c in XYZ]), ["_level", *[f"_{c}" for c in XYZ]])
+    j = d.join(t.select("face", "a", "b", "c", "_level", "_larger", *[f"_{c}" for c in XYZ]), ["_level", "_larger", *[f"_{c}" for c in XYZ]])
     flat = [F.col(c if v == "p" else f"{v}.{c}").alias(f"{v}{i}") for v in "pabc" for i, c in enumerate(XYZ)]
-    kinds = dict(j.dtypes)
-    near = j.select("target", "face", *flat).mapInPandas(_nearest, f"target {kinds['target']}, face {kinds['face']}, d2 double, x double, y double, z double")
-    best = near.groupBy("target").agg(F.min(F.struct("d2", "face", *XYZ)).alias("m"))
-    return best.select("target", "m.face", F.sqrt("m.d2").alias("distance"), *[f"m.{c}" for c in XYZ])
+    near = j.select(F.col("_at").alias("target"), "face", *flat).mapInPandas(_nearest, f"target bigint, face {dict(j.dtypes)['face']}, d2 double, x double, y double, z double")
+    best = near.groupBy(F.col("target").alias("_at")).agg(F.min(F.struct("d2", "face", *XYZ)).alias("m"))
+    found = best.select("_at", "m.face", F.sqrt("m.d2").alias("distance"), *[F.col(f"m.{c}").alias(c) for c in XYZ])
+    return targets.select("target", F.xxhash64(*XYZ).alias("_at")).join(found, "_at").drop("_at")
 
 
 def shifted_walls(vertices: DataFrame, faces: DataFrame, shifts: Sequence[Sequence[float]], size: int) -> tuple[DataFrame, DataFrame]:
