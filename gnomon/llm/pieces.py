@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import claim, mapped, read_table
 from .unigram import MARK, Vocabulary, load, pretokens
 
-MEMO = 1 << 18
+#: Pre-tokens whose ids a worker remembers: about 200 bytes each.  The pipeline's stage has less room, as its workers carry more.
+MEMO, STAGE_MEMO = 1 << 20, 1 << 18
 SLICE = 500
 
 
@@ -82,7 +83,8 @@ class Codec:
         self.score = [0.0] * vocabulary.n_ids
         for x, i in vocabulary.scores.values():
             self.score[i] = x
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, bytes] = {}
+        self.limit = MEMO
 
     def pretoken(self, word: str) -> list[int]:
         if word == MARK:
@@ -125,7 +127,7 @@ class Codec:
         for w in pretokens(text) if text else ():
             x = memo.get(w)
             if x is None:
-                if len(memo) >= MEMO:
+                if len(memo) >= self.limit:
                     memo.clear()
                 x = memo[w] = np.array(self.pretoken(w), "<u4").tobytes()
             parts.append(x)
@@ -143,8 +145,9 @@ def codec(path: str | None = None) -> Codec:
     return Codec(load(path))
 
 
-def _codec(path: str | None) -> Codec:
+def _codec(path: str | None, limit: int = MEMO) -> Codec:
     c = codec(path)
+    c.limit = limit
     claim("pieces", c.memo.clear)
     return c
 
@@ -158,7 +161,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", out_col: str = "piece_ids
         raise ValueError("out_col must not be the text's column")
 
     def work(texts: list) -> list[list]:
-        c = _codec(path)
+        c = _codec(path, STAGE_MEMO)
         return [[None if t is None else c.encode(t).astype("i4") for t in texts]]
 
     return mapped(docs, [text_col], f"`{out_col}` array<int>", work, rows=SLICE)
