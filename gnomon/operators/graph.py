@@ -78,17 +78,17 @@ def _round(e: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["h"])
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, last: int | None = None) -> DataFrame:
     """(node, component) for every end of an edge; the component is its least node.
 
     Alternates the large-star and small-star steps, whose rounds grow with the logarithm of the size and which keep
     the number of edges bounded.  The loop ends when a round leaves the edge set as it was, or when what is left is few
-    enough for one task.  Edges with a null end and loops are ignored, loops giving no row.
+    enough for one task: `last` edges, LAST if it is not given.  Edges with a null end and loops are ignored, loops giving no row.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
     e, mark = _round(contracted(e).distinct())
     while mark[0]:
-        if mark[0] <= min(LAST, CHUNK):
+        if mark[0] <= min(LAST if last is None else last, CHUNK):
             now, _ = _round(contracted(e.coalesce(1)))
             discard(e)
             e = now

@@ -1,5 +1,5 @@
 import pytest
-from gnomon.plans import catalog, cuts, forms, inspection, meshes, more, partitioning, reads, whole_trees  # noqa: F401
+from gnomon.plans import catalog, cuts, forms, inspection, joins, meshes, more, partitioning, reads, whole_trees  # noqa: F401
 from oracle import same
 
 FOLDER = "/root/testdata/sf0.001"
