@@ -130,3 +130,24 @@ def within(a: DataFrame, b: DataFrame, coords: Sequence[str], radius: float, a_i
     y = y.withColumns({c: F.floor(F.col(f"_b{i}") / radius) for i, c in enumerate(cells)})
     d2 = sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) ** 2 for i in range(1, len(coords))), (F.col("_a0") - F.col("_b0")) ** 2)
     return x.join(y, cells).select(a_id, b_id, d2.alias("distance2")).filter(F.col("distance2") <= radius * radius)
+
+
+def block_centres(items: DataFrame, vertices: DataFrame, n_vtx: Sequence[int], location: str) -> DataFrame:
+    """(gnum, x, y, z): means of the corners of a structured block's cells or of its faces normal to i, j or k (gnum, counted over all locations of faces)."""
+    g = F.col("gnum")
+    if location == "CellCenter":
+        corners = block_vertices(g, n_vtx)
+    elif location in ("IFaceCenter", "JFaceCenter", "KFaceCenter"):
+        corners = index.face_vertices("IJK".index(location[0]), g, n_vtx)
+    else:
+        raise ValueError(f"no centres at {location}")
+    d = items.select("gnum", F.explode(corners).alias("vertex")).join(vertices, "vertex")
+    return d.groupBy("gnum").agg(*[F.avg(c).alias(c) for c in "xyz"])
+
+
+def local_parents(faces: DataFrame, sections: DataFrame) -> DataFrame:
+    """faces (zone, face, left, right, ..) with cells counted from 1, where a zone counts them after the faces of its section (zone, last); zones that count from 1 stay, and so does 0."""
+    most = faces.groupBy("zone").agg(F.max(F.greatest("left", "right")).alias("_most"), F.min(F.when(F.col("left") > 0, F.col("left"))).alias("_l"), F.min(F.when(F.col("right") > 0, F.col("right"))).alias("_r"))
+    by = F.when(F.least("_l", "_r") > F.col("last"), F.col("last")).otherwise(F.lit(0))
+    d = faces.join(most.join(sections.select("zone", "last"), "zone").select("zone", by.alias("_by")), "zone")
+    return d.withColumns({c: F.when(F.col(c) > 0, F.col(c) - F.col("_by")).otherwise(F.lit(0)).cast("long") for c in ("left", "right")}).drop("_by")

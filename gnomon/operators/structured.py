@@ -70,3 +70,31 @@ def window_items(joins: DataFrame) -> DataFrame:
     for a in AXES:
         n = n * F.greatest(F.lit(1), F.col(f"{a}1") - F.col(f"{a}0"))
     return joins.select("name", n.cast("long").alias("n"))
+
+
+def ranges_from_parts(ranges: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(zone, name, i0, i1, ..): the ranges of whole zones from those of their parts (zone, part, name, i0, i1, .. in the part's own indices).
+
+    A direction that runs down in any part runs down in the whole; pieces of a join (name.P..) are given their first name.
+    """
+    d = ranges.join(boxes.select("zone", "part", *[F.col(f"b{a}0").alias(f"_{a}") for a in AXES]), ["zone", "part"])
+    low = {a: F.min(F.least(f"{a}0", f"{a}1") + F.col(f"_{a}")) for a in AXES}
+    high = {a: F.max(F.greatest(f"{a}0", f"{a}1") + F.col(f"_{a}")) for a in AXES}
+    down = {a: F.bool_or(F.col(f"{a}0") > F.col(f"{a}1")) for a in AXES}
+    d = d.withColumn("name", F.regexp_replace("name", r"(\.P[0-9]+)+$", ""))
+    out = [F.when(down[a], one).otherwise(other).cast("long").alias(f"{a}{s}") for a in AXES for s, one, other in (("0", high[a], low[a]), ("1", low[a], high[a]))]
+    return d.groupBy("zone", "name").agg(*out)
+
+
+def range_numbers(ranges: DataFrame, boxes: DataFrame, whole: DataFrame) -> DataFrame:
+    """(zone, part, name, place, gnum): the items of each part's range (ascending) in its own order from 1, with their numbers among those of the whole range (zone, name, i0, ..)."""
+    d = ranges.join(boxes.select("zone", "part", *[F.col(f"b{a}0").alias(f"_{a}") for a in AXES]), ["zone", "part"])
+    d = d.join(whole.select("zone", "name", *[F.col(f"{a}{s}").alias(f"_w{a}{s}") for a in AXES for s in "01"]), ["zone", "name"])
+    for a in reversed(AXES):
+        d = d.withColumn(f"_p{a}", F.explode(F.sequence(F.col(f"{a}0").cast("long"), F.col(f"{a}1").cast("long"))))
+    place, gnum, step, wide = F.lit(1), F.lit(1), F.lit(1), F.lit(1)
+    for a in AXES:
+        place = place + (F.col(f"_p{a}") - F.col(f"{a}0")) * step
+        gnum = gnum + (F.col(f"_p{a}") + F.col(f"_{a}") - F.least(f"_w{a}0", f"_w{a}1")) * wide
+        step, wide = step * (F.col(f"{a}1") - F.col(f"{a}0") + 1), wide * (F.abs(F.col(f"_w{a}1") - F.col(f"_w{a}0")) + 1)
+    return d.select("zone", "part", "name", place.cast("long").alias("place"), gnum.cast("long").alias("gnum"))

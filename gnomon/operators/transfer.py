@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import trees
@@ -72,3 +72,18 @@ def split_joins(joins: DataFrame, part_map: DataFrame) -> DataFrame:
     own = part_map.select("zone", "gnum", "part", "lnum")
     donor = part_map.select(F.col("zone").alias("donor_zone"), F.col("gnum").alias("donor_gnum"), F.col("part").alias("donor_part"), F.col("lnum").alias("donor_lnum"))
     return joins.join(own, ["zone", "gnum"]).join(donor, ["donor_zone", "donor_gnum"])
+
+
+def elements_from_parts(elements: DataFrame, vertex_map: DataFrame) -> DataFrame:
+    """(zone, section, gnum, vtx): sections of the whole zone from those of the parts (zone, section, part, gnum, vtx in local numbers): an element that several parts hold comes once, with global vertices."""
+    once = elements.groupBy("zone", "section", "gnum").agg(F.min_by(F.struct("part", "vtx"), "part").alias("_e")).select("zone", "section", "gnum", "_e.part", F.posexplode("_e.vtx").alias("_pos", "lnum"))
+    of = vertex_map.select("zone", "part", "lnum", F.col("gnum").alias("_v"))
+    d = once.join(of, ["zone", "part", "lnum"]).groupBy("zone", "section", "gnum")
+    return d.agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_v"))), lambda x: x["_v"]).alias("vtx"))
+
+
+def element_numbers(elements: DataFrame, sections: DataFrame) -> DataFrame:
+    """elements (zone, section, gnum, ..) with `number`, counted over all sections (zone, section, ord, size) of the zone in their order; a zone has few sections."""
+    w = Window.partitionBy("zone").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = sections.select("zone", "section", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("_before"))
+    return elements.join(before, ["zone", "section"]).withColumn("number", F.col("gnum") + F.col("_before")).drop("_before")

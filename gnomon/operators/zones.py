@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..storage import stored
 from . import graph, mesh, numbering
 
 
@@ -113,3 +114,20 @@ def copies_to_full_turn(angle: float) -> int:
     if not isclose(n * abs(angle), 2 * pi, rel_tol=1e-4):
         raise ValueError("the angle does not divide a full turn")
     return n - 1
+
+
+def shared_vertex_numbers(vertices: DataFrame, pairs: DataFrame, merge: bool = True) -> DataFrame:
+    """(zone, vertex, gnum): numbers 1, 2, .. of the vertices (zone, vertex) of all zones, one for all that joins tie together.
+
+    pairs are (zone, vertex, donor_zone, donor_vertex), in one direction or both; a vertex may be in several joins, and in
+    a periodic one with its own zone.  Numbers follow the least (zone, vertex) of each group.  Without `merge` each has its own.
+    """
+    ids = stored(global_ids(vertices.distinct(), "vertex"), "vertex-ids")
+    if not merge:
+        return ids.select("zone", "vertex", F.col("_id").alias("gnum"))
+    own = pairs.join(ids.withColumnRenamed("_id", "a"), ["zone", "vertex"])
+    far = ids.select(F.col("zone").alias("donor_zone"), F.col("vertex").alias("donor_vertex"), F.col("_id").alias("b"))
+    groups = graph.connected_components(own.join(far, ["donor_zone", "donor_vertex"]), "a", "b")
+    d = ids.join(groups.withColumnRenamed("node", "_id"), "_id", "left").withColumn("_root", F.coalesce("component", "_id"))
+    numbers = numbering.row_numbers(d.select("_root").distinct(), ["_root"], "gnum")
+    return d.join(numbers, "_root").select("zone", "vertex", "gnum")

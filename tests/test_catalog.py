@@ -1,5 +1,5 @@
 import pytest
-from gnomon.plans import blocks, catalog, cuts, extracts, forms, inspection, joins, meshes, more, partitioning, reads, walks, whole_trees  # noqa: F401
+from gnomon.plans import blocks, catalog, cuts, dealing, extracts, forms, inspection, joins, meshes, more, partitioning, reads, walks, whole_trees  # noqa: F401
 from oracle import same
 
 FOLDER = "/root/testdata/sf0.001"
