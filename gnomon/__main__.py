@@ -21,7 +21,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     compare = commands.add_parser("diff", help="nodes that differ between two trees")
     compare.add_argument("a")
     compare.add_argument("b")
-    compare.add_argument("--tolerance", type=float, default=0.0, help="for single numbers")
+    compare.add_argument("--tolerance", type=float, default=0.0, help="for numbers, alone and in arrays")
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("gnomon").config("spark.ui.enabled", "false").getOrCreate()
     if given.command == "print":
@@ -30,10 +30,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         for row in tree_text.outline(nodes).orderBy("file", "ord").toLocalIterator():
             print(row["line"])
         return 0
-    number = F.expr("try_cast(value as double)")
-    a, b = (tree_text.read(spark, f).withColumns({"number": number, "text": F.when(number.isNull(), F.col("value"))}) for f in (given.a, given.b))
+    a, b = (tree_text.read(spark, f) for f in (given.a, given.b))
     n = 0
-    for row in trees.diff(a, b, ["path"], ["label", "text", "number"], given.tolerance).orderBy("path").toLocalIterator():
+    for row in trees.diff_text(a, b, ["path"], given.tolerance).orderBy("path").toLocalIterator():
         print(f"{row['status']:13} {row['path']}")
         n += 1
     return int(n > 0)

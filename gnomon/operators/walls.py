@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -108,12 +108,8 @@ def distance_to_faces(targets: DataFrame, faces: DataFrame, vertices: DataFrame)
 
 def shifted_walls(vertices: DataFrame, faces: DataFrame, shifts: Sequence[Sequence[float]], size: int) -> tuple[DataFrame, DataFrame]:
     """(vertices, faces) of walls and their periodic images: copy n is moved by shifts[n - 1], its vertices start after n * size; faces keep their numbers."""
-    v, f = vertices.select("vertex", *XYZ), faces.select("face", "vtx")
-    for n, s in enumerate(shifts, 1):
-        v = v.unionByName(vertices.select((F.col("vertex") + n * size).alias("vertex"), *[(F.col(c) + float(x)).alias(c) for c, x in zip(XYZ, s)]))
-        f = f.unionByName(faces.select("face", _moved("vtx", n * size)))
-    return v, f
-
-
-def _moved(column: str, by: int) -> Column:
-    return F.transform(column, lambda x: x + by).alias(column)
+    copies = [(0, (0.0, 0.0, 0.0)), *enumerate(shifts, 1)]
+    moves = F.inline(F.array(*[F.struct(F.lit(n * size).cast("long").alias("_by"), *[F.lit(float(x)).alias(f"_{c}") for c, x in zip(XYZ, s)]) for n, s in copies]))
+    v = vertices.select("vertex", *XYZ, moves).select((F.col("vertex") + F.col("_by")).alias("vertex"), *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in XYZ])
+    f = faces.select("face", "vtx", F.explode(F.array(*[F.lit(n * size).cast("long") for n, _ in copies])).alias("_by"))
+    return v, f.select("face", F.transform("vtx", lambda x: x + F.col("_by")).alias("vtx"))

@@ -99,11 +99,16 @@ def merge_subsets(items: DataFrame, ids: DataFrame, how: str = "name", number: s
 
 def rotated_copies(vertices: DataFrame, copies: int, angles: Sequence[float], size: int, centre: Sequence[float] = (0, 0, 0), shift: Sequence[float] = (0, 0, 0)) -> DataFrame:
     """(copy, vertex, x, y, z): the vertices and `copies` copies, each moved once more than the one before; numbers of copy n start after n * size."""
-    out = vertices.select(F.lit(0).cast("long").alias("copy"), "vertex", "x", "y", "z")
-    for n in range(1, copies + 1):
-        moved = geometry.affine([F.col(c) for c in "xyz"], [a * n for a in angles], centre, [s * n for s in shift])
-        out = out.unionByName(vertices.select(F.lit(n).cast("long").alias("copy"), (F.col("vertex") + n * size).alias("vertex"), *[e.alias(c) for e, c in zip(moved, "xyz")]))
-    return out
+    moves = []
+    for n in range(copies + 1):
+        m = geometry.rotation_matrix([a * n for a in angles])
+        entries = {f"_m{i}{j}": m[i][j] for i in range(3) for j in range(3)} | {f"_t{i}": centre[i] + shift[i] * n for i in range(3)}
+        moves.append(F.struct(F.lit(n).cast("long").alias("copy"), *[F.lit(float(v)).alias(k) for k, v in entries.items()]))
+    # One pass over the vertices, whatever the number of copies.
+    d = vertices.select("vertex", "x", "y", "z", F.inline(F.array(*moves)))
+    off = [F.col(c) - float(o) for c, o in zip("xyz", centre)]
+    turned = [off[0] * F.col(f"_m{i}0") + off[1] * F.col(f"_m{i}1") + off[2] * F.col(f"_m{i}2") + F.col(f"_t{i}") for i in range(3)]
+    return d.select("copy", (F.col("vertex") + F.col("copy") * size).alias("vertex"), *[F.when(F.col("copy") == 0, F.col(c).cast("double")).otherwise(t).alias(c) for c, t in zip("xyz", turned)])
 
 
 def copies_to_full_turn(angle: float) -> int:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extraction, full_trees, mesh, structured, transfer, zones
+from ..operators import extraction, full_trees, mesh, structured, transfer, trees, walls, zones
 from .catalog import query, table
 from .extracts import _DEALT, _W, _nation_windows
 from .joins import boxes
-from .meshes import BLOCK, _FACES, faces, joined, vertices
+from .meshes import _FACES, _VERTICES, BLOCK, faces, joined, vertices
 from .more import _split
 from .whole_trees import _TREE, whole_tree
 
@@ -121,3 +121,39 @@ def element_numbers(spark, sf_dir):
     e = extraction._numbered(p, ["section"], "p_partkey", "gnum")
     sections = p.groupBy("zone", "section").agg(F.count("*").alias("size")).withColumn("ord", F.col("section"))
     return transfer.element_numbers(e, sections).select("p_partkey", "number")
+
+
+@query(
+    """SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 8 THEN 'missing_left' WHEN p_partkey % 10 = 9 THEN 'missing_right' ELSE 'changed' END AS status FROM part WHERE p_partkey % 10 >= 8 OR p_partkey % 3 <> 1"""
+)
+def text_differences(spark, sf_dir):
+    """Arrays in text form with a tolerance: of three, one differs by more than it, one by less, and one in the number of values."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    d = table(spark, sf_dir, "part")
+    a = d.filter(k % 10 != 8).select(k.alias("k"), F.lit("DataArray_t").alias("label"), F.format_string("[%d, %d]", k, size).alias("value"))
+    other = F.when(k % 3 == 0, F.format_string("[%d, %d.5]", k, size)).when(k % 3 == 1, F.format_string("[%d, %d.1]", k, size)).otherwise(F.format_string("[%d, %d, 1]", k, size))
+    b = d.filter(k % 10 != 9).select(k.alias("k"), F.lit("DataArray_t").alias("label"), other.alias("value"))
+    return trees.diff_text(a, b, ["k"], 0.25)
+
+
+@query(
+    """WITH v AS (SELECT s_suppkey, s_acctbal AS x, s_suppkey % 7 AS y, s_nationkey AS z FROM supplier), a AS (SELECT *, y * cos(0.3) - z * sin(0.3) AS y1, y * sin(0.3) + z * cos(0.3) AS z1 FROM v)
+    SELECT s_suppkey, round(x * cos(0.5) - y1 * sin(0.5), 6) AS x, round(x * sin(0.5) + y1 * cos(0.5), 6) AS y, round(z1, 6) AS z FROM a"""
+)
+def rotated_vectors(spark, sf_dir):
+    """Vectors of three components turned about x, then z."""
+    from ..functions import geometry
+
+    turned = geometry.rotate_vector([F.col("s_acctbal"), (F.col("s_suppkey") % 7).cast("double"), F.col("s_nationkey").cast("double")], (0.3, 0.0, 0.5))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", *[F.round(c, 6).alias(n) for n, c in zip("xyz", turned)])
+
+
+@query(
+    f"""SELECT face, string_agg((vertex + n * 1000000000)::VARCHAR, ',' ORDER BY pos) AS vtx, round(sum(x + dx), 9) AS x, round(sum(z + dz), 9) AS z
+    FROM (SELECT face, unnest(q) AS vertex, generate_subscripts(q, 1) AS pos FROM ({_FACES}) WHERE r = 0) JOIN ({_VERTICES}) USING (vertex), (VALUES (0, 0.0, 0.0), (1, 5.0, 0.0), (2, -5.0, 0.25)) m(n, dx, dz) GROUP BY face, n"""
+)
+def wall_images(spark, sf_dir):
+    """Outer faces and two periodic images of them, by the sums of their corners."""
+    v, f = walls.shifted_walls(vertices(spark, sf_dir), faces(spark, sf_dir).filter("right = 0"), [(5, 0, 0), (-5, 0, 0.25)], 1_000_000_000)
+    at = f.select("face", "vtx", F.explode("vtx").alias("vertex")).join(v, "vertex").groupBy("face", "vtx").agg(F.round(F.sum("x"), 9).alias("x"), F.round(F.sum("z"), 9).alias("z"))
+    return at.select("face", joined("vtx"), "x", "z")
