@@ -90,10 +90,19 @@ def merge(cells: DataFrame, faces: DataFrame, vertices: DataFrame, joins: DataFr
     return cell_ids.select("zone", F.col("cell").alias("old"), F.col("_id").alias("cell")), f, kept
 
 
-def merge_subsets(items: DataFrame, ids: DataFrame, how: str = "name", number: str = "cell") -> DataFrame:
-    """Subset items (zone, name, gnum) in the merged numbers (zone, old, number): those of one name together, or (`None`) kept apart as name.zone."""
+def merge_subsets(items: DataFrame, ids: DataFrame, how: str = "name", number: str = "cell", families: DataFrame | None = None) -> DataFrame:
+    """Subset items (zone, name, gnum) in the merged numbers (zone, old, number): those of one name together, those of one family
+    (zone, name, family) with those without kept apart, or (`None`) all kept apart as name.zone.  An item that several of them hold comes once."""
     d = items.join(ids.withColumnRenamed("old", "gnum"), ["zone", "gnum"])
-    name = F.col("name") if how == "name" else F.concat("name", F.lit("."), "zone")
+    apart = F.concat("name", F.lit("."), F.col("zone").cast("string"))
+    if how == "family":
+        if families is None:
+            raise ValueError("merging by family needs the families of subsets")
+        # A subset has one family; the least, if it is given several.
+        d = d.join(families.groupBy("zone", "name").agg(F.min("family").alias("_family")), ["zone", "name"], "left")
+        name = F.coalesce("_family", apart)
+    else:
+        name = F.col("name") if how == "name" else apart
     return d.select(name.alias("name"), F.col(number).alias("gnum")).distinct()
 
 

@@ -157,3 +157,16 @@ def wall_images(spark, sf_dir):
     v, f = walls.shifted_walls(vertices(spark, sf_dir), faces(spark, sf_dir).filter("right = 0"), [(5, 0, 0), (-5, 0, 0.25)], 1_000_000_000)
     at = f.select("face", "vtx", F.explode("vtx").alias("vertex")).join(v, "vertex").groupBy("face", "vtx").agg(F.round(F.sum("x"), 9).alias("x"), F.round(F.sum("z"), 9).alias("z"))
     return at.select("face", joined("vtx"), "x", "z")
+
+
+@query(
+    """WITH c AS (SELECT c_nationkey AS zone, c_custkey, 'BC' || c_custkey % 4 AS name, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS gnum FROM customer)
+    SELECT CASE WHEN name IN ('BC0', 'BC1') THEN 'F' || zone % 2 ELSE name || '.' || zone END AS name, gnum FROM c"""
+)
+def merged_by_family(spark, sf_dir):
+    """Customers as cells of their nations and items of four subsets, two of which have families, listed twice."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("zone"), F.col("c_custkey").alias("old"))
+    ids = zones.global_ids(c, "old").withColumnRenamed("_id", "cell")
+    items = c.select("zone", F.concat(F.lit("BC"), (F.col("old") % 4).cast("string")).alias("name"), F.col("old").alias("gnum"))
+    families = items.filter("name in ('BC0', 'BC1')").select("zone", "name", F.concat(F.lit("F"), (F.col("zone") % 2).cast("string")).alias("family")).distinct()
+    return zones.merge_subsets(items.unionByName(items), ids, "family", families=families)

@@ -83,3 +83,14 @@ def test_elements_of_several_parts_come_once(spark):
     assert sorted(tuple(r) for r in transfer.elements_from_parts(e, v).collect()) == [("z", "t", 1, [7, 8, 9]), ("z", "t", 2, [9, 9, 8])]
     s = spark.createDataFrame([("z", "t", 2, 10), ("z", "u", 1, 4)], "zone string, section string, ord int, size long")
     assert sorted(r["number"] for r in transfer.element_numbers(e, s).collect()) == [5, 5, 6]
+
+
+def test_merging_by_family(spark):
+    """Subsets of one family are one, an item that two of them hold comes once; without a family a subset stays apart."""
+    items = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("a", "y", 2), ("b", "x", 1), ("b", "z", 2)], "zone string, name string, gnum long")
+    ids = spark.createDataFrame([("a", 1, 10), ("a", 2, 11), ("b", 1, 12), ("b", 2, 13)], "zone string, old long, cell long")
+    families = spark.createDataFrame([("a", "x", "W"), ("a", "y", "W"), ("b", "x", "W"), ("b", "q", "W")], "zone string, name string, family string")
+    got = zones.merge_subsets(items, ids, "family", families=families)
+    assert sorted(map(tuple, got.collect())) == [("W", 10), ("W", 11), ("W", 12), ("z.b", 13)]
+    with pytest.raises(ValueError):
+        zones.merge_subsets(items, ids, "family")
