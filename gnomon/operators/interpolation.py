@@ -119,7 +119,7 @@ def interpolate(mapping: DataFrame, field: DataFrame, values: Sequence[str]) ->
 
 def _moved(links: DataFrame, field: DataFrame, a: str, b: str, values: Sequence[str], power: float) -> DataFrame:
     d2 = sum(((F.col(f"_a{c}") - F.col(f"_b{c}")) ** 2 for c in "yz"), (F.col("_ax") - F.col("_bx")) ** 2)
-    d = links.withColumn("_w", 1 / F.greatest(d2 ** (power / 2), F.lit(1e-20))).join(field.select(a, *values), a)
+    d = links.withColumn("_w", 1 / F.greatest(d2 ** (power / 2), F.lit(1e-20))).join(field.select(a, *values).hint("merge"), a)  # as many rows as the mesh has
     return d.groupBy(b).agg(*[(F.sum(F.col(v) * F.col("_w")) / F.sum("_w")).alias(v) for v in values])
 
 
