@@ -14,7 +14,7 @@ WEIGHTS = (3.0, 1.0, 2.0, 5.0, 1.0, 4.0, 2.0)
     """SELECT count(*) AS cells, 7::BIGINT AS parts, 0::BIGINT AS repeated, true AS filled, true AS within_layer, true AS better, (SELECT 35 * (max(p_partkey) // 35 + 1) FROM part) AS volume FROM part"""
 )
 def cut_volumes(spark, sf_dir):
-    """Seven boxes of the block: every cell in one, all boxes full but for the block's last layer, volumes within a layer and nearer than those of cuts that are not refined."""
+    """Seven boxes of the block: every cell in one, all boxes full but for the block's last layer, volumes within a layer and nearer than those of cuts that are not refined (where these are not exact already)."""
     p = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("cell"))
     dims = (5, 7, p.agg(F.max("cell")).first()[0] // 35 + (p.agg(F.max("cell")).first()[0] % 35 > 0))
     boxes = block_cuts.cut_block(dims, WEIGHTS)
@@ -29,7 +29,7 @@ def cut_volumes(spark, sf_dir):
     plain = max(block_cuts.deviations(partition.split_block(dims, WEIGHTS), WEIGHTS))
     return d.agg(
         F.sum("n").alias("cells"), F.count("*").alias("parts"), F.sum(F.col("n") - F.col("distinct")).alias("repeated"), (F.bool_and(F.col("most") <= F.col("cells")) & (F.sum(F.col("cells") - F.col("n")) < 35)).alias("filled"),
-        (F.max("off") <= 1).alias("within_layer"), (F.max("off") < plain).alias("better"), F.sum("cells").alias("volume"),
+        (F.max("off") <= 1).alias("within_layer"), ((F.max("off") < plain) | (F.max("off") == 0)).alias("better"), F.sum("cells").alias("volume"),
     )
 
 

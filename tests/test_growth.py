@@ -21,3 +21,13 @@ def test_cells_and_vertices_are_not_broadcast(spark):
     ):
         assert "Broadcast" not in _plan(d) and "SortMergeJoin" in _plan(d)
     assert _plan(interpolation._moved(field.select("cell", F.col("cell").alias("vertex"), *[F.lit(0.0).alias(f"_{s}{x}") for s in "ab" for x in "xyz"]), field, "cell", "vertex", ["size"], 1.0)).count("Broadcast") == 0
+
+
+def test_cuts_are_nearer_where_the_plain_ones_are_hard_to_beat():
+    """The blocks of 120,000 and of some other numbers of cells, for which no tree of halves is better than the plain cuts."""
+    from gnomon.operators import block_cuts, partition
+    from gnomon.plans.blocks import WEIGHTS
+
+    for layers in (3429, 182972, 173982):
+        off = [max(block_cuts.deviations(b, WEIGHTS)) for b in (block_cuts.cut_block((5, 7, layers), WEIGHTS), partition.split_block((5, 7, layers), WEIGHTS))]
+        assert off[0] < off[1]
