@@ -31,3 +31,10 @@ def test_cuts_are_nearer_where_the_plain_ones_are_hard_to_beat():
     for layers in (3429, 182972, 173982):
         off = [max(block_cuts.deviations(b, WEIGHTS)) for b in (block_cuts.cut_block((5, 7, layers), WEIGHTS), partition.split_block((5, 7, layers), WEIGHTS))]
         assert off[0] < off[1]
+
+
+def test_sides_are_dealt_out_before_they_are_grouped(spark, monkeypatch):
+    """A task that reads a small file of many cells makes six sides of each; it must not sort them."""
+    monkeypatch.setattr(mesh.numbering, "row_numbers", lambda d, *_: d.withColumn("face", F.lit(0)))
+    plan = _plan(meshes.faces(spark, FOLDER))
+    assert plan.rindex("Aggregate") < plan.index("Exchange")
