@@ -9,10 +9,11 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import index
+from ..storage import stored
 from .partition import split_block
 
 Box = tuple[tuple[int, int], ...]
@@ -243,13 +244,15 @@ def by_cell_weights(cells: DataFrame, dims: Sequence[int], weights: Sequence[flo
         if not rows:
             break
         plan = spark.createDataFrame(rows, "_node long, _axis int, _first long, _last long, _share double")  # a row a part at most
-        # Sums by layer; the layers of a box, and every place where it may be cut, are few against its cells.
-        layers = d.join(plan, "_node").groupBy("_node", along.alias("_layer")).agg(F.sum("_size").alias("s"))
-        lists = layers.groupBy("_node").agg(F.sort_array(F.collect_list(F.struct("_layer", "s"))).alias("l"), F.sum("s").alias("t")).join(plan, "_node", "right")
-        below = lambda at: F.aggregate(F.filter("l", lambda x: x["_layer"] < at), F.lit(0.0), lambda n, x: n + x["s"])
-        off = lambda at: F.abs(F.coalesce(below(at), F.lit(0.0)) - F.col("_share") * F.coalesce("t", F.lit(0.0)))
-        at = F.array_min(F.transform(F.sequence("_first", "_last"), lambda c: F.struct(off(c).alias("off"), c.alias("at"))))
-        found = {r["_node"]: r["at"] for r in lists.select("_node", at["at"].alias("at")).collect()}  # one row a box
+        # Sums by layer, which are few against the cells, and running ones: a cut after each layer, and the first that is allowed.
+        layers = stored(d.join(plan, "_node").groupBy("_node", along.alias("_layer")).agg(F.sum("_size").alias("s")), "layers").join(plan, "_node")
+        running = F.sum("s").over(Window.partitionBy("_node").orderBy("_layer").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        sums = layers.groupBy("_node").agg(F.sum("s").alias("t"), F.sum(F.when(F.col("_layer") < F.col("_first"), F.col("s"))).alias("_below"))
+        ends = plan.join(sums, "_node", "left").select("_node", F.col("_first").alias("at"), F.coalesce("_below", F.lit(0.0)).alias("_below"), (F.col("_share") * F.coalesce("t", F.lit(0.0))).alias("_want"))
+        after = layers.select("_node", (F.col("_layer") + 1).alias("at"), running.alias("_below"), "_first", "_last").filter("at between _first and _last").drop("_first", "_last")
+        places = ends.unionByName(after.join(ends.select("_node", "_want"), "_node"))
+        best = places.groupBy("_node").agg(F.min(F.struct(F.abs(F.col("_below") - F.col("_want")).alias("off"), "at")).alias("at"))
+        found = {r["_node"]: r["at"] for r in best.select("_node", F.col("at.at").alias("at")).collect()}  # one row a box
         cuts = spark.createDataFrame([(r[0], r[1], found[r[0]]) for r in rows], "_node long, _axis int, _at long")
         d = d.join(cuts, "_node", "left").withColumn("_node", F.when(F.col("_at").isNull(), F.col("_node")).otherwise(F.col("_node") * 2 + (along >= F.col("_at")).cast("long"))).drop("_axis", "_at")
         for node, axis, *_ in rows:
