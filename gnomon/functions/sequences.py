@@ -51,11 +51,14 @@ def rotated(array: Column, i: Column) -> Column:
 
 def ordered_subset(subset: Column, array: Column) -> Column:
     """The rotation of subset, or of its reverse, that stands in the circular array without gaps; null if none does."""
-    n, twice = F.size(subset), F.concat(array, array)
-    places = F.sequence(F.lit(0), n - 1)
-    turned = F.concat(F.transform(places, lambda i: rotated(subset, i)), F.transform(places, lambda i: rotated(F.reverse(subset), i)))
-    windows = F.transform(F.sequence(F.lit(1), F.size(array)), lambda i: F.slice(twice, i, n))
-    return F.when((n > 0) & (n <= F.size(array)), F.get(F.filter(turned, lambda t: F.array_contains(windows, t)), 0))
+    n = F.size(subset)
+    # Lambdas evaluate what they close over for every element, so arrays that they share are made once, as fields of a struct.
+    once = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+    both = F.struct(subset.alias("s"), F.reverse(subset).alias("r"), F.concat(array, array).alias("twice"), F.sequence(F.lit(0), n - 1).alias("places"))
+    turned = lambda b: F.concat(F.transform(b["places"], lambda i: rotated(b["s"], i)), F.transform(b["places"], lambda i: rotated(b["r"], i)))
+    windows = lambda b: F.transform(F.sequence(F.lit(1), F.size(array)), lambda i: F.slice(b["twice"], i, F.size(b["s"])))
+    found = once(both, lambda b: once(windows(b), lambda w: F.get(F.filter(turned(b), lambda t: F.array_contains(w, t)), 0)))
+    return F.when((n > 0) & (n <= F.size(array)), found)
 
 
 def is_before(array: Column, a: Column, b: Column) -> Column:
