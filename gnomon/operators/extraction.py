@@ -51,7 +51,7 @@ class Extractor:
             kept = [at(sides.distinct(), "CellCenter"), at(sides.select(F.col("face").alias("old")), "FaceCenter")]
             wanted = sides.select(F.col("face").alias("old")).distinct()
         elif location == "FaceCenter":
-            kept = [at(faces.select(F.col("face").alias("old")).join(wanted, "old"), "FaceCenter")]
+            kept = [at(faces.select(F.col("face").alias("old")).hint("merge").join(wanted, "old"), "FaceCenter")]
         if location == "Vertex":
             kept = [at(vertices.select(F.col("vertex").alias("old")).join(wanted, "old"), "Vertex")]
         else:
@@ -59,7 +59,7 @@ class Extractor:
         d = kept[0]
         for k in kept[1:]:
             d = d.unionByName(k)
-        self.numbers = stored(_numbered(d.distinct(), ["location"], "old", "gnum").select("location", F.col("gnum").cast("long").alias("gnum"), F.col("old").cast("long").alias("old")), "extracted")
+        self.numbers = stored(_numbered(d.distinct(), ["location"], "old", "gnum").select("location", F.col("gnum").cast("long").alias("gnum"), F.col("old").cast("long").alias("old")), "extracted").hint("merge")  # small files for as many rows as the mesh
 
     def _at(self, location: str, number: str = "gnum", old: str = "old") -> DataFrame:
         return self.numbers.filter(F.col("location") == location).select(F.col("gnum").alias(number), F.col("old").alias(old))

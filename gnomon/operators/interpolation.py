@@ -113,7 +113,7 @@ def source_of(targets: DataFrame, centres: DataFrame, faces: DataFrame | None, v
 
 def interpolate(mapping: DataFrame, field: DataFrame, values: Sequence[str]) -> DataFrame:
     """(target, values): each target takes its source's values, NaN without a source."""
-    d = mapping.join(field.select("cell", *values), "cell", "left")
+    d = mapping.join(field.select("cell", *values).hint("merge"), "cell", "left")  # as many rows as the mesh has cells
     return d.select("target", *[F.coalesce(v, F.lit(float("nan"))).alias(v) for v in values])
 
 

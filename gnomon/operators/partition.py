@@ -18,10 +18,10 @@ from . import numbering
 
 
 def local_numbers(df: DataFrame, order: Sequence[str], part: str = "part", out: str = "lnum") -> DataFrame:
-    """df with 1, 2, .. inside each part, by the order."""
+    """df with 1, 2, .. inside each part, by the order.  Joins of it merge: its files are small for their rows, and Spark would collect millions of them to broadcast."""
     d = numbering.row_numbers(df, [part, *order], "_rn")
     first = d.groupBy(part).agg(F.min("_rn").alias("_first"))
-    return d.join(F.broadcast(first), part).withColumn(out, F.col("_rn") - F.col("_first") + 1).drop("_rn", "_first")
+    return d.join(F.broadcast(first), part).withColumn(out, F.col("_rn") - F.col("_first") + 1).drop("_rn", "_first").hint("merge")
 
 
 def split_ordered(df: DataFrame, order: Sequence[str], weights: Sequence[float], size: str | None = None) -> DataFrame:

@@ -66,3 +66,14 @@ def test_windows_of_an_array_are_made_once(spark):
     d = spark.createDataFrame([([2, 3, 1], [1, 2, 3]), ([1, 3, 2], [1, 2, 3]), ([1, 1, 2], [1, 2, 3]), ([], [1])], "a array<long>, b array<long>").select(sequences.ordered_subset(F.col("a"), F.col("b")).alias("c"))
     assert "array_contains(transform(" not in _plan(d) and "array_contains(" in _plan(d)
     assert [r["c"] for r in d.collect()] == [[2, 3, 1], [2, 3, 1], None, None]
+
+
+def test_numbered_tables_are_not_broadcast(spark):
+    """Faces, local numbers and extracted items: as many rows as the mesh has, in small files."""
+    from gnomon.plans import forms
+
+    few = spark.range(9).select(F.col("id").alias("cell"), F.col("id").alias("face"), F.lit(1.0).alias("price"))
+    f, p = meshes.faces(spark, FOLDER), forms.parts(spark, FOLDER)
+    for d in (few.join(f, "face"), few.join(p, "cell"), interpolation.interpolate(few.select("cell", F.col("face").alias("target")), few.select("cell", "price"), ["price"])):
+        top = _plan(d).split("SortMergeJoin")
+        assert len(top) > 1 and "BroadcastExchange" not in top[0] and "BroadcastHashJoin" not in top[0]
