@@ -39,14 +39,15 @@ def _cell(x: Sequence[Column], size: float) -> list[Column]:
     return [F.floor(c / size) for c in x]
 
 
-def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], source_id: str, target_id: str, k: int = 1, size: float | None = None, max_rounds: int | None = None) -> DataFrame:
+def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], source_id: str, target_id: str, k: int = 1, size: float | None = None, max_rounds: int | None = None, radius: float | None = None) -> DataFrame:
     """(target, source, distance2, rank): the k nearest sources of every target, ties to the smaller source id.
 
     Sources lie in a grid of cells.  A target looks at the cells within r rings of its own and is done when it has k
     sources no farther than r cells, or when its rings hold all sources; the others go on with twice as many rings.
     Rings are counted from the first that reaches the sources' box, so a far target is found as soon as a near one.  So
     the work follows the local density.  With max_rounds, the last round looks at all rings at once.  Of the sources found, only the k nearest of a target leave its partition.  With
-    no size given, cells are made to hold about k + 1 sources on average.
+    no size given, cells are made to hold about k + 1 sources on average.  With a radius, sources farther away do not
+    count, cells are no wider than it, and rings that lie beyond it are not looked at.
 
     A source with a null or NaN coordinate is nobody's neighbour, and a target with one has no row; equal rows of
     targets count once.
@@ -64,6 +65,9 @@ def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], sou
         for s in spans:
             volume *= s
         size = (volume * (k + 1) / n) ** (1 / max(len(spans), 1)) if spans else 1.0
+    size = size if radius is None else min(size, radius)
+    # A ring more where cells are less wide than the radius, as quotients are rounded.
+    most = None if radius is None else 1 if size == radius else ceil(radius / size) + 1
     cells = [f"_c{i}" for i in range(dim)]
     grid = sources.select(F.col(source_id).alias("_s"), *[F.col(c).alias(f"_s{i}") for i, c in enumerate(coords)])
     grid = stored(grid.withColumns(dict(zip(cells, _cell([F.col(f"_s{i}") for i in range(dim)], size)))), "grid")
@@ -76,6 +80,8 @@ def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], sou
     widest = lambda xs: F.greatest(F.lit(0), *xs)
     reach = widest([x for h, a, b in zip(heres, lows, highs) for x in (a - h, h - b)])
     whole = widest([x for h, a, b in zip(heres, lows, highs) for x in (h - a, b - h)])
+    if most is not None:
+        todo, whole = todo.filter(reach <= most), F.least(whole, F.lit(most))
     out, rings, turn = None, 1, 0
     while True:  # ends when the rings are as many as the box is wide, at the latest
         turn += 1
@@ -85,15 +91,17 @@ def k_closest(sources: DataFrame, targets: DataFrame, coords: Sequence[str], sou
             probe = probe.withColumn(cells[i], F.explode_outer(F.when(low <= high, F.sequence(low, high))))
         d2 = sum(((F.col(f"_t{i}") - F.col(f"_s{i}")) ** 2 for i in range(1, dim)), (F.col("_t0") - F.col("_s0")) ** 2)
         found = probe.join(grid, cells).select(*place, "_r", d2.alias("d"), F.col("_s").alias("s"))
+        if radius is not None:
+            found = found.filter(F.col("d") <= radius * radius)
         found = found.withColumn("_k", F.row_number().over(Window.partitionBy(*place).orderBy("d", "s"))).filter(F.col("_k") <= k)
         near = found.groupBy(*place).agg(F.max("_r").alias("_r"), F.sort_array(F.collect_list(F.struct("d", "s"))).alias("_near"))
         enough = (F.size("_near") >= min(k, n)) & ((F.col("_r") >= whole) | (F.element_at("_near", -1)["d"] <= (F.col("_r") * size) ** 2))
         near = stored(near.withColumn("_ok", enough).drop("_r"), "near")
         done = near.filter("_ok").select("_t", "_near")
         out = done if out is None else out.unionByName(done)
-        todo = todo.join(near.filter("_ok").select(*place), place, "left_anti")
-        if todo.isEmpty():
-            break
+        todo = todo.join(near.filter("_ok").select(*place).hint("merge"), place, "left_anti")  # as many rows as targets
+        if todo.isEmpty() or (most is not None and rings >= most):
+            break  # with a radius, a target may be left without a source
         todo = stored(todo, "targets")
         rings *= 2
     return out.select(F.col("_t").alias(target_id), F.posexplode("_near").alias("rank", "_n")).select(target_id, F.col("_n")["s"].alias(source_id), F.col("_n")["d"].alias("distance2"), (F.col("rank") + 1).alias("rank"))
@@ -103,6 +111,12 @@ def closest_point(sources: DataFrame, targets: DataFrame, coords: Sequence[str],
     return k_closest(sources, targets, coords, source_id, target_id, 1).drop("rank")
 
 
+def closest_within(sources: DataFrame, targets: DataFrame, coords: Sequence[str], source_id: str, target_id: str, radius: float) -> DataFrame:
+    """(target, source, distance2): the nearest source of each target that has one within the radius; points with an infinite coordinate have none."""
+    finite = " and ".join(f"abs(`{c}`) < double('infinity')" for c in coords)
+    return k_closest(sources.filter(finite), targets.filter(finite), coords, source_id, target_id, 1, radius=radius).drop("rank")
+
+
 def inverse_distance_mean(df: DataFrame, key: str, value: str, distance: str, power: float = 1.0, floor: float = 1e-20) -> DataFrame:
     """Mean of value by key with weights 1 / max(distance, floor) ** power."""
     w = 1 / F.greatest(F.col(distance), F.lit(floor)) ** power

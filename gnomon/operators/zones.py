@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..storage import stored
-from . import graph, mesh, numbering
+from . import graph, mesh, numbering, spatial
 
 
 def donor_names(joins: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def match_faces(a: DataFrame, b: DataFrame, tolerance: float, angles: Sequence[f
     """(face, donor_face): faces (face, x, y, z: their centres) of a that lie, once moved, on faces of b."""
     moved = geometry.affine([F.col(c) for c in "xyz"], angles, centre, shift)
     m = a.select("face", *[e.alias(c) for e, c in zip(moved, "xyz")])
-    near = mesh.within(m, b.select(F.col("face").alias("donor_face"), "x", "y", "z"), ["x", "y", "z"], tolerance, "face", "donor_face")
+    # All pairs within the tolerance would grow with the square of the faces where it is wide; each face needs its nearest alone.
+    near = spatial.closest_within(b.select(F.col("face").alias("donor_face"), "x", "y", "z"), m, ["x", "y", "z"], "donor_face", "face", tolerance)
     return near.groupBy("face").agg(F.min_by("donor_face", F.struct("distance2", "donor_face")).alias("donor_face"))
 
 

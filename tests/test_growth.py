@@ -77,3 +77,25 @@ def test_numbered_tables_are_not_broadcast(spark):
     for d in (few.join(f, "face"), few.join(p, "cell"), interpolation.interpolate(few.select("cell", F.col("face").alias("target")), few.select("cell", "price"), ["price"])):
         top = _plan(d).split("SortMergeJoin")
         assert len(top) > 1 and "BroadcastExchange" not in top[0] and "BroadcastHashJoin" not in top[0]
+
+
+def test_faces_match_without_all_pairs(spark, monkeypatch):
+    """The nearest within the tolerance as from all pairs, without making them: they grow with the square of the faces where the tolerance is wide."""
+    import random
+
+    from gnomon.operators import zones
+
+    r = random.Random(5)
+    point = lambda k: (k, float(r.randint(0, 40)), float(r.randint(0, 40)), 0.0)
+    odd = [(900, None, 1.0, 0.0), (901, float("nan"), 1.0, 0.0), (902, float("inf"), 1.0, 0.0), (903, 5e6, 5e6, 0.0)]
+    a, b = [point(k) for k in range(120)] + odd, [point(k) for k in range(60)] + odd[:3]
+    table = lambda rows: spark.createDataFrame(rows, "face long, x double, y double, z double")
+    monkeypatch.setattr(mesh, "within", None)
+    for far, tolerance in (([], 3.0), ([(950, 1e7, 0.0, 0.0)], 3.0), ([], 25.0)):
+        donors = b + far
+        want = {}
+        for k, *p in a[:120]:
+            near = [(d2, j) for j, *q in donors if None not in q for d2 in [sum((s - t) ** 2 for s, t in zip(p, q))] if d2 <= tolerance**2]
+            if near:
+                want[k] = min(near)[1]
+        assert {x["face"]: x["donor_face"] for x in zones.match_faces(table(a), table(donors), tolerance).collect()} == want
