@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph_partition, partition, renumber, spatial
+from ..operators import graph_partition, numbering, partition, renumber, spatial
 from ..storage import stored
 from .catalog import query, table
 from .forms import _PARTS, parts
@@ -55,9 +55,10 @@ def renumbered_parts(spark, sf_dir):
     """Levels of the search in every part; inside: the local numbers of a level are those that follow the levels below."""
     r = stored(renumber.renumbered(parts(spark, sf_dir).select("cell", "part"), dual(spark, sf_dir), sweeps=1), "renumbered")
     n = r.groupBy("part", "level").agg(F.count("*").alias("n"), F.countDistinct("lnum").alias("distinct"), F.min("lnum").alias("least"), F.max("lnum").alias("most"))
-    # A row for each part and level.
-    other = n.select("part", F.col("level").alias("_l"), F.col("n").alias("_n"))
-    sums = n.join(other, "part").groupBy("part", "level", "n", "distinct", "least", "most").agg(F.sum(F.when(F.col("_l") <= F.col("level"), F.col("_n"))).alias("upto"), F.sum("_n").alias("size"))
+    # A row for each part and level: sums over the levels below, not over pairs of levels.
+    n = numbering.exclusive_offsets(n, ["part", "level"], "n", "_all")
+    whole = n.groupBy("part").agg(F.min("_all").alias("_first"), F.sum("n").alias("size"))
+    sums = n.join(whole, "part").withColumn("upto", F.col("_all") - F.col("_first") + F.col("n"))
     inside = (F.col("distinct") == F.col("n")) & (F.col("most") == F.col("upto")) & (F.col("least") == F.col("upto") - F.col("n") + 1)
     return r.join(sums.select("part", "level", "size", "upto", inside.alias("inside")), ["part", "level"]).select("part", "cell", "level", "size", "upto", "inside")
 

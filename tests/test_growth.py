@@ -2,6 +2,7 @@
 
 from gnomon.operators import interpolation, mesh, surfaces
 from gnomon.plans import meshes
+from gnomon.storage import stored as _stored
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -99,3 +100,64 @@ def test_faces_match_without_all_pairs(spark, monkeypatch):
             if near:
                 want[k] = min(near)[1]
         assert {x["face"]: x["donor_face"] for x in zones.match_faces(table(a), table(donors), tolerance).collect()} == want
+
+
+def plain_numbers(cells, links):
+    """(cell: (level, num)) of each piece by the definition, a cell at a time."""
+    near = {c: set() for c in cells}
+    for a, b in links:
+        if a != b:
+            near[a].add(b), near[b].add(a)
+    out, seen = {}, set()
+    for c in sorted(cells):
+        if c in seen:
+            continue
+        piece, queue = {c}, [c]
+        for x in queue:
+            queue += [y for y in near[x] if y not in piece]
+            piece |= near[x]
+        seen |= piece
+        now, level, num = [min(piece, key=lambda x: (len(near[x]), x))], 0, 0
+        while now:
+            for x in now:
+                num += 1
+                out[x] = (level, num)
+            level += 1
+            now = sorted({y for x in now for y in near[x] if y not in out}, key=lambda y: (min(out[x][1] for x in near[y] if x in out and out[x][0] == level - 1), len(near[y]), y))
+    return out
+
+
+def test_renumbering_by_chunks_and_bands(spark):
+    """Chunks and bands of any size give the numbers of the definition; a star has a level wider than any of them."""
+    import random
+
+    from gnomon.operators import renumber
+
+    r = random.Random(3)
+    grid = [(i + 5 * j, i + 1 + 5 * j) for i in range(4) for j in range(20)] + [(i + 5 * j, i + 5 * j + 5) for i in range(5) for j in range(19)]
+    place = list(range(100))
+    r.shuffle(place)
+    links = grid + [(200 + place[a], 200 + place[b]) for a, b in grid] + [(400, 400 + k) for k in range(1, 40)] + [(500 + 2 * k, 501 + 2 * k) for k in range(12)] + [(400, 530), (530, 531), (7, 7)]
+    cells = sorted({x for p in links for x in p} | {600, 601})
+    want = plain_numbers(cells, links)
+    p, e = spark.createDataFrame([(c, 0) for c in cells], "cell long, part int"), spark.createDataFrame(links, "a long, b long")
+    for chunk in (150, renumber.CHUNK):
+        rows = renumber.renumbered(p, e, sweeps=1, chunk=chunk).collect()
+        assert {x["cell"]: x["level"] for x in rows} == {c: v[0] for c, v in want.items()}
+        for low in (0, 200):  # two pieces as a whole
+            own = sorted((x["lnum"], x["cell"]) for x in rows if low <= x["cell"] < low + 100)
+            assert [c for _, c in own] == sorted((c for c in want if low <= c < low + 100), key=lambda c: want[c][1])
+        star = [x["cell"] for x in sorted(rows, key=lambda x: x["lnum"]) if 400 <= x["cell"] < 440 or x["cell"] in (530, 531)]
+        assert star == sorted(star, key=lambda c: want[c][1]) and sorted(x["lnum"] for x in rows) == list(range(1, len(cells) + 1))
+
+
+def test_renumbering_takes_no_round_for_each_level(spark, monkeypatch):
+    """A path of 2,000 levels."""
+    from gnomon.operators import renumber
+
+    tables = []
+    monkeypatch.setattr(renumber, "stored", lambda d, name: tables.append(name) or _stored(d, name))
+    p = spark.range(2000).select(F.col("id").alias("cell"), F.lit(0).alias("part"))
+    e = spark.range(1999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert renumber.renumbered(p, e, sweeps=1).filter("lnum = cell + 1 and level = cell").count() == 2000
+    assert len(tables) < 20
