@@ -161,3 +161,17 @@ def test_renumbering_takes_no_round_for_each_level(spark, monkeypatch):
     e = spark.range(1999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert renumber.renumbered(p, e, sweeps=1).filter("lnum = cell + 1 and level = cell").count() == 2000
     assert len(tables) < 20
+
+
+def test_points_within_a_radius_are_dealt_out_by_pairs(spark):
+    """Two thousand points in one cell: their pairs go to many tasks, and are those of all pairs."""
+    a = spark.range(900).select(F.col("id").alias("a"), (F.col("id") * 7 % 31 / 10).alias("x"), (F.col("id") * 11 % 37 / 10).alias("y"))
+    b = spark.range(300).select(F.col("id").alias("b"), (F.col("id") * 5 % 29 / 10).alias("x"), (F.col("id") * 3 % 41 / 10).alias("y"))
+    few, many = mesh.within(a, b, ["x", "y"], 2.0, "a", "b"), mesh.within(a, b, ["x", "y"], 2.0, "a", "b", block=50, task_pairs=10_000)
+    assert many.rdd.getNumPartitions() == 27 and "Broadcast" not in _plan(many).split("SortMergeJoin")[0]
+    sizes = many.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[1] > 20 and sizes[0] < many.count() / 4
+    want = {(p["a"], q["b"], (p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2) for p in a.collect() for q in b.collect()}
+    for d in (few, many):
+        rows = [tuple(r) for r in d.collect()]
+        assert len(rows) == len(set(rows)) and {r[:2] for r in rows} == {w[:2] for w in want if w[2] <= 4.0}
