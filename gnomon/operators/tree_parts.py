@@ -26,15 +26,19 @@ NUMBERS = ":CGNS#GlobalNumbering"
 SECTION = ("ElementStartOffset", "ElementConnectivity", "ParentElements")
 #: The kind of entity that a grid location names.
 KINDS = {"Vertex": "Vertex", "CellCenter": "Cell", "FaceCenter": "Face"}
+KINDS_OF_ENTITIES = tuple(KINDS.values())
 JOIN = "JN.P"
+#: Corners of sections that are kept together while faces look them up.
+BLOCK = 1_024
 
 
 def zone_of(path: Column) -> Column:
-    return F.array_join(F.slice(F.split(path, "/"), 1, 2), "/")
+    return F.substring_index(path, "/", 2)
 
 
 def _parent(path: Column) -> Column:
-    return F.regexp_replace(path, "/[^/]*$", "")
+    # No pattern: this is done for every value.
+    return F.when(path.contains("/"), F.substring(path, F.lit(1), F.length(path) - F.length(_name(path)) - 1)).otherwise(path)
 
 
 def _name(path: Column) -> Column:
@@ -69,26 +73,39 @@ def subset_kinds(nodes: DataFrame) -> DataFrame:
     return d.select("owner", zone_of(F.col("owner")).alias("zone"), F.coalesce(F.element_at(kinds, F.col("location")), F.lit("Vertex")).alias("kind"))
 
 
-def section_faces(values: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, zone, section, face, left, right, vtx) from the values of sections of faces; keys are further columns that tell trees apart."""
+def section_faces(values: DataFrame, keys: Sequence[str] = (), numbers: DataFrame | None = None) -> DataFrame:
+    """(keys, zone, section, face, left, right, vtx) from the values of sections of faces; keys are further columns that tell trees apart.
+
+    With numbers (keys, zone, kind, lnum, gnum) the vertices get their global numbers before they are put together to faces.
+    """
     key = [*keys, "section"]
-    of = lambda name: values.filter(_name(F.col("path")) == name).select(*keys, _parent(F.col("path")).alias("section"), "pos", F.col("value").cast("long").alias("value"))
+    of = lambda name: values.filter(F.col("path").endswith(f"/{name}")).select(*keys, _parent(F.col("path")).alias("section"), "pos", F.col("value").cast("long").alias("value"))
     offset, corners, parents = (of(name) for name in SECTION)
+    if numbers is not None:
+        v = numbers.filter("kind = 'Vertex'").select(F.col("lnum").alias("value"), *keys, "zone", "gnum")
+        corners = corners.withColumn("zone", zone_of(F.col("section"))).join(v, ["value", *keys, "zone"]).select(*key, "pos", F.col("gnum").alias("value"))
     ends = offset.select(*key, (F.col("pos") - 1).alias("pos"), F.col("value").alias("end"))
-    faces = offset.withColumnRenamed("value", "at").join(ends, [*key, "pos"])
-    place = faces.select(*key, (F.col("pos") + 1).alias("face"), F.posexplode(F.sequence(F.col("at"), F.col("end") - 1)).alias("_i", "pos"))
-    rings = place.join(corners, [*key, "pos"]).groupBy(*key, "face").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "value"))), lambda x: x["value"]).alias("vtx"))
+    faces = offset.withColumnRenamed("value", "at").join(ends, ["pos", *key])
+    # A face takes its corners from the blocks that it lies in, one for most, instead of meeting each by a row; positions of an array have no gaps.
+    blocks = corners.withColumn("_b", F.floor(F.col("pos") / BLOCK)).repartition("_b", *key)
+    blocks = blocks.groupBy("_b", *key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("_all"))
+    pieces = faces.select(*key, (F.col("pos") + 1).alias("face"), "at", "end", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))).alias("_b"))
+    lo, hi = F.greatest(F.col("at") - F.col("_b") * BLOCK, F.lit(0)), F.least(F.col("end") - F.col("_b") * BLOCK, F.lit(BLOCK))
+    rings = pieces.filter("at < end").join(blocks.hint("merge"), ["_b", *key]).select("face", *key, "_b", F.slice("_all", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("_some"))
+    rings = rings.repartition("face", *key).groupBy("face", *key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_some"))), lambda x: x["_some"])).alias("vtx"))
     n = faces.groupBy(*key).agg(F.count("*").alias("_n"))
-    side = parents.join(n, key).groupBy(*key, (F.col("pos") % F.col("_n") + 1).alias("face")).agg(F.max(F.when(F.col("pos") < F.col("_n"), F.col("value"))).alias("left"), F.max(F.when(F.col("pos") >= F.col("_n"), F.col("value"))).alias("right"))
-    return rings.join(side, [*key, "face"]).select(*keys, zone_of(F.col("section")).alias("zone"), "section", "face", "left", "right", "vtx")
+    side = parents.join(F.broadcast(n), key).groupBy((F.col("pos") % F.col("_n") + 1).alias("face"), *key).agg(F.max(F.when(F.col("pos") < F.col("_n"), F.col("value"))).alias("left"), F.max(F.when(F.col("pos") >= F.col("_n"), F.col("value"))).alias("right"))
+    return rings.join(side, ["face", *key]).select(*keys, zone_of(F.col("section")).alias("zone"), "section", "face", "left", "right", "vtx")
 
 
 def section_values(faces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, path, pos, value): the other way; faces are numbered 1, 2, .. in each section."""
     key = [*keys, "section"]
-    sized = numbering.exclusive_offsets(faces.select(*key, "face", F.size("vtx").alias("_n")), [*key, "face"], "_n", "_all")
-    first = sized.groupBy(*key).agg(F.min("_all").alias("_first"), F.count("*").alias("_faces"))
-    d = stored(faces.join(sized, [*key, "face"]).join(first, key).withColumn("_at", F.col("_all") - F.col("_first")), "sections")
+    # The offsets carry the faces, which are thus made once and not joined to them.
+    sized = faces.select(*key, "face", "left", "right", "vtx", F.size("vtx").alias("_n"))
+    d = stored(numbering.exclusive_offsets(sized, [*key, "face"], "_n", "_all"), "sections")
+    first = d.groupBy(*key).agg(F.min("_all").alias("_first"), F.count("*").alias("_faces"))  # a row a section
+    d = d.join(F.broadcast(first), key).withColumn("_at", F.col("_all") - F.col("_first"))
     row = lambda name, pos, value: F.struct(F.concat("section", F.lit(f"/{name}")).alias("path"), pos.cast("long").alias("pos"), value.cast("double").alias("value"))
     zero = lambda x: F.when(F.col("face") == 1, F.array(x)).otherwise(F.array().cast("array<struct<path:string,pos:bigint,value:double>>"))
     offset = F.concat(zero(row(SECTION[0], F.lit(0), F.lit(0))), F.array(row(SECTION[0], F.col("face"), F.col("_at") + F.col("_n"))))
@@ -100,7 +117,7 @@ def section_values(faces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def entity_numbers(faces: DataFrame, cell_parts: DataFrame) -> DataFrame:
     """(zone, kind, gnum, part, lnum): the cells of each part as given, the faces of its cells and their vertices, numbered in each (zone, part) by global number."""
     cells = cell_parts.select("zone", F.lit("Cell").alias("kind"), F.col("cell").cast("long").alias("gnum"), "part", F.col("lnum").cast("long").alias("lnum"))
-    sides = faces.select("zone", "face", "vtx", F.explode(F.array_distinct(F.array("left", "right"))).alias("cell")).filter("cell > 0").join(cell_parts.select("zone", "cell", "part"), ["zone", "cell"])
+    sides = faces.select("zone", "face", "vtx", F.explode(F.array_distinct(F.array("left", "right"))).alias("cell")).filter("cell > 0").join(cell_parts.select("zone", "cell", "part"), ["cell", "zone"])
     held = stored(sides.select("zone", "part", F.col("face").alias("gnum"), "vtx"), "held")
     f = held.select("zone", F.lit("Face").alias("kind"), "part", "gnum").distinct()
     v = held.select("zone", F.lit("Vertex").alias("kind"), "part", F.explode("vtx").alias("gnum")).distinct()
@@ -127,31 +144,33 @@ def partition_tree(nodes: DataFrame, values: DataFrame, cell_parts: DataFrame) -
     faces = stored(section_faces(values), "tree-faces")
     numbers = stored(entity_numbers(faces, cell_parts), "tree-numbers")
     v = values.join(about, "path")
-    out = v.join(numbers, (v["zone"] == numbers["zone"]) & (v["kind"] == numbers["kind"]) & (v["pos"] + 1 == numbers["gnum"])).select("part", "path", (F.col("lnum") - 1).alias("pos"), "value")
+    # Keys begin with the number: the others are alike in most rows, and sorting would compare them first.
+    entities = v.filter(F.col("kind").isin(*KINDS_OF_ENTITIES)).select((F.col("pos") + 1).alias("gnum"), "zone", "kind", "path", "value")
+    out = entities.join(numbers, ["gnum", "zone", "kind"]).select("part", "path", (F.col("lnum") - 1).alias("pos"), "value")
     # Faces in local numbers.
     of = lambda kind, name, number: numbers.filter(F.col("kind") == kind).select("zone", "part", F.col("gnum").alias(name), F.col("lnum").alias(number))
-    f = faces.join(of("Face", "face", "_face"), ["zone", "face"])
-    ring = f.select("zone", "part", "section", "_face", F.posexplode("vtx").alias("_i", "v")).join(of("Vertex", "v", "_v"), ["zone", "part", "v"])
-    ring = ring.groupBy("zone", "part", "section", "_face").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("vtx"))
-    f = f.drop("vtx").join(of("Cell", "left", "_left"), ["zone", "part", "left"], "left").join(of("Cell", "right", "_right"), ["zone", "part", "right"], "left")
-    f = f.join(ring, ["zone", "part", "section", "_face"])
+    f = stored(faces.join(of("Face", "face", "_face"), ["face", "zone"]), "tree-part-faces")
+    ring = f.select("zone", "part", "section", "_face", F.posexplode("vtx").alias("_i", "v")).join(of("Vertex", "v", "_v"), ["v", "part", "zone"])
+    ring = ring.repartition("_face", "part", "zone", "section").groupBy("_face", "part", "zone", "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("vtx"))
+    f = f.drop("vtx").join(of("Cell", "left", "_left"), ["left", "part", "zone"], "left").join(of("Cell", "right", "_right"), ["right", "part", "zone"], "left")
+    f = f.join(ring, ["_face", "part", "zone", "section"])
     local = f.select("part", "zone", "section", F.col("_face").alias("face"), F.coalesce("_left", F.lit(0)).alias("left"), F.coalesce("_right", F.lit(0)).alias("right"), "vtx")
     out = out.unionByName(section_values(local, ["part"]))
     # Subsets, numbered in each part by their global order.
     items = _subset_items(values, subset_kinds(nodes))
-    s = items.join(numbers.withColumnRenamed("gnum", "item"), ["zone", "kind", "item"]).select("owner", "part", "idx", F.col("lnum").alias("item"), F.struct("owner", "part").alias("_in"))
+    s = items.join(numbers.withColumnRenamed("gnum", "item"), ["item", "zone", "kind"]).select("owner", "part", "idx", F.col("lnum").alias("item"), F.struct("owner", "part").alias("_in"))
     s = stored(local_numbers(s, ["idx"], "_in").drop("_in").withColumnRenamed("lnum", "_own"), "tree-subsets")
     place = (F.col("_own") - 1).cast("long").alias("pos")
     out = out.unionByName(s.select("part", F.concat("owner", F.lit("/PointList")).alias("path"), place, F.col("item").cast("double").alias("value")))
     out = out.unionByName(s.select("part", F.concat("owner", F.lit(f"/{NUMBERS}/Index")).alias("path"), place, (F.col("idx") + 1).cast("double").alias("value")))
     data = v.filter("kind = 'Subset'").filter(_name(F.col("path")) != "PointList").select("path", "owner", F.col("pos").alias("idx"), "value")
-    out = out.unionByName(data.join(s, ["owner", "idx"]).select("part", "path", place, "value"))
+    out = out.unionByName(data.join(s, ["idx", "owner"]).select("part", "path", place, "value"))
     zones = numbers.select("zone", "part").distinct()
     out = out.unionByName(v.filter("kind = 'Whole'").join(zones, "zone").select("part", "path", "pos", "value"))
     out = out.unionByName(numbers.select("part", F.concat("zone", F.lit(f"/{NUMBERS}/"), "kind").alias("path"), (F.col("lnum") - 1).alias("pos"), F.col("gnum").cast("double").alias("value")))
     # Joins to the other parts of a zone.
     own = of("Face", "face", "_mine")
-    pairs = own.join(own.select("zone", F.col("part").alias("other"), "face", F.col("_mine").alias("_donor")), ["zone", "face"]).filter("part <> other")
+    pairs = own.join(own.select("zone", F.col("part").alias("other"), "face", F.col("_mine").alias("_donor")), ["face", "zone"]).filter("part <> other")
     pairs = pairs.withColumn("_in", F.struct("zone", "part", "other"))
     pairs = stored(local_numbers(pairs, ["face"], "_in"), "tree-joins")
     join = F.concat("zone", F.lit(f"/ZoneGridConnectivity/{JOIN}"), F.col("part").cast("string"), F.lit("."), F.col("other").cast("string"))
@@ -186,8 +205,10 @@ def recover_tree(nodes: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFr
     Copies of an entity in several parts hold the same values, of which the least counts; the parents of a face come from the
     parts that have them.  Numbers and joins between parts are left out, and so is a ZoneGridConnectivity that holds no other joins.
     """
-    values = stored(values, "part-values")
-    is_join = F.col("path").rlike(rf"/ZoneGridConnectivity/{JOIN.replace('.', '[.]')}[^/]*(/|$)")
+    is_join = F.col("path").contains("/ZoneGridConnectivity/") & F.col("path").rlike(rf"/ZoneGridConnectivity/{JOIN.replace('.', '[.]')}[^/]*(/|$)")
+    # What a path is for is found once, not in every pass.
+    use = F.when(F.col("path").contains(f"/{NUMBERS}/"), "numbers").when(is_join, "join").otherwise("array")
+    values = stored(values.withColumn("_use", use), "part-values")
     n = nodes.filter(~is_join & ~F.col("path").contains(f"/{NUMBERS}"))
     n = n.drop("part").dropDuplicates(["path"])
     # A container that held nothing but such joins goes with them.
@@ -195,27 +216,26 @@ def recover_tree(nodes: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFr
     bare = nodes.filter(is_join).select(F.regexp_extract("path", "^(.*/ZoneGridConnectivity)/", 1).alias("path")).distinct().join(holds, "path", "left_anti")
     n = stored(n.join(bare, "path", "left_anti"), "whole-nodes")
     name = _name(F.col("path"))
-    held = values.filter(F.col("path").contains(f"/{NUMBERS}/"))
+    held = values.filter("_use = 'numbers'")
     owner = F.substring_index("path", f"/{NUMBERS}/", 1)
     numbers = stored(held.filter(name != "Index").select(owner.alias("zone"), name.alias("kind"), "part", (F.col("pos") + 1).alias("lnum"), F.col("value").cast("long").alias("gnum")), "whole-numbers")
     index = stored(held.filter(name == "Index").select(owner.alias("owner"), "part", "pos", (F.col("value") - 1).cast("long").alias("idx")), "whole-index")
-    v = values.filter(~is_join & ~F.col("path").contains(f"/{NUMBERS}/"))
+    v = values.filter("_use = 'array'").drop("_use")
     about = stored(arrays(n, v), "whole-arrays")
     d = v.join(about, "path")
-    whole = lambda x: x.groupBy("path", "pos").agg(F.min("value").alias("value"))
-    out = whole(d.join(numbers, (d["zone"] == numbers["zone"]) & (d["kind"] == numbers["kind"]) & (d["part"] == numbers["part"]) & (d["pos"] + 1 == numbers["lnum"])).select("path", (F.col("gnum") - 1).alias("pos"), "value"))
-    items = _subset_items(v, subset_kinds(n), ["part"]).join(numbers.withColumnRenamed("lnum", "item"), ["zone", "kind", "part", "item"])
-    items = items.select("part", "owner", F.col("idx").alias("pos"), "gnum").join(index, ["part", "owner", "pos"])
+    whole = lambda x: x.groupBy("pos", "path").agg(F.min("value").alias("value")).select("path", "pos", "value")
+    entities = d.filter(F.col("kind").isin(*KINDS_OF_ENTITIES)).select((F.col("pos") + 1).alias("lnum"), "part", "zone", "kind", "path", "value")
+    out = whole(entities.join(numbers, ["lnum", "part", "zone", "kind"]).select("path", (F.col("gnum") - 1).alias("pos"), "value"))
+    items = _subset_items(v, subset_kinds(n), ["part"]).join(numbers.withColumnRenamed("lnum", "item"), ["item", "part", "zone", "kind"])
+    items = items.select("part", "owner", F.col("idx").alias("pos"), "gnum").join(index, ["pos", "part", "owner"])
     out = out.unionByName(whole(items.select(F.concat("owner", F.lit("/PointList")).alias("path"), F.col("idx").alias("pos"), F.col("gnum").cast("double").alias("value"))))
     data = d.filter("kind = 'Subset'").filter(name != "PointList").select("part", "path", "owner", "pos", "value")
-    out = out.unionByName(whole(data.join(index, ["part", "owner", "pos"]).select("path", F.col("idx").alias("pos"), "value")))
+    out = out.unionByName(whole(data.join(index, ["pos", "part", "owner"]).select("path", F.col("idx").alias("pos"), "value")))
     out = out.unionByName(whole(d.filter("kind = 'Whole'").select("path", "pos", "value")))
     of = lambda kind, local, number: numbers.filter(F.col("kind") == kind).select("zone", "part", F.col("lnum").alias(local), F.col("gnum").alias(number))
-    f = section_faces(v.join(about.filter("kind = 'Section'").select("path"), "path", "left_semi"), ["part"]).join(of("Face", "face", "_face"), ["zone", "part", "face"])
-    ring = f.select("zone", "part", "section", "_face", F.posexplode("vtx").alias("_i", "v")).join(of("Vertex", "v", "_v"), ["zone", "part", "v"])
-    ring = ring.groupBy("zone", "part", "section", "_face").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("vtx"))
-    f = f.drop("vtx").join(of("Cell", "left", "_left"), ["zone", "part", "left"], "left").join(of("Cell", "right", "_right"), ["zone", "part", "right"], "left").join(ring, ["zone", "part", "section", "_face"])
-    f = f.groupBy("zone", "section", F.col("_face").alias("face")).agg(F.coalesce(F.max("_left"), F.lit(0)).alias("left"), F.coalesce(F.max("_right"), F.lit(0)).alias("right"), F.min_by("vtx", "part").alias("vtx"))
+    f = section_faces(v.join(about.filter("kind = 'Section'").select("path"), "path", "left_semi"), ["part"], numbers).join(of("Face", "face", "_face"), ["face", "part", "zone"])
+    f = f.join(of("Cell", "left", "_left"), ["left", "part", "zone"], "left").join(of("Cell", "right", "_right"), ["right", "part", "zone"], "left")
+    f = f.groupBy(F.col("_face").alias("face"), "zone", "section").agg(F.coalesce(F.max("_left"), F.lit(0)).alias("left"), F.coalesce(F.max("_right"), F.lit(0)).alias("right"), F.min_by("vtx", "part").alias("vtx"))
     out = stored(out.unionByName(section_values(f)), "whole-values")
     sizes = out.groupBy("path").agg(F.count("*").alias("_size"))
     n = n.join(sizes, "path", "left").withColumn("size", F.coalesce(F.col("_size"), F.when(~F.col("label").isin("DataArray_t", "IndexArray_t"), F.col("size")), F.lit(0)).cast("long")).drop("_size")

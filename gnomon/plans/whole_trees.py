@@ -25,7 +25,7 @@ UNION ALL SELECT 'Base/Z/ZoneBC/Outer/PointList', pos, face FROM ({_OUTER}) UNIO
 def whole_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = numbering.row_numbers(vertices(spark, sf_dir), ["vertex"], "v")
     f = faces(spark, sf_dir).select("face", "left", "right", F.posexplode("vtx").alias("_i", "vertex")).join(v.select("vertex", "v"), "vertex")
-    f = f.groupBy("face", "left", "right").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "v"))), lambda x: x["v"]).alias("vtx"))
+    f = f.repartition("face").groupBy("face", "left", "right").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "v"))), lambda x: x["v"]).alias("vtx"))
     f = stored(f.withColumn("section", F.lit("Base/Z/NGon")), "zone-faces")
     p = table(spark, sf_dir, "part")
     outer = f.filter("right = 0").select("face", F.col("left").alias("cell")).join(p.select((F.col("p_partkey") + 1).alias("cell"), "p_size", "p_retailprice"), "cell")

@@ -105,3 +105,36 @@ def test_empty_tree(spark):
     pn, pv = tree_parts.partition_tree(nodes.limit(0), values.limit(0), spark.createDataFrame([], "zone string, cell long, part int, lnum long"))
     assert pn.count() == 0 == pv.count()
     assert F.col("part") is not None and "part" in pn.columns
+
+
+def test_faces_longer_than_a_block_of_corners(spark):
+    """Faces that begin, end or lie whole in other blocks than their first, one of three corners after one of many."""
+    n = 2 * tree_parts.BLOCK + 7
+    faces = [(1, 1, 0, list(range(1, n + 1))), (2, 1, 2, [5, 6, 7]), (3, 2, 0, list(range(n, 0, -1)))]
+    f = spark.createDataFrame([("Base/Z", "Base/Z/NGon", *x) for x in faces], "zone string, section string, face long, left long, right long, vtx array<long>")
+    back = tree_parts.section_faces(tree_parts.section_values(f))
+    assert sorted(tuple(r) for r in back.select("face", "left", "right", "vtx").collect()) == faces
+
+
+def test_section_values_makes_its_faces_once(spark):
+    """Beside the sample for the ranges, faces are computed a single time: they were joined to their own offsets before."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    f = spark.range(1, 101).selectExpr("'B/Z/N' AS section", "id AS face", "1L AS left", "0L AS right", "array(id, id + 1, id + 2) AS vtx")
+    values = tree_parts.section_values(f.mapInArrow(count, f.schema))
+    assert values.filter("path = 'B/Z/N/ElementConnectivity'").count() == 300 and values.filter("path = 'B/Z/N/ElementStartOffset'").count() == 101
+    assert seen.value <= 200
+
+
+def test_row_numbers_are_not_dealt_out_again(spark):
+    from gnomon.operators import numbering
+
+    d = numbering.row_numbers(spark.range(50, 0, -1).toDF("k"), ["k"])
+    assert [tuple(r) for r in d.orderBy("k").collect()] == [(k, k) for k in range(1, 51)]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" not in plan  # only the ranges, one row each, go through a window
