@@ -74,21 +74,20 @@ def duplicate_lines(text: Column) -> Column:
 def with_repeats(df: DataFrame, words: str, out: str) -> DataFrame:
     """Adds the number of words in three-word windows found twice or more in their text.
 
-    Windows (as 64-bit hashes) are sorted inside the row.  Only where two neighbours are equal, they are sorted with
-    their positions; windows with an equal neighbour are repeated, and the words they cover are counted from their
-    sorted positions.  No rows are made and nothing is shuffled.
+    Only where windows (as 64-bit hashes) are fewer when distinct, they are sorted with their positions; windows with an
+    equal neighbour are repeated, and the words they cover are counted from their sorted positions.  No rows are made
+    and nothing is shuffled.
     """
     at = lambda a, i: F.get(F.col(a), i)
     n = F.size(words)
     three = F.transform(F.slice(F.col(words), F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, at(words, i + 1), at(words, i + 2)))
-    df = df.withColumn("_h", three).withColumn("_s", F.sort_array("_h"))
-    df = df.withColumn("_any", F.exists(F.zip_with("_s", F.slice("_s", F.lit(2), F.greatest(F.size("_s"), F.lit(1))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False))))
+    df = df.withColumn("_h", three).withColumn("_any", F.size(F.array_distinct("_h")) < F.size("_h"))
     placed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("_w", F.when(F.col("_any"), placed))
     twice = lambda x, i: F.coalesce(at("_w", i + 1)["h"] == x["h"], F.lit(False)) | ((i > 0) & (at("_w", i - 1)["h"] == x["h"]))
     df = df.withColumn("_f", F.sort_array(F.filter("_w", twice)["i"]))
     gap = lambda x, i: F.when(i < F.size("_f") - 1, F.least(F.lit(3), at("_f", i + 1) - x)).otherwise(F.lit(3))
-    return df.withColumn(out, F.coalesce(F.aggregate(F.transform("_f", gap), F.lit(0), lambda a, x: a + x), F.lit(0))).drop("_h", "_s", "_any", "_w", "_f")
+    return df.withColumn(out, F.coalesce(F.aggregate(F.transform("_f", gap), F.lit(0), lambda a, x: a + x), F.lit(0))).drop("_h", "_any", "_w", "_f")
 
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -99,13 +98,16 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     totals = (
         with_classes(docs.select(F.col(lang_col).alias("lang"), text.alias("_text")), "_text")
-        .select("lang", *[F.col(f"_{k}").alias(k) for k in CLASSES], F.size(words_of(F.col("_text"))).alias("n"))
+        .select("lang", *[F.col(f"_{k}").alias(k) for k in CLASSES])
         .groupBy("lang")
-        .agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in CLASSES])
+        .agg(*[F.sum(k).alias(k) for k in CLASSES])
     )
     words = docs.select(F.col(lang_col).alias("lang"), F.explode(words_of(F.lower(text))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("c"))
     words = stored(words, "quality-words")
-    languages = materialise(totals)
+    # Words are counted already; a language may have none.
+    counted = words.groupBy(F.col("lang").alias("_l")).agg(F.sum("c").alias("n"))
+    languages = totals.join(counted, F.col("lang").eqNullSafe(F.col("_l")), "left")
+    languages = materialise(languages.select("lang", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *CLASSES))
     n_languages = languages.count()
     of = small(languages.select(F.col("lang").alias("_l"), "n"), n_languages, MAX_BROADCAST_LANGUAGES)
     kept = materialise(words.join(of, F.col("lang").eqNullSafe(F.col("_l"))).filter(F.col("c") >= F.col("n") * COMMON_SHARE).select("lang", "word", "c"))
