@@ -44,11 +44,12 @@ class Extractor:
             raise ValueError(f"items at {location} cannot be extracted")
         self.location, self._faces, self._vertices = location, faces, vertices
         wanted = chosen.select(F.col("gnum").cast("long").alias("old")).filter("old > 0").distinct()
-        at = lambda d, where: d.select(F.lit(where).alias("location"), "old")
+        # Each location's numbers are made distinct alone: a task holds numbers, without the names of locations.
+        at = lambda d, where: d.select("old").distinct().select(F.lit(where).alias("location"), "old")
         kept = []
         if location == "CellCenter":
             sides = faces.select(F.col("face"), F.explode(F.array("left", "right")).alias("old")).join(wanted, "old")
-            kept = [at(sides.distinct(), "CellCenter"), at(sides.select(F.col("face").alias("old")), "FaceCenter")]
+            kept = [at(sides, "CellCenter"), at(sides.select(F.col("face").alias("old")), "FaceCenter")]
             wanted = sides.select(F.col("face").alias("old")).distinct()
         elif location == "FaceCenter":
             kept = [at(faces.select(F.col("face").alias("old")).hint("merge").join(wanted, "old"), "FaceCenter")]
@@ -59,7 +60,7 @@ class Extractor:
         d = kept[0]
         for k in kept[1:]:
             d = d.unionByName(k)
-        self.numbers = stored(_numbered(d.distinct(), ["location"], "old", "gnum").select("location", F.col("gnum").cast("long").alias("gnum"), F.col("old").cast("long").alias("old")), "extracted").hint("merge")  # small files for as many rows as the mesh
+        self.numbers = stored(_numbered(d, ["location"], "old", "gnum").select("location", F.col("gnum").cast("long").alias("gnum"), F.col("old").cast("long").alias("old")), "extracted").hint("merge")  # small files for as many rows as the mesh
 
     def _at(self, location: str, number: str = "gnum", old: str = "old") -> DataFrame:
         return self.numbers.filter(F.col("location") == location).select(F.col("gnum").alias(number), F.col("old").alias(old))

@@ -102,3 +102,16 @@ def test_plans_are_joins_on_keys(spark):
     for d in (e.exchange(fields), e.faces(), e.vertices()):
         plan = d._jdf.queryExecution().optimizedPlan().toString()
         assert "Join Inner\n" not in plan and "Cross" not in plan
+
+
+def test_distinct_numbers_are_found_location_by_location(spark, monkeypatch):
+    """A task that makes the numbers of a mesh distinct holds them alone; it held the names of locations and the faces of cells too."""
+    seen, plain = [], extraction._numbered
+    monkeypatch.setattr(extraction, "_numbered", lambda items, *a: seen.append(items) or plain(items, *a))
+    faces = spark.createDataFrame([(1, 1, 2, [1, 2, 3]), (2, 1, 0, [1, 2, 4]), (3, 2, 0, [2, 3, 5]), (4, 3, 0, [6, 7, 8])], "face long, left long, right long, vtx array<long>")
+    vertices = spark.range(1, 9).selectExpr("id AS vertex", "0D AS x", "0D AS y", "0D AS z")
+    e = extraction.Extractor(faces, vertices, spark.createDataFrame([(1,), (2,), (2,)], "gnum long"), "CellCenter")
+    rows = sorted(tuple(r) for r in e.numbers.select("location", "gnum", "old").collect())
+    assert rows == [("CellCenter", 1, 1), ("CellCenter", 2, 2), ("FaceCenter", 1, 1), ("FaceCenter", 2, 2), ("FaceCenter", 3, 3), *[("Vertex", n, n) for n in range(1, 6)]]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [location" not in plan and "Aggregate [face" not in plan
