@@ -1,13 +1,16 @@
 """Multilevel partitioning of weighted graphs, as of cells that share faces.
 
 1. Coarsening: every node picks the neighbour behind its heaviest edge, ties by a hash that both ends agree on; nodes
-   that pick each other become one.  A level is two such handshakes, an aggregation of the edges by their new ends.
+   that pick each other become one.  Pairs much heavier than usual come last, or heavy nodes would grow into hubs, of
+   whose many neighbours one in a level finds a mate.  A level is two such handshakes, an aggregation of the edges by their new
+   ends.  Where that hardly shrinks a large graph, nodes that pick the same neighbour, and those without any, are put together.
 2. When at most `coarse` nodes are left (or a level hardly shrinks the graph any more), these are cut by growing parts,
    in halves of the weights, on the driver: LARGEST bounds what is collected.
 3. Back up, each level starts from the parts of the coarser one and is refined: nodes at a boundary move to the part
    they share the most edge weight with.  In a round all moves go to parts of higher, in the next to parts of lower
    number, so neighbours do not swap.  How many of the moves of each gain are made is settled from their sums (rows of
-   two parts and a gain class), so that no part leaves its limits; the best labels seen are kept.
+   two parts and a gain class), so that no part leaves its limits; the best labels seen are kept.  Of a large graph
+   only the nodes that the moves of all rounds can reach from the boundary, and their edges, are looked at.
 
 Every step is a join or an aggregation by node, and no task sees a whole part.
 """
@@ -26,6 +29,8 @@ from ..storage import discard, stored
 COARSE = 600
 #: More nodes than this are never collected: a graph that cannot be contracted so far is refused.
 LARGEST = 100_000
+#: Tables of more nodes than this are not broadcast, and only what lies near the boundary is refined.
+MANY = 100_000
 BALANCE = 0.03
 #: Starts that are tried for each halving of the coarsest graph.
 TRIES = 3
@@ -33,7 +38,7 @@ ROUNDS = 6
 
 
 def dual_graph(faces: DataFrame) -> DataFrame:
-    """(a, b, w) of cells that share faces, a < b; w is the number of faces."""
+    """(a, b, w) of cells that share faces (left, right), a < b; w is the number of faces."""
     d = faces.filter("left > 0 and right > 0 and left <> right")
     return d.groupBy(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).agg(F.count("*").cast("double").alias("w"))
 
@@ -44,7 +49,7 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _handshake(edges: DataFrame, seed: int) -> DataFrame:
-    """(a, b), a < b, of nodes that pick each other; edges have the weights of their ends, too heavy pairs left out."""
+    """(a, b), a < b, of nodes that pick each other by the greatest w; too heavy pairs left out."""
     tie = F.xxhash64(F.least("u", "v"), F.greatest("u", "v"), F.lit(seed))
     picks = _both(edges).groupBy("u").agg(F.max_by("v", F.struct("w", tie)).alias("v"))
     return picks.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).count().filter("count = 2").select("a", "b")
@@ -52,8 +57,11 @@ def _handshake(edges: DataFrame, seed: int) -> DataFrame:
 
 def matching(nodes: DataFrame, edges: DataFrame, heaviest: float, seed: int = 0) -> DataFrame:
     """(node, coarse): pairs of nodes, no heavier than `heaviest` together, take the smaller number; the others keep theirs."""
+    usual = max(nodes.agg(F.avg("weight")).first()[0] or 0.0, 1e-300)
     weight = lambda k: nodes.select(F.col("node").alias(k), F.col("weight").alias(f"w{k}"))
-    light = edges.join(weight("a"), "a").join(weight("b"), "b").filter(F.col("wa") + F.col("wb") <= heaviest).select("a", "b", "w")
+    # Classes of pairs: up to two and a half usual nodes, twice that, and so on; a logarithm of 0 is null.
+    above = F.greatest(F.ceil(F.log2((F.col("wa") + F.col("wb")) / (2.5 * usual))), F.lit(0))
+    light = edges.join(weight("a"), "a").join(weight("b"), "b").filter(F.col("wa") + F.col("wb") <= heaviest).select("a", "b", F.struct((-above).alias("class"), "w").alias("w"))
     first = stored(_handshake(light, seed), "match")
     gone = first.select(F.inline(F.array(F.struct(F.col("a").alias("node")), F.struct(F.col("b").alias("node")))))
     left = light.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
@@ -62,6 +70,17 @@ def matching(nodes: DataFrame, edges: DataFrame, heaviest: float, seed: int = 0)
     return nodes.select("node").join(merged, "node", "left").select("node", F.coalesce("coarse", "node").alias("coarse"))
 
 
+def gathered(nodes: DataFrame, edges: DataFrame, heaviest: float) -> DataFrame:
+    """(node, coarse): nodes that are tied most to the same neighbour, or have none, in groups of about half of `heaviest`; heavier ones keep their numbers."""
+    picks = _both(edges).groupBy("u").agg(F.max_by("v", F.struct("w", "v")).alias("to"))
+    d = nodes.filter(F.col("weight") <= heaviest / 2).join(picks, F.col("node") == F.col("u"), "left")
+    d = stored(d.select("node", "weight", F.col("to").isNull().alias("alone"), F.coalesce("to", F.lit(0)).alias("to")), "picks")
+    groups = d.groupBy("alone", "to").agg(F.greatest(F.ceil(2 * F.sum("weight") / heaviest), F.lit(1)).alias("groups"))
+    d = d.join(groups, ["alone", "to"]).withColumn("group", F.pmod(F.xxhash64("node"), F.col("groups")))
+    first = d.groupBy("alone", "to", "group").agg(F.min("node").alias("coarse"))
+    return nodes.select("node").join(d.join(first, ["alone", "to", "group"]).select("node", "coarse"), "node", "left").select("node", F.coalesce("coarse", "node").alias("coarse"))
+
+
 def contracted(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the coarser graph, weights added up."""
     n = nodes.join(mapping, "node").groupBy(F.col("coarse").alias("node")).agg(F.sum("weight").alias("weight"))
@@ -145,10 +164,28 @@ def grown(weight: dict[int, float], near: dict[int, dict[int, float]], targets:
     return out
 
 
-def _measured(nodes: DataFrame, ties: DataFrame, labels: DataFrame) -> tuple[float, dict[int, float]]:
-    """(weight of the edges between parts, weight of each part)."""
-    cut = ties.filter("own <> part").agg(F.sum("w")).first()[0] or 0.0
-    return cut / 2, {r["part"]: r["weight"] for r in nodes.join(labels, "node").groupBy("part").agg(F.sum("weight").alias("weight")).collect()}
+def _weights(nodes: DataFrame, labels: DataFrame) -> dict[int, float]:
+    return {r["part"]: r["weight"] for r in nodes.join(labels, "node").groupBy("part").agg(F.sum("weight").alias("weight")).collect()}
+
+
+def _touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with an end among the nodes, each once."""
+    end = lambda k: nodes.select(F.col("node").alias(k))
+    second = edges.join(end("b"), "b", "left_semi").join(end("a"), "a", "left_anti")
+    return edges.join(end("a"), "a", "left_semi").select("a", "b", "w").unionByName(second.select("a", "b", "w"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.inline(F.array(F.struct(F.col("a").alias("node")), F.struct(F.col("b").alias("node"))))).distinct()
+
+
+def _near(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
+    """The edges of all nodes that so many rounds can move: a round moves ends of cut edges only, so it takes the boundary on by an edge at most."""
+    end = lambda k: labels.select(F.col("node").alias(k), F.col("part").alias(f"p{k}"))
+    near = stored(edges.join(end("a"), "a").join(end("b"), "b").filter("pa <> pb").select("a", "b", "w"), "near")
+    for _ in range(rounds):
+        near = stored(_touching(edges, stored(_ends(near), "band")), "near")
+    return near
 
 
 def _shares(rows: list, weights: dict[int, float], low: Sequence[float], high: Sequence[float]) -> list[tuple[int, int, int, float]]:
@@ -175,16 +212,25 @@ def refined(nodes: DataFrame, edges: DataFrame, labels: DataFrame, targets: Sequ
     total = nodes.agg(F.sum("weight")).first()[0] or 0.0
     want = [total * t / sum(targets) for t in targets]
     low, high = [w * (1 - 0.9 * balance) for w in want], [w * (1 + 0.9 * balance) for w in want]
-    best: tuple | None = None
-    part = lambda k, name: labels.select(F.col("node").alias(k), F.col("part").alias(name))
+    # What no round can reach keeps its labels.
+    whole, rest = labels, {}
+    if nodes.count() > MANY:
+        edges = _near(edges, labels, rounds)
+        labels = stored(labels.join(_ends(edges), "node", "left_semi"), "labels")
+        rest = _weights(nodes, whole.join(labels.select("node"), "node", "left_anti"))
+        nodes = stored(nodes.join(labels.select("node"), "node", "left_semi"), "near-nodes")
+    best, start, ties, idle = None, labels, None, False
     for step in range(rounds + 1):
-        ties = _both(edges).join(part("u", "own"), "u").join(part("v", "part"), "v").groupBy("u", "own", "part").agg(F.sum("w").alias("w"))
-        ties = stored(ties, "ties")
-        cut, weights = _measured(nodes, ties, labels)
-        off = max([0.0, *(abs(weights.get(p, 0.0) - w) / w for p, w in enumerate(want) if w)])
-        mark = (max(0.0, off - balance), cut)
-        if best is None or mark < best[0]:
-            best = (mark, labels)
+        if ties is None:
+            part = lambda k, name: labels.select(F.col("node").alias(k), F.col("part").alias(name))  # noqa: E731, B023
+            ties = _both(edges).join(part("u", "own"), "u").join(part("v", "part"), "v").groupBy("u", "own", "part").agg(F.sum("w").alias("w"))
+            ties = stored(ties, "ties")
+            cut, inside = (ties.filter("own <> part").agg(F.sum("w")).first()[0] or 0.0) / 2, _weights(nodes, labels)
+            weights = {p: rest.get(p, 0.0) + inside.get(p, 0.0) for p in {*rest, *inside}}
+            off = max([0.0, *(abs(weights.get(p, 0.0) - w) / w for p, w in enumerate(want) if w)])
+            mark = (max(0.0, off - balance), cut)
+            if best is None or mark < best[0]:
+                best = (mark, labels)
         if step == rounds:
             break
         inner = ties.filter("own = part").select("u", F.col("w").alias("inner"))
@@ -197,13 +243,21 @@ def refined(nodes: DataFrame, edges: DataFrame, labels: DataFrame, targets: Sequ
         sums = moves.groupBy("own", "part", "class").agg(F.sum("weight").alias("weight")).collect()
         shares = _shares(sums, weights, low, high)
         if not shares:
+            if idle:
+                break  # neither to higher nor to lower parts
+            idle = True
             continue
         chosen = F.broadcast(spark.createDataFrame(shares, "own int, part int, class int, share double"))  # a row for two parts and a class
         draw = F.pmod(F.xxhash64("u", F.lit(step)), F.lit(1 << 20)) / (1 << 20)
         moved = moves.join(chosen, ["own", "part", "class"]).filter(draw < F.col("share")).select(F.col("u").alias("node"), F.col("part").alias("_to"))
         labels = stored(labels.join(moved, "node", "left").select("node", F.coalesce("_to", "part").alias("part")), "labels")
         discard(ties)
-    return best[1]
+        ties, idle = None, False
+    if best[1] is start:
+        return whole
+    if start is whole:
+        return best[1]
+    return stored(whole.join(best[1].withColumnRenamed("part", "_to"), "node", "left").select("node", F.coalesce("_to", "part").alias("part")), "labels")
 
 
 def by_graph(nodes: DataFrame, edges: DataFrame, targets: Sequence[float], *, coarse: int = COARSE, balance: float = BALANCE, rounds: int = ROUNDS) -> DataFrame:
@@ -219,15 +273,21 @@ def by_graph(nodes: DataFrame, edges: DataFrame, targets: Sequence[float], *, co
     e = stored(e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").cast("double").alias("w")), "graph-edges")
     count, total = n.agg(F.count("*"), F.sum("weight")).first()
     limit = max(coarse, 20 * len(targets))
-    levels = []
+    heaviest = max(1.5 * (total or 0.0) / limit, 1e-300)
+    # Small files hold many rows of two numbers.
+    kept = lambda d, name, rows: stored(d, name).hint("merge") if rows > MANY else stored(d, name)
+    levels, stuck = [], False
+    n = n.hint("merge") if count > MANY else n
     while count > limit:
-        mapping = stored(matching(n, e, max(1.5 * (total or 0.0) / limit, 1e-300), 2 * len(levels)), "graph-map")
-        levels.append((n, e, mapping))
+        mapping = gathered(n, e, heaviest) if stuck else matching(n, e, heaviest, 2 * len(levels))
+        mapping = kept(mapping, "graph-map", count)
+        levels.append((n, e, mapping, count))
         n2, e2 = contracted(n, e, mapping)
-        n, e, before = stored(n2, "graph-nodes"), stored(e2, "graph-edges"), count
+        n, e, before = kept(n2, "graph-nodes", count), stored(e2, "graph-edges"), count
         count = n.count()
-        if count > 0.97 * before:
+        if count > 0.97 * before and (stuck or count <= 10 * limit):
             break
+        stuck = not stuck and count > 0.9 * before and count > 10 * limit
     if count > LARGEST:
         raise ValueError(f"the graph does not contract below {LARGEST} nodes")
     near: dict[int, dict[int, float]] = defaultdict(dict)
@@ -236,9 +296,9 @@ def by_graph(nodes: DataFrame, edges: DataFrame, targets: Sequence[float], *, co
     parts = grown({r["node"]: r["weight"] for r in n.collect()}, near, targets)
     labels = stored(spark.createDataFrame(list(parts.items()), "node long, part int"), "labels")
     labels = refined(n, e, labels, targets, balance=balance, rounds=rounds if levels else 2 * rounds)
-    for k, (n, e, mapping) in enumerate(reversed(levels)):
+    for k, (n, e, mapping, count) in enumerate(reversed(levels)):
         fine = mapping.join(labels.withColumnRenamed("node", "coarse"), "coarse").select("node", "part")
-        labels = refined(n, e, stored(fine, "labels"), targets, balance=balance, rounds=rounds if k + 1 == len(levels) else max(2, rounds // 3))
+        labels = refined(n, e, kept(fine, "labels", count), targets, balance=balance, rounds=rounds if k + 1 == len(levels) else max(2, rounds // 3))
     return labels
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph_partition, numbering, partition, renumber, spatial
+from ..operators import graph_partition, mesh, numbering, partition, renumber, spatial
 from ..storage import stored
 from .catalog import query, table
 from .forms import _PARTS, parts
@@ -16,7 +16,8 @@ _NEAR = f"(SELECT a AS u, b AS v, part FROM ({_INNER}) UNION ALL SELECT b, a, pa
 
 
 def dual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_partition.dual_graph(faces(spark, sf_dir))
+    """Ends of faces; the faces need no numbers for that."""
+    return graph_partition.dual_graph(mesh.met_sides(mesh.faces_of(cells(spark, sf_dir), "HEXA_8")))
 
 
 @query(f"SELECT l AS a, r AS b, 1.0::DOUBLE AS w FROM ({_FACES}) WHERE r > 0")
@@ -28,8 +29,8 @@ def cell_graph(spark, sf_dir):
 def graph_parts(spark, sf_dir):
     """Cells weighted by p_size in four unequal parts: all cells once, weights within the balance, less cut than along a Hilbert curve."""
     edges, targets = stored(dual(spark, sf_dir), "dual"), [1, 2, 3, 4]
-    nodes = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("node"), F.col("p_size").cast("double").alias("weight"))
-    labels = stored(graph_partition.by_graph(nodes, edges, targets), "parts")
+    nodes = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("node"), F.col("p_size").cast("double").alias("weight")).hint("merge")
+    labels = stored(graph_partition.by_graph(nodes, edges, targets), "parts").hint("merge")
     centres = spatial.cell_centres(cells(spark, sf_dir).select("cell", F.explode("vtx").alias("vertex")), vertices(spark, sf_dir), "cell", "vertex", ["x", "y", "z"])
     curve = partition.by_hilbert(centres.join(nodes.withColumnRenamed("node", "cell"), "cell"), targets, size="weight").select(F.col("cell").alias("node"), "part")
     share = F.element_at(F.array(*[F.lit(t / sum(targets)) for t in targets]), F.col("part") + 1)

@@ -110,3 +110,37 @@ def test_renumbering(spark, reverse):
 def test_renumbering_of_nothing(spark):
     p, e = spark.createDataFrame([], "cell long, part int"), spark.createDataFrame([], "a long, b long")
     assert renumber.renumbered(p, e).count() == 0
+
+
+def test_small_nodes_do_not_stay_around_heavy_ones(spark, monkeypatch):
+    """A long block of cells of unequal weight: contraction that follows edge weights alone leaves hubs with many small neighbours."""
+    monkeypatch.setattr(graph_partition, "LARGEST", 50)
+    at = lambda i, j, k: i + 5 * j + 35 * k
+    nodes = [(c, float((c * 7919 + c // 35 * 104729) % 50 + 1)) for c in range(35 * 60)]
+    cells = [(i, j, k) for k in range(60) for j in range(7) for i in range(5)]
+    edges = [(at(*c), at(*d), 1.0) for c in cells for d in [(c[0] + 1, *c[1:]), (c[0], c[1] + 1, c[2]), (*c[:2], c[2] + 1)] if d[0] < 5 and d[1] < 7 and d[2] < 60]
+    labels = graph_partition.by_graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE), [1, 2], coarse=40)
+    cut, weights = cut_and_weights(nodes, edges, labels)
+    assert abs(weights[0] / sum(weights.values()) - 1 / 3) <= 0.03 / 3 + 0.001 and cut <= 70  # a layer is 35
+
+
+@pytest.mark.parametrize("hub", [True, False])
+def test_leaves_are_put_together(spark, monkeypatch, hub):
+    """3,000 leaves of one node, and as many nodes without edges, of which pairs take none or one at a time."""
+    monkeypatch.setattr(graph_partition, "LARGEST", 400)
+    nodes = [(i, 1.0) for i in range(3001)]
+    edges = [(0, i, 1.0) for i in range(1, 3001)] if hub else []
+    labels = graph_partition.by_graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE), [1, 1], coarse=50)
+    _, weights = cut_and_weights(nodes, edges, labels)
+    assert abs(weights[0] - 1500.5) <= 46
+
+
+def test_refinement_near_the_boundary_is_that_of_all(spark, monkeypatch):
+    nodes, edges = grid(40, 12)
+    n, e = spark.createDataFrame(nodes, NODE).cache(), spark.createDataFrame(edges, EDGE).cache()
+    start = spark.createDataFrame([(k, int(k % 40 + (k // 40 * 5) % 7 > 17) + (k % 40 > 30)) for k, _ in nodes], "node long, part int").cache()
+    got = []
+    for many in (100_000, 0):
+        monkeypatch.setattr(graph_partition, "MANY", many)
+        got.append(sorted(map(tuple, graph_partition.refined(n, e, start, [3, 2, 1], rounds=4).collect())))
+    assert got[0] == got[1] != sorted(map(tuple, start.collect())) and len(got[0]) == len(nodes)
